@@ -7,13 +7,19 @@ statistics (one row per test), never on the data, as Arrow-batched helpers.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from panelyst.functions.nulls import as_col
 
+# Ship these small functions with the task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TINY = 1e-300
 
 
@@ -94,17 +100,17 @@ def _apply(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([None if any(v != v for v in r) else fn(*r) for r in rows], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(chi2_tail, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _apply(f_tail, f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return _apply(normal_two_sided, z)
 

@@ -40,7 +40,17 @@ def clean_item(scale: Scale, item: str) -> Column:
 
 
 def clean_items(df: DataFrame, scales: Sequence[Scale], suffix: str = "_RC") -> DataFrame:
-    """Add the cleaned items of all scales in one projection."""
+    """Add the cleaned items of all scales in one projection.
+
+    Scales may share an item only if they clean it alike, as its cleaned form has
+    one name.
+    """
+    rules: dict[str, tuple] = {}
+    for s in scales:
+        for i in s.items:
+            rule = (s.max_valid, s.remap, s.reverse.get(i))
+            if rules.setdefault(i, rule) != rule:
+                raise ValueError(f"item {i!r} is cleaned in two ways; use different suffixes")
     return df.withColumns({i + suffix: clean_item(s, i) for s in scales for i in s.items})
 
 

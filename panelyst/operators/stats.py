@@ -144,7 +144,7 @@ def welch_anova(df: DataFrame, group: str, variables: Sequence[str]) -> DataFram
     sums = m.groupBy("variable").agg(
         F.count(F.lit(1)).alias("k"),
         F.count("w").alias("usable"),
-        F.sum("w").alias("W"),
+        F.sum("w").alias("sum_w"),
         F.try_divide(F.sum(w * F.col("mean")), F.sum("w")).alias("centre"),
     )
     t = (
@@ -154,7 +154,7 @@ def welch_anova(df: DataFrame, group: str, variables: Sequence[str]) -> DataFram
             F.max("k").alias("k"),
             F.max("usable").alias("usable"),
             F.sum(w * F.pow(F.col("mean") - F.col("centre"), 2)).alias("between"),
-            F.sum(F.try_divide(F.pow(1 - F.try_divide(w, F.col("W")), 2), F.col("n") - 1)).alias("l"),
+            F.sum(F.try_divide(F.pow(1 - F.try_divide(w, F.col("sum_w")), 2), F.col("n") - 1)).alias("l"),
         )
     )
     k = F.col("k").cast("double")

@@ -11,6 +11,7 @@ SKIP = Scale("skip", ("I1", "I2", "I3"), 45, "Skip")
 STRICT = Scale("strict", ("I1", "I2"), 45, "Strict", skip_null=False)
 ZERO = Scale("zero", ("I4", "I5"), 40, "Zero", all_missing=0)
 REVERSED = Scale("reversed", ("I5", "I6", "I7"), 48, "Reversed", reverse={"I7": 49})
+TAIL = Scale("tail", ("I6", "I7"), 48, "Tail", reverse={"I7": 49})
 REMAPPED = Scale("remapped", ("I6", "I7"), 40, "Remapped", remap={50: 0})
 
 
@@ -42,11 +43,14 @@ def scale_items(spark, sf):
 
 
 def score_many(spark, sf):
-    scales = [SKIP, ZERO, REVERSED]
+    scales = [SKIP, ZERO, TAIL]
     return score_scales(battery(spark, sf), scales).select("l_orderkey", *[s.name for s in scales])
 
 
-_ALPHA = [Scale("a", ("I1", "I2", "I3", "I4", "I5", "I6", "I7"), 50, "All"), Scale("b", ("I1", "I2"), 45, "Pair")]
+_ALPHA = [
+    Scale("a", ("I1", "I2", "I3", "I4", "I5", "I6", "I7"), 15, "All"),
+    Scale("b", ("I1", "I2"), 12, "Pair"),
+]
 
 
 def _related(spark, sf):
@@ -63,10 +67,8 @@ _RELATED = (
 
 
 def cronbach_alpha_query(spark, sf):
-    scales = [Scale("a", _ALPHA[0].items, 15, "All"), Scale("b", _ALPHA[1].items, 12, "Pair")]
-    return round_cols(cronbach_alpha(clean_items(_related(spark, sf), [scales[0]]), [scales[0]]).unionByName(
-        cronbach_alpha(clean_items(_related(spark, sf), [scales[1]]), [scales[1]])
-    ), 6, "alpha")
+    parts = [cronbach_alpha(clean_items(_related(spark, sf), [s]), [s]) for s in _ALPHA]
+    return round_cols(parts[0].unionByName(parts[1]), 6, "alpha")
 
 
 def _alpha_sql(items: tuple[str, ...], max_valid: int, label: str) -> str:
@@ -94,10 +96,10 @@ QUERIES = {
     "score_many": (
         score_many,
         f"SELECT * FROM ({_score_sql(SKIP)}) JOIN ({_score_sql(ZERO)}) USING (l_orderkey) "
-        f"JOIN ({_score_sql(REVERSED)}) USING (l_orderkey)",
+        f"JOIN ({_score_sql(TAIL)}) USING (l_orderkey)",
     ),
     "cronbach_alpha": (
         cronbach_alpha_query,
-        _alpha_sql(_ALPHA[0].items, 15, "All") + " UNION ALL " + _alpha_sql(_ALPHA[1].items, 12, "Pair"),
+        " UNION ALL ".join(_alpha_sql(s.items, s.max_valid, s.label) for s in _ALPHA),
     ),
 }
