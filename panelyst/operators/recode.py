@@ -36,15 +36,21 @@ def ladder(rules: Sequence[tuple[Column, object]], default=None) -> Column:
 
 
 def dummies(
-    c: Column | str, prefix: str, levels: Mapping[str, str], reference: str | None = None
+    c: Column | str,
+    prefix: str,
+    levels: Mapping[str, str | tuple[str, ...]],
+    reference: str | None = None,
 ) -> dict[str, Column]:
     """0/1 columns, one per level; the reference level is marked ``RCR``, the rest ``RCD``.
 
-    ``levels`` maps the name suffix to the level. A NULL input gives NULL dummies.
+    ``levels`` maps the name suffix to the level or levels. A NULL input gives NULL
+    dummies.
     """
     c = as_col(c)
     return {
-        f"{prefix}_{'RCR' if key == reference else 'RCD'}_{key}": indicator(c == level)
+        f"{prefix}_{'RCR' if key == reference else 'RCD'}_{key}": indicator(
+            c.isin(list(level)) if isinstance(level, tuple) else c == level
+        )
         for key, level in levels.items()
     }
 
@@ -78,16 +84,17 @@ def median_split(
     value: str,
     out: str,
     labels: Sequence[str] = ("Zero", "Low", "High", "Don't know"),
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Zero / below / at-or-above the median of the non-zero values / unknown.
 
     The median is exact and reaches the rows as a scalar subquery, so the
-    table itself is neither shuffled nor joined.
+    table itself is neither shuffled nor joined. ``source`` may name a cheaper
+    table with the same values, such as the one ``df`` was joined from.
     """
     v = F.col(value)
-    threshold = (
-        exact_quantiles(df.where(v != 0), value, [0.5]).select("q1").scalar()
-    )
+    base = df if source is None else source
+    threshold = exact_quantiles(base.where(v != 0), value, [0.5]).select("q1").scalar()
     zero, low, high, unknown = labels
     return (
         df.withColumn("_cut", threshold)

@@ -42,9 +42,9 @@ def _categories(groups):
     return run
 
 
-def _cats() -> dict[tuple[str, str], list[str]]:
+def _cats(catalog: list[P.Question]) -> dict[tuple[str, str], list[str]]:
     out: dict[tuple[str, str], list[str]] = {}
-    for q in CATALOG:
+    for q in catalog:
         if q.in_any:
             out.setdefault((q.category, q.facet), []).append(q.variable)
     return out
@@ -54,44 +54,50 @@ def _cats() -> dict[tuple[str, str], list[str]]:
 _PROP = "CASE WHEN total > 0 THEN CAST(round(CAST(n AS DECIMAL(18, 0)) * 1000 / total) / 1000 AS DOUBLE) END AS proportion"
 
 
-def _items_sql(groups: bool, denominator: str = "max_answered", any_rows: bool = True) -> str:
-    g, by = ("grp, ", " GROUP BY grp") if groups else ("", "")
-    most = "greatest(" + ", ".join(f"count({q.variable})" for q in CATALOG) + ")"
+def items_sql(
+    answers: str,
+    catalog: list[P.Question],
+    group: str | None = None,
+    denominator: str = "max_answered",
+    any_rows: bool = True,
+) -> str:
+    g, by = (f"{group}, ", f" GROUP BY {group}") if group else ("", "")
+    most = "greatest(" + ", ".join(f"count({q.variable})" for q in catalog) + ")"
     parts = []
-    for q in CATALOG:
+    for q in catalog:
         total = {"max_answered": most, "answered": f"count({q.variable})", "rows": "count(*)"}[denominator]
         parts.append(
             f"""SELECT {g}'{q.variable}' AS variable, '{q.category}' AS category, '{q.topic}' AS topic,
   '{q.facet}' AS facet, count(*) FILTER (WHERE {q.variable} = 1) AS n, {total} AS total FROM a{by}"""
         )
     if any_rows:
-        for (cat, facet), items in _cats().items():
+        for (cat, facet), items in _cats(catalog).items():
             cond = " OR ".join(f"{i} = 1" for i in items)
             parts.append(
                 f"""SELECT {g}'{cat} / {facet}', '{cat}', 'Any of these', '{facet}',
   count(*) FILTER (WHERE {cond}), count(*) FROM a{by}"""
             )
-    return f"WITH a AS ({_ANSWERS}), s AS ({' UNION ALL '.join(parts)}) SELECT *, {_PROP} FROM s"
+    return f"WITH a AS ({answers}), s AS ({' UNION ALL '.join(parts)}) SELECT *, {_PROP} FROM s"
 
 
-def _categories_sql(groups: bool) -> str:
-    g, by = ("grp, ", " GROUP BY grp") if groups else ("", "")
+def categories_sql(answers: str, catalog: list[P.Question], group: str | None = None) -> str:
+    g, by = (f"{group}, ", f" GROUP BY {group}") if group else ("", "")
     parts = []
-    for (cat, facet), items in _cats().items():
-        total = " + ".join(items)
+    for (cat, facet), items in _cats(catalog).items():
+        total = " + ".join(f"CAST({i} = 1 AS INTEGER)" for i in items)
         parts.append(
             f"""SELECT {g}'{cat} / {facet}' AS variable, '{cat}' AS category, '{facet}' AS facet,
   count(*) FILTER (WHERE {total} > 0) AS n, count({total}) AS total FROM a{by}"""
         )
-    return f"WITH a AS ({_ANSWERS}), s AS ({' UNION ALL '.join(parts)}) SELECT *, {_PROP} FROM s"
+    return f"WITH a AS ({answers}), s AS ({' UNION ALL '.join(parts)}) SELECT *, {_PROP} FROM s"
 
 
 QUERIES = {
-    "item_prevalence": (_items([]), _items_sql(False)),
-    "item_prevalence_by_group": (_items(["grp"]), _items_sql(True)),
-    "item_prevalence_rows": (_items([], "rows", False), _items_sql(False, "rows", False)),
-    "item_prevalence_rows_by_group": (_items(["grp"], "rows", False), _items_sql(True, "rows", False)),
-    "item_prevalence_answered": (_items([], "answered", False), _items_sql(False, "answered", False)),
-    "category_prevalence": (_categories([]), _categories_sql(False)),
-    "category_prevalence_by_group": (_categories(["grp"]), _categories_sql(True)),
+    "item_prevalence": (_items([]), items_sql(_ANSWERS, CATALOG)),
+    "item_prevalence_by_group": (_items(["grp"]), items_sql(_ANSWERS, CATALOG, "grp")),
+    "item_prevalence_rows": (_items([], "rows", False), items_sql(_ANSWERS, CATALOG, None, "rows", False)),
+    "item_prevalence_rows_by_group": (_items(["grp"], "rows", False), items_sql(_ANSWERS, CATALOG, "grp", "rows", False)),
+    "item_prevalence_answered": (_items([], "answered", False), items_sql(_ANSWERS, CATALOG, None, "answered", False)),
+    "category_prevalence": (_categories([]), categories_sql(_ANSWERS, CATALOG)),
+    "category_prevalence_by_group": (_categories(["grp"]), categories_sql(_ANSWERS, CATALOG, "grp")),
 }

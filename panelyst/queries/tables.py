@@ -113,32 +113,36 @@ _TICKS = f"""SELECT r_name AS grp, u.* FROM (SELECT user_id, {", ".join(
 )} FROM events GROUP BY user_id) u JOIN ({PARTICIPANTS}) p ON user_id = c_custkey"""
 
 
-def _binary_sql(n: int | None, keep: tuple[str, ...] = ()) -> str:
-    loose = [t for t in _TYPES if t not in keep]
-    all01 = " AND ".join(f"{t} IN (0, 1)" for t in _TYPES)
-    pos = {t: i for i, t in enumerate(loose)}
-    ranked = " UNION ALL ".join(f"SELECT '{t}' AS v, {pos[t]} AS p, (SELECT sum({t}) FROM x) AS s" for t in loose)
+def binary_sql(
+    rows: str, variables: dict[str, str], header: str, n: int | None = None, keep: tuple[str, ...] = ()
+) -> str:
+    """SQL twin of a check-box block; ``rows`` yields grp and the boxes."""
+    boxes = list(variables)
+    loose = [t for t in boxes if t not in keep]
+    all01 = " AND ".join(f'"{t}" IN (0, 1)' for t in boxes)
+    ranked = " UNION ALL ".join(
+        f"SELECT '{t}' AS v, {i} AS p, (SELECT sum(\"{t}\") FROM x) AS s" for i, t in enumerate(loose)
+    )
     longs = " UNION ALL ".join(
-        f"SELECT grp, '{t}' AS variable, '{_LABELS[t]}' AS level, {t} AS y FROM x" for t in _TYPES
+        f"SELECT grp, '{t}' AS variable, '{variables[t]}' AS level, \"{t}\" AS y FROM x" for t in boxes
     )
     if n is not None:
+        kept = ", ".join(repr(k) for k in (*keep, ""))
         longs = (
-            "SELECT * FROM ("
-            + longs
-            + f") WHERE variable IN (SELECT v FROM top WHERE pos <= {n}) OR variable IN ({', '.join(repr(k) for k in (*keep, ''))})"
+            f"SELECT * FROM ({longs}) WHERE variable IN (SELECT v FROM top WHERE pos <= {n}) OR variable IN ({kept})"
             + " UNION ALL SELECT grp, 'Other', 'Other', greatest("
-            + ", ".join(f"CASE WHEN '{t}' IN (SELECT v FROM top WHERE pos <= {n}) THEN 0 ELSE {t} END" for t in loose)
+            + ", ".join(f"CASE WHEN '{t}' IN (SELECT v FROM top WHERE pos <= {n}) THEN 0 ELSE \"{t}\" END" for t in loose)
             + ") FROM x"
         )
     return f"""
-WITH x AS (SELECT * FROM ({_TICKS}) WHERE {all01}),
+WITH x AS (SELECT * FROM ({rows}) WHERE {all01}),
 top AS (SELECT v, row_number() OVER (ORDER BY s DESC, p) AS pos FROM ({ranked})),
 l AS ({longs}),
 tot AS (SELECT variable, sum(y) AS level_n FROM l GROUP BY variable),
 c AS (SELECT variable, level, CAST(NULL AS VARCHAR) AS grp, 1 AS is_overall, sum(y) AS n, count(*) AS total
       FROM l GROUP BY variable, level
       UNION ALL SELECT variable, level, grp, 0, sum(y), count(*) FROM l GROUP BY variable, level, grp)
-SELECT 'Events' AS header, variable, level, CAST(level_n AS BIGINT) AS level_n, grp, is_overall,
+SELECT '{header}' AS header, variable, level, CAST(level_n AS BIGINT) AS level_n, grp, is_overall,
        CAST(n AS BIGINT) AS n, total, CAST(n AS DOUBLE) / total AS share
 FROM c JOIN tot USING (variable)"""
 
@@ -167,7 +171,7 @@ def continuous_mean(spark, sf):
     return round_cols(t, 4, "mean", "sd")
 
 
-def _mean_sql(base: str, group: str, variables: dict[str, str]) -> str:
+def mean_sql(base: str, group: str, variables: dict[str, str]) -> str:
     blocks = []
     for v, label in variables.items():
         for g, flag in ((group, 0), ("CAST(NULL AS VARCHAR)", 1)):
@@ -186,7 +190,7 @@ def continuous_median(spark, sf):
     return round_cols(t, 4, "median", "q25", "q75")
 
 
-def _median_sql(base: str, group: str, v: str, label: str) -> str:
+def median_sql(base: str, group: str, v: str, label: str) -> str:
     blocks = []
     for g, flag in ((group, 0), ("CAST(NULL AS VARCHAR)", 1)):
         blocks.append(
@@ -238,8 +242,8 @@ def report_assembly(spark, sf):
 _REPORT = f"""
 WITH f1 AS ({factor_sql(f"SELECT r_name AS grp, c_mktsegment AS level FROM ({_BALANCE})", "Segment")}),
 f2 AS ({factor_sql(f"SELECT r_name AS grp, balance AS level FROM ({_BALANCE})", "Balance")}),
-m AS ({_mean_sql(PARTICIPANTS, "r_name", {"c_acctbal": "Account"})}),
-y AS ({_binary_sql(None)})
+m AS ({mean_sql(PARTICIPANTS, "r_name", {"c_acctbal": "Account"})}),
+y AS ({binary_sql(_TICKS, _LABELS, "Events")})
 SELECT 'Table 1' AS "table", 1 AS block, header, level, grp, is_overall, n, total, share,
   CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS sd FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2)
 UNION ALL SELECT 'Table 1', 2, header, NULL, grp, is_overall, n, NULL, NULL, mean, sd FROM m
@@ -288,13 +292,13 @@ QUERIES = {
         """SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, p_brand) AS INTEGER) AS rank, p_brand AS level,
   count(*) AS n FROM part GROUP BY p_brand QUALIFY rank <= 10""",
     ),
-    "many_binary_table": (many_binary_table, _binary_sql(None)),
-    "many_binary_lump": (many_binary_lump, _binary_sql(1, ("signup",))),
+    "many_binary_table": (many_binary_table, binary_sql(_TICKS, _LABELS, "Events")),
+    "many_binary_lump": (many_binary_lump, binary_sql(_TICKS, _LABELS, "Events", 1, ("signup",))),
     "continuous_mean": (
         continuous_mean,
-        _mean_sql(_VISITS, "n_name", {"o_totalprice": "Price", "c_acctbal": "Balance"}),
+        mean_sql(_VISITS, "n_name", {"o_totalprice": "Price", "c_acctbal": "Balance"}),
     ),
-    "continuous_median": (continuous_median, _median_sql(_VISITS, "r_name", "o_totalprice", "Price")),
+    "continuous_median": (continuous_median, median_sql(_VISITS, "r_name", "o_totalprice", "Price")),
     "group_sizes": (
         group_sizes,
         f"""SELECT grp, n, is_overall, coalesce(grp, 'Overall') || ' (N=' || n || ')' AS heading FROM (
