@@ -74,15 +74,19 @@ def item_prevalence(
         raise ValueError(f"unknown denominator {denominator!r}")
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, q in enumerate(questions):
-        aggs += [
-            F.count_if(F.col(q.variable) == 1).alias(f"y{i}"),
-            F.count(q.variable).alias(f"a{i}"),
-        ]
+        aggs.append(F.count_if(F.col(q.variable) == 1).alias(f"y{i}"))
+        if denominator != "rows":
+            aggs.append(F.count(q.variable).alias(f"a{i}"))
     cats = _categories(questions) if any_rows else {}
     for j, items in enumerate(cats.values()):
         aggs.append(F.count_if(any_of([F.col(v) == 1 for v in items])).alias(f"c{j}"))
     answered = [F.col(f"a{i}") for i in range(len(questions))]
-    most = F.greatest(*answered) if len(answered) > 1 else answered[0]
+    if denominator == "rows":
+        totals = [F.col("_rows")] * len(questions)
+    elif denominator == "answered":
+        totals = answered
+    else:
+        totals = [F.greatest(*answered) if len(answered) > 1 else answered[0]] * len(questions)
     cells = [
         _cell(
             q.variable,
@@ -90,7 +94,7 @@ def item_prevalence(
             q.topic,
             q.facet,
             F.col(f"y{i}"),
-            {"max_answered": most, "answered": answered[i], "rows": F.col("_rows")}[denominator],
+            totals[i],
         )
         for i, q in enumerate(questions)
     ]

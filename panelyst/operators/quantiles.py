@@ -19,13 +19,20 @@ RANGES = 256
 _STEPS = (128, 64, 32, 16, 8, 4, 2, 1)
 
 
-def _range_of(value: Column, edges: Column) -> Column:
-    """Binary search: how many of the 255 ascending edges lie below the value."""
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in _STEPS]),
-        F.lit(0),
-        lambda pos, step: F.when(value > F.element_at(edges, pos + step), pos + step).otherwise(pos),
-    )
+def _with_range(df: DataFrame, value: str, edges: Column) -> DataFrame:
+    """Add ``_range``: how many of the 255 ascending edges lie below the value.
+
+    A binary search, one projection per step so that it runs as generated code.
+    The result is declared non-NULL, otherwise the joins on it would push a NULL
+    test, and with it the whole search, down to the scan of the raw rows.
+    """
+    out = df.withColumns({"_edges": edges, "_range": F.lit(0)})
+    for step in _STEPS:
+        out = out.withColumn(
+            "_range",
+            F.expr(f"coalesce(if({value} > element_at(_edges, _range + {step}), _range + {step}, _range), 0)"),
+        )
+    return out.drop("_edges")
 
 
 def running_total(
@@ -39,16 +46,13 @@ def running_total(
     groups = list(groups)
     # The sum is asked for so that this subquery needs the same columns as the
     # main branch, which lets both read one shuffle of ``counts``.
+    shares = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
     cuts = counts.agg(
-        F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("e"),
+        F.expr(f"percentile_approx({value}, array({shares}), {4 * RANGES})").alias("e"),
         F.sum(weight).alias("w"),
     )
     edges = cuts.select(F.when(F.col("w").isNotNull(), F.col("e"))).scalar()
-    ranged = (
-        counts.withColumn("_edges", edges)
-        .withColumn("_range", _range_of(F.col(value), F.col("_edges")))
-        .drop("_edges")
-    )
+    ranged = _with_range(counts, value, edges)
     per_range = ranged.groupBy(*groups, "_range").agg(F.sum(weight).alias("_w"))
     in_group = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     offsets = per_range.select(

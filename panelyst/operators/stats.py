@@ -3,15 +3,16 @@ statistics are then a handful of small aggregates on those."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from panelyst.functions.tails import chi2_p, f_p, normal_p
+from panelyst.operators.clean import SPECIAL_LEVELS
 from panelyst.operators.quantiles import running_total
-from panelyst.operators.tables import group_moments
+from panelyst.operators.tables import group_moments, level_counts
 
 # Fixed value: an expected count below this draws a warning.
 LOW_EXPECTED = 5
@@ -27,17 +28,24 @@ def contingency(df: DataFrame, row: str, col: str, header: str | None = None) ->
     )
 
 
-def chi_square(cells: DataFrame) -> DataFrame:
+def chi_square(cells: DataFrame, col_levels: Sequence[str] | None = None) -> DataFrame:
     """Chi-square test per header from cells ``(header, row, col, n)``.
 
     Absent cells count as 0, so sparse counts will do: with margins R and C and
     total N, the sum of (O-E)^2/E over all cells is N * (sum of O^2/(R*C) - 1).
     A 2x2 table gets the continuity correction (all four |O-E| are equal there).
     A single row or column is tested against equal shares. A zero margin gives
-    NULL. ``low_expected`` marks tests with an expected count under 5.
+    NULL; ``col_levels`` lists columns that count as empty where no cell has them.
+    ``low_expected`` marks tests with an expected count under 5.
     """
     rows = cells.groupBy("header", "row").agg(F.sum("n").alias("r"))
-    cols = cells.groupBy("header", "col").agg(F.sum("n").alias("c"))
+    of_col = cells.select("header", "col", "n")
+    if col_levels is not None:
+        levels = F.array(*[F.lit(x) for x in col_levels])
+        of_col = of_col.union(
+            rows.select("header").distinct().select("header", F.explode(levels), F.lit(0).cast("long"))
+        )
+    cols = of_col.groupBy("header", "col").agg(F.sum("n").alias("c"))
     of_rows = rows.groupBy("header").agg(
         F.count(F.lit(1)).alias("nr"),
         F.sum("r").alias("total"),
@@ -99,6 +107,19 @@ def table_chi_square(table: DataFrame) -> DataFrame:
     return chi_square(cells)
 
 
+def factor_chi_squares(
+    df: DataFrame,
+    group: str,
+    factors: Mapping[str, str],
+    groups: Sequence[str] | None = None,
+    exclude: Sequence[str] = SPECIAL_LEVELS,
+) -> DataFrame:
+    """Chi-square of many factors against the group, straight from one scan's counts."""
+    counts = level_counts(df, group, factors, exclude).where(F.col("grp").isNotNull())
+    cells = counts.select("header", F.col("level").alias("row"), F.col("grp").alias("col"), "n")
+    return chi_square(cells, groups)
+
+
 def attrition_chi_square(
     df: DataFrame, variables: Sequence[str], flag: str = "Set", merge: dict[str, dict[str, str]] | None = None
 ) -> DataFrame:

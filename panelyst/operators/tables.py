@@ -24,23 +24,33 @@ from panelyst.operators.clean import SPECIAL_LEVELS
 from panelyst.operators.quantiles import exact_quantiles
 
 OTHER = "Other"
+# Groups become the columns of a printed table; more than this is a wrong grouping.
+MAX_GROUPS = 10_000
+
+
+def _checked(groups: Column) -> Column:
+    """The group list, or an error (never a shortened table) when it is no list of columns."""
+    return F.when(F.size(groups) <= MAX_GROUPS, groups).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_GROUPS} groups in a summary table")).cast("array<string>")
+    )
 
 
 def level_counts(
     df: DataFrame,
     group: str,
-    factors: Sequence[str],
+    factors: Mapping[str, str] | Sequence[str],
     exclude: Sequence[str] = SPECIAL_LEVELS,
 ) -> DataFrame:
     """``(header, grp, level, n)`` for many factors in one pass over the data.
 
-    The factors of a row are turned into rows inside the scan stage and
+    ``factors`` may map column to header. The factors of a row are turned into rows inside the scan stage and
     collapse there again, so only (factor, group, level) counts are shuffled.
     """
+    headers = dict(factors) if isinstance(factors, Mapping) else {f: f for f in factors}
     cells = F.array(
         *[
-            F.struct(F.lit(f).alias("header"), F.col(f).cast("string").alias("level"))
-            for f in factors
+            F.struct(F.lit(h).alias("header"), F.col(f).cast("string").alias("level"))
+            for f, h in headers.items()
         ]
     )
     return (
@@ -96,7 +106,8 @@ def _fill_cells(counts: DataFrame, groups: Sequence[str] | None) -> DataFrame:
     if groups is None:
         seen = (
             per_group.where(F.col("grp").isNotNull())
-            .agg(F.sort_array(F.collect_set("grp")).alias("g"))
+            .agg(F.collect_set("grp").alias("g"))
+            .select(_checked(F.col("g")))
             .scalar()
         )
     else:
@@ -141,14 +152,7 @@ def one_factor_tables(
     ``factors`` may map column to header. Counts and shares are per group and
     overall; missing answers and special levels are in no denominator.
     """
-    counts = level_counts(df, group, list(factors), exclude)
-    if isinstance(factors, Mapping):
-        names = {k: v for k, v in factors.items() if k != v}
-        for column, header in names.items():
-            counts = counts.withColumn(
-                "header", F.when(F.col("header") == column, header).otherwise(F.col("header"))
-            )
-    return _fill_cells(counts, groups)
+    return _fill_cells(level_counts(df, group, factors, exclude), groups)
 
 
 def one_factor_table(
@@ -165,7 +169,7 @@ def one_factor_table(
 
     ``keep`` protects levels from lumping and has no effect without ``n``.
     """
-    counts = level_counts(df, group, [factor], exclude).withColumn("header", F.lit(header or factor))
+    counts = level_counts(df, group, {factor: header or factor}, exclude)
     if n is not None:
         counts = (
             counts.withColumn("level", lump_map(counts, n, keep))
@@ -258,7 +262,7 @@ def many_binary_table(
         F.sum("n").alias("all_n"),
         F.sum("_rows").alias("all_t"),
     )
-    seen = F.array(*[F.lit(g) for g in groups]) if groups is not None else F.map_keys("m")
+    seen = F.array(*[F.lit(g) for g in groups]) if groups is not None else _checked(F.map_keys("m"))
     cell = F.try_element_at("m", F.col("_g"))
     return (
         per_box.withColumn("_g", F.explode(F.concat(F.array(F.lit(None).cast("string")), seen)))

@@ -98,8 +98,7 @@ def site_chi_squares(study: DataFrame) -> DataFrame:
     """Each categorical characteristic against site."""
     demo = participant_answers(study)
     factors = {**K.TABLE1_FACTORS, **K.TABLE2_FACTORS, **K.CHI_SQUARE_EXTRA}
-    counts = tables.one_factor_tables(demo, "SITE_RC", factors, SITES)
-    tests = stats.with_chi2_p(stats.table_chi_square(counts))
+    tests = stats.with_chi2_p(stats.factor_chi_squares(demo, "SITE_RC", factors, SITES))
     first = is_in("header", list(K.TABLE1_FACTORS.values()))
     return tests.withColumn("table", F.when(first, "Table 1").otherwise("Table 2"))
 

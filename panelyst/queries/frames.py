@@ -1,6 +1,6 @@
 """Survey-shaped frames that Spark derives from the driver tables.
 
-One baseline row per customer, a follow-up for four in five, labs and visits from
+One baseline row per customer, a follow-up for nine in eleven, labs and visits from
 orders. Answers are arithmetic on the customer key, so the same frame can be
 written in SQL; sentinel codes, missing answers and all three questionnaire
 versions occur. The same definitions yield the Spark frame and its SQL.
@@ -104,6 +104,8 @@ SHEETS: dict[str, list] = {
     "outcome_SGen_RECODE": [None] * 12 + [1],
 }
 
+# Customers whose key has one of these remainders by 11 have no follow-up.
+_LOST = (0, 1)
 _ORDER = {c: i for i, c in enumerate([*BASELINE, *FOLLOWUP, *VERSIONED, *SHEETS])}
 
 
@@ -112,24 +114,25 @@ def _spread(name: str) -> tuple[int, int, int]:
     return 2 * i + 3, i + 5, i
 
 
-def answer(name: str, codes: list) -> Column:
+def _position(name: str, codes: list) -> str:
     a, b, c = _spread(name)
-    k = F.col("k")
-    at = (k * a + F.floor(k / 7).cast("long") * b + c) % len(codes) + 1
-    return F.element_at(F.array(*[F.lit(x) for x in codes]), at.cast("int")).alias(name)
+    return f"(k * {a} + (k {{div}} 7) * {b} + {c}) % {len(codes)} + 1"
 
 
-def _lit(x) -> str:
+def _literal(x) -> str:
     return "NULL" if x is None else repr(x)
 
 
+def answer(name: str, codes: list) -> str:
+    """Spark SQL expression of one answer."""
+    at = _position(name, codes).format(div="div")
+    return f"element_at(array({', '.join(map(_literal, codes))}), CAST({at} AS INT)) AS `{name}`"
+
+
 def answer_sql(name: str, codes: list) -> str:
-    a, b, c = _spread(name)
     kind = "VARCHAR" if any(isinstance(x, str) for x in codes) else "INTEGER"
-    return (
-        f"list_extract([{', '.join(_lit(x) for x in codes)}]::{kind}[], "
-        f"CAST((k * {a} + (k // 7) * {b} + {c}) % {len(codes)} + 1 AS INTEGER))"
-    )
+    at = _position(name, codes).format(div="//")
+    return f"list_extract([{', '.join(map(_literal, codes))}]::{kind}[], CAST({at} AS INTEGER))"
 
 
 # --- Spark frames -------------------------------------------------------------------
@@ -141,47 +144,31 @@ def _people(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(k.alias("k"), site.alias("SITE1"), pid.alias("PID"), "c_acctbal")
 
 
-def _today(k: Column) -> Column:
-    return F.date_add(F.lit("2017-01-01").cast("date"), (k * 37 % 400).cast("int"))
-
-
-def _born(k: Column) -> Column:
-    return F.date_add(F.lit("1983-01-01").cast("date"), (k * 911 % 6500).cast("int"))
-
-
 def baseline(spark: SparkSession, sf: str) -> DataFrame:
-    p = _people(spark, sf).where(F.col("k") % 17 != 0)
-    k, money = F.col("k"), F.col("c_acctbal")
-    years = F.floor(F.datediff(_today(k), _born(k)) / 365.25).cast("int")
-    return p.select(
+    p = _people(spark, sf).where("k % 17 <> 0")
+    today = "date_add(DATE'2017-01-01', CAST(k * 37 % 400 AS INT))"
+    born = "date_add(DATE'1983-01-01', CAST(k * 911 % 6500 AS INT))"
+    return p.selectExpr(
         "SITE1",
         "PID",
-        _today(k).cast("string").alias("TODAY"),
-        _born(k).cast("string").alias("DOB"),
-        F.year(_born(k)).alias("DOBY"),
-        F.when(k % 50 == 9, -1).otherwise(years).alias("AGE"),
-        F.when(k % 19 == 0, 99998)
-        .when(k % 23 == 0, F.lit(None))
-        .when(money < 1000, 0)
-        .otherwise(F.floor(money).cast("int"))
-        .alias("MONEY"),
-        F.lit(None).cast("int").alias("AGE_BLANK"),
+        f"CAST({today} AS STRING) AS TODAY",
+        f"CAST({born} AS STRING) AS DOB",
+        f"year({born}) AS DOBY",
+        f"CASE WHEN k % 50 = 9 THEN -1 ELSE CAST(floor(datediff({today}, {born}) / 365.25) AS INT) END AS AGE",
+        "CASE WHEN k % 19 = 0 THEN 99998 WHEN k % 23 = 0 THEN NULL WHEN c_acctbal < 1000 THEN 0 "
+        "ELSE CAST(floor(c_acctbal) AS INT) END AS MONEY",
+        "CAST(NULL AS INT) AS AGE_BLANK",
         *[answer(c, codes) for c, codes in BASELINE.items()],
     )
 
 
 def followup(spark: SparkSession, sf: str) -> DataFrame:
-    p = _people(spark, sf).where(F.col("k") % 5 != 0)
-    version = F.col("k") % 3
-    return p.select(
-        "SITE1",
-        "PID",
-        *[answer(c, codes) for c, codes in FOLLOWUP.items()],
-        *[
-            F.when(version.isin(list(where)), answer(c, codes)).alias(c)
-            for c, (codes, where) in VERSIONED.items()
-        ],
-    )
+    p = _people(spark, sf).where(f"k % 11 NOT IN {_LOST}")
+    versioned = []
+    for c, (codes, where) in VERSIONED.items():
+        value = answer(c, codes).rsplit(" AS ", 1)[0]
+        versioned.append(f"CASE WHEN k % 3 IN ({', '.join(map(str, where))}) THEN {value} END AS `{c}`")
+    return p.selectExpr("SITE1", "PID", *[answer(c, codes) for c, codes in FOLLOWUP.items()], *versioned)
 
 
 def _chart_ids(df: DataFrame, key: str) -> DataFrame:
@@ -230,7 +217,7 @@ def sheets(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """One adjudication sheet, keyed by site code; rows only where something was decided."""
     p = _people(spark, sf)
     code = F.element_at(F.array(*[F.lit(c) for c in K.SITE_CODES.values()]), F.col("SITE1"))
-    out = p.select(code.alias("SITE1"), "PID", *[answer(c, codes) for c, codes in SHEETS.items()])
+    out = p.withColumn("SITE1", code).selectExpr("SITE1", "PID", *[answer(c, x) for c, x in SHEETS.items()])
     return {"OTHER": out.where(F.coalesce(*[F.col(c).cast("string") for c in SHEETS]).isNotNull())}
 
 
@@ -257,7 +244,7 @@ FOLLOWUP_SQL = f"""SELECT k, list_extract({SITE_SQL}, site_no) AS SITE1, PID,
     f'CASE WHEN k % 3 IN ({", ".join(str(w) for w in where)}) THEN {answer_sql(c, codes)} END AS "{c}"'
     for c, (codes, where) in VERSIONED.items()
   )}
-FROM ({_PEOPLE_SQL}) WHERE k % 5 <> 0 AND {answer_sql("S56_1", FOLLOWUP["S56_1"])} IS NOT NULL
+FROM ({_PEOPLE_SQL}) WHERE k % 11 NOT IN {_LOST} AND {answer_sql("S56_1", FOLLOWUP["S56_1"])} IS NOT NULL
   AND NOT coalesce(contains({answer_sql("S56_2S", FOLLOWUP["S56_2S"])}, '.....'), false)"""
 
 # Rows of the re-keyed site that the cross-walk lacks are linked to nobody.

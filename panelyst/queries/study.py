@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from panelyst.operators import columns
 from panelyst.plans import catalog as K
 from panelyst.plans import derive as D
 from panelyst.plans import reports as R
@@ -14,6 +12,7 @@ from panelyst.queries.base import round_cols
 from panelyst.queries.prevalence import categories_sql, items_sql
 from panelyst.queries.tables import binary_sql, factor_sql, mean_sql, median_sql
 from panelyst.queries.tests import chi2_p_sql, chi_square_sql, f_p_sql
+from panelyst.sources.sinks import shared_folder
 
 
 # --- the pipeline ----------------------------------------------------------------------
@@ -33,11 +32,24 @@ def linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return table, base
 
 
-def study(spark: SparkSession, sf: str) -> DataFrame:
+def derived(spark: SparkSession, sf: str) -> DataFrame:
     table, base = linked(spark, sf)
     return D.derive(table, base)
 
 
+_STAGED: dict[tuple[str, str], str] = {}
+
+
+def study(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived table, written once per application for the reports to read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STAGED:
+        path = f"{shared_folder(spark)}/study"
+        derived(spark, sf).write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
+
+
 def study_harmonised(spark, sf):
     follow, _ = D.clean_followup(X.followup(spark, sf))
     return D.site_codes(D.harmonise_followup(follow)).select(
@@ -82,7 +94,7 @@ _SCORES = [s.name for s in K.SCALES]
 
 def _columns(names):
     def run(spark, sf):
-        return study(spark, sf).select(*K.KEYS, *names)
+        return derived(spark, sf).select(*K.KEYS, *names)
 
     return run
 
@@ -261,14 +273,9 @@ _COHORT_SQL = f"""cohort AS MATERIALIZED (SELECT * REPLACE (
 _WITH = f"WITH {STUDY_SQL}, {_COHORT_SQL}"
 
 
-def _all_sites(block: str) -> str:
-    """Assert-free: every site occurs in the frames, so explicit sites add no rows."""
-    return block
-
-
 def _factors(factors: dict[str, str], suffix: str = "") -> str:
     return " UNION ALL ".join(
-        f"""SELECT * FROM ({factor_sql(f'SELECT "SITE_RC" AS grp, "{c}{suffix}"::VARCHAR AS level FROM cohort', h)})"""
+        f"""SELECT * FROM ({factor_sql(f'SELECT "SITE_RC" AS grp, "{c}{suffix}"::VARCHAR AS level FROM cohort', h, groups=R.SITES)})"""
         for c, h in factors.items()
     )
 
@@ -346,7 +353,7 @@ _TABLE3_SQL = _report_sql(
             _BINARY_COLS,
         ),
         (
-            factor_sql('SELECT "SITE_RC" AS grp, "S56_11_L" AS level FROM cohort', "SNS Used Most Often", 3),
+            factor_sql('SELECT "SITE_RC" AS grp, "S56_11_L" AS level FROM cohort', "SNS Used Most Often", 3, groups=R.SITES),
             _FACTOR_COLS,
         ),
         (f"SELECT * FROM ({_factors(K.TABLE3_OFTEN, '_L')}) WHERE level = '{K.OFTEN}'", _FACTOR_COLS),
@@ -485,7 +492,7 @@ QUERIES = {
         study_rejects,
         f"""SELECT SITE1, PID, "S56_1", "S56_2S" FROM (
   SELECT list_extract({X.SITE_SQL}, site_no) AS SITE1, PID, {X.answer_sql("S56_1", X.FOLLOWUP["S56_1"])} AS "S56_1",
-    {X.answer_sql("S56_2S", X.FOLLOWUP["S56_2S"])} AS "S56_2S" FROM ({X._PEOPLE_SQL}) WHERE k % 5 <> 0)
+    {X.answer_sql("S56_2S", X.FOLLOWUP["S56_2S"])} AS "S56_2S" FROM ({X._PEOPLE_SQL}) WHERE k % 11 NOT IN {X._LOST})
   WHERE "S56_1" IS NULL OR coalesce(contains("S56_2S", '.....'), false)""",
     ),
 }

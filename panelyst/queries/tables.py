@@ -10,8 +10,14 @@ from panelyst.queries.base import PARTICIPANTS, participants, round_cols, table
 _SPECIAL = "('Skipped', 'Refuse to answer', 'Missing')"
 
 
-def factor_sql(base: str, header: str, n: int | None = None, keep: tuple[str, ...] = (), with_cte: bool = True) -> str:
+def factor_sql(
+    base: str, header: str, n: int | None = None, keep: tuple[str, ...] = (), groups: list[str] | None = None
+) -> str:
     """SQL twin of a one-factor block; ``base`` yields (grp, level)."""
+    seen = "SELECT grp, count(*) AS total FROM f WHERE grp IS NOT NULL GROUP BY grp"
+    if groups is not None:
+        listed = ", ".join(f"('{g}')" for g in groups)
+        seen = f"SELECT g AS grp, coalesce(total, 0) AS total FROM (VALUES {listed}) v(g) LEFT JOIN ({seen}) t ON g = grp"
     if n is None:
         level = "level"
         ranks = ""
@@ -28,7 +34,7 @@ WITH d AS ({base}),
 f0 AS (SELECT * FROM d WHERE level IS NOT NULL AND level NOT IN {_SPECIAL}){ranks},
 f AS (SELECT grp, {level} AS level FROM f0),
 lv AS (SELECT level, count(*) AS level_n FROM f GROUP BY level),
-gt AS (SELECT grp, count(*) AS total FROM f WHERE grp IS NOT NULL GROUP BY grp),
+gt AS ({seen}),
 cell AS (SELECT grp, level, count(*) AS n FROM f GROUP BY grp, level),
 cells AS (
   SELECT level, level_n, CAST(NULL AS VARCHAR) AS grp, 1 AS is_overall, level_n AS n,
@@ -37,7 +43,7 @@ cells AS (
   SELECT lv.level, level_n, gt.grp, 0, coalesce(cell.n, 0), gt.total
   FROM lv CROSS JOIN gt LEFT JOIN cell ON cell.grp = gt.grp AND cell.level = lv.level)
 SELECT '{header}' AS header, level, level_n, grp, is_overall, n, total,
-       CAST(n AS DOUBLE) / total AS share FROM cells"""
+       CASE WHEN total > 0 THEN CAST(n AS DOUBLE) / total END AS share FROM cells"""
 
 
 def one_factor_table(spark, sf):

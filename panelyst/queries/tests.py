@@ -38,7 +38,7 @@ e AS (SELECT g.*, nr, nc, cells, CASE WHEN nr = 1 OR nc = 1 THEN t::DOUBLE / cel
         ELSE r::DOUBLE * k / t END AS e FROM g JOIN d USING (header)),
 y AS (SELECT *, CASE WHEN nr = 2 AND nc = 2 THEN least(0.5, min(abs(n - e)) OVER (PARTITION BY header)) ELSE 0 END AS y
       FROM e)
-SELECT header, round(sum((abs(n - e) - y) * (abs(n - e) - y) / e), 6) AS statistic,
+SELECT header, CASE WHEN min(e) > 0 THEN round(sum((abs(n - e) - y) * (abs(n - e) - y) / e), 6) END AS statistic,
   CAST(CASE WHEN min(nr) = 1 OR min(nc) = 1 THEN min(cells) - 1 ELSE (min(nr) - 1) * (min(nc) - 1) END AS BIGINT) AS df,
   CAST(min(e) < 5 AS INTEGER) AS low_expected
 FROM y GROUP BY header"""

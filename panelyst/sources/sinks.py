@@ -47,9 +47,9 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False, mode: str =
     """Export a table as CSV with a header, NULL as an empty field.
 
     ``single_file`` is for finished report tables, whose size depends on levels and
-    groups only.
+    groups only; the work before it stays spread out.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     out.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
