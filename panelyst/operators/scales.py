@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
-from itertools import combinations
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,27 +63,81 @@ def score_scales(df: DataFrame, scales: Sequence[Scale], suffix: str = "_RC") ->
     return clean_items(df, scales, suffix).withColumns({s.name: score(s, suffix) for s in scales})
 
 
+def _pair_sums(widths: list[int]):
+    """Arrow batches of item columns to sums over each pair of items of a scale.
+
+    For items i and j, over the rows where both are answered: ``n`` rows, ``si`` and
+    ``sj`` the sums and ``p`` the sum of products. Three small matrix products per
+    scale and batch; whole-number answers add up exactly.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns]
+            out = {k: [] for k in ("scale", "i", "j", "n", "si", "sj", "p")}
+            at = 0
+            for scale, k in enumerate(widths):
+                x = np.column_stack(cols[at : at + k])
+                at += k
+                known = ~np.isnan(x)
+                x = np.where(known, x, 0.0)
+                known = known.astype("float64")
+                s = x.T @ known
+                out["scale"].append(np.full(k * k, scale))
+                out["i"].append(np.repeat(np.arange(k), k))
+                out["j"].append(np.tile(np.arange(k), k))
+                out["n"].append((known.T @ known).ravel())
+                out["si"].append(s.ravel())
+                out["sj"].append(s.T.ravel())
+                out["p"].append((x.T @ x).ravel())
+            yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
+
+    return run
+
+
 def cronbach_alpha(df: DataFrame, scales: Sequence[Scale], suffix: str = "_RC") -> DataFrame:
-    """Raw alpha per scale from pairwise-complete covariances.
+    """Raw alpha per scale from pairwise-complete covariances, all in one pass.
 
-    All variances and covariances of all scales come from one aggregate over
-    the table; nothing but their sums is shuffled.
+    Hundreds of covariance aggregates side by side are too wide for generated
+    code, so each task reduces its batches to pair sums and Spark adds those up: k
+    squared short rows per batch and scale are all that is shuffled.
     """
-    aggs, cells = [], []
-    for i, s in enumerate(scales):
-        items = [F.col(x + suffix).cast("double") for x in s.items]
-        k = len(items)
-        variances = [F.var_samp(c) for c in items]
-        covariances = [F.covar_samp(a, b) for a, b in combinations(items, 2)]
-        aggs.append(reduce(add, variances).alias(f"v{i}"))
-        aggs.append(reduce(add, covariances).alias(f"c{i}") if covariances else F.lit(None).alias(f"c{i}"))
-        total = F.col(f"v{i}") + 2 * F.col(f"c{i}")
-        cells.append(
-            F.struct(
-                F.lit(s.label or s.name).alias("scale"),
-                F.try_divide(2 * F.col(f"c{i}") * F.lit(k / (k - 1)) if k > 1 else F.lit(None), total).alias("alpha"),
-                F.lit(k).alias("n_items"),
-                F.lit(", ".join(x + suffix for x in s.items)).alias("items"),
-            )
+    items = [i + suffix for s in scales for i in s.items]
+    columns = df.select(*[F.col(c).cast("double").alias(f"c{at}") for at, c in enumerate(items)])
+    sums = (
+        columns.mapInArrow(
+            _pair_sums([len(s.items) for s in scales]),
+            "scale long, i long, j long, n double, si double, sj double, p double",
+        )
+        .groupBy("scale", "i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "p")])
+    )
+    cov = F.try_divide(
+        F.col("p") - F.try_divide(F.col("si") * F.col("sj"), F.col("n")),
+        F.when(F.col("n") > 1, F.col("n") - 1),
+    )
+    totals = sums.groupBy("scale").agg(
+        F.sum(cov).alias("total"), F.sum(F.when(F.col("i") == F.col("j"), cov)).alias("own"),
+        F.count_if(cov.isNull()).alias("unknown"),
+    )
+    about = df.sparkSession.createDataFrame(
+        [
+            (at, s.label or s.name, len(s.items), ", ".join(i + suffix for i in s.items))
+            for at, s in enumerate(scales)
+        ],
+        "scale long, label string, n_items int, items string",
+    )
+    k = F.col("n_items")
+    alpha = F.try_divide(k, k - 1) * (1 - F.try_divide(F.col("own"), F.col("total")))
+    return (
+        about.join(totals, "scale", "left")
+        .select(
+            F.col("label").alias("scale"),
+            F.when(F.col("unknown") == 0, alpha).alias("alpha"),
+            "n_items",
+            "items",
         )
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    )

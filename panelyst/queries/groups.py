@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 from panelyst.functions.nulls import agg_sum0
 from panelyst.operators import groups as G
 from panelyst.operators.quantiles import exact_quantiles
-from panelyst.queries.base import BATTERY, PARTICIPANTS, battery, labelled_documents, participants, round_cols, table
+from panelyst.queries.base import (
+    BATTERY,
+    PARTICIPANTS,
+    battery,
+    labelled_documents,
+    participants,
+    round_cols,
+    round_mean_sql,
+    round_means,
+    table,
+)
 
 
 def counts_overall_and_group(spark, sf):
     p = participants(spark, sf).withColumn("region", F.when(F.col("r_name") != "ASIA", F.col("r_name")))
-    return round_cols(
+    return round_means(
         G.overall_and_by_group(
             p, "region", n=F.count(F.lit(1)), mean=F.avg("c_acctbal"), low=F.min("c_acctbal"), high=F.max("c_acctbal")
         ),
-        4,
         "mean",
     )
 
@@ -93,7 +102,7 @@ QUERIES = {
     "counts_overall_and_group": (
         counts_overall_and_group,
         f"""WITH p AS (SELECT CASE WHEN r_name <> 'ASIA' THEN r_name END AS region, c_acctbal FROM ({PARTICIPANTS}))
-SELECT region, CAST(grouping(region) AS INTEGER) AS is_overall, count(*) AS n, round(avg(c_acctbal), 4) AS mean,
+SELECT region, CAST(grouping(region) AS INTEGER) AS is_overall, count(*) AS n, {round_mean_sql("avg(c_acctbal)")} AS mean,
   min(c_acctbal) AS low, max(c_acctbal) AS high FROM p GROUP BY GROUPING SETS ((region), ())""",
     ),
     "share_of_group": (

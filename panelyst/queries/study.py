@@ -8,7 +8,7 @@ from panelyst.plans import catalog as K
 from panelyst.plans import derive as D
 from panelyst.plans import reports as R
 from panelyst.queries import frames as X
-from panelyst.queries.base import round_cols
+from panelyst.queries.base import round_cols, round_means
 from panelyst.queries.prevalence import categories_sql, items_sql
 from panelyst.queries.tables import binary_sql, factor_sql, mean_sql, median_sql
 from panelyst.queries.tests import chi2_p_sql, chi_square_sql, f_p_sql
@@ -107,10 +107,12 @@ def study_codebook(spark, sf):
     return D.study_codebook(D.extract(study(spark, sf)))
 
 
-def _table(fn, *rounded):
+def _table(fn):
     def run(spark, sf):
         t = fn(study(spark, sf))
-        return round_cols(t, 4, *[c for c in rounded if c in t.columns]).select(sorted(t.columns))
+        means = [c for c in ("mean", "sd") if c in t.columns]
+        quartiles = [c for c in ("median", "q25", "q75") if c in t.columns]
+        return round_cols(round_means(t, *means), 4, *quartiles).select(sorted(t.columns))
 
     return run
 
@@ -443,9 +445,9 @@ QUERIES = {
         ),
     ),
     "study_codebook": (study_codebook, None),
-    "study_table1": (_table(R.table1, "median", "q25", "q75"), _TABLE1_SQL),
-    "study_table2": (_table(R.table2, "mean", "sd"), _TABLE2_SQL),
-    "study_table3": (_table(R.table3, "mean", "sd"), _TABLE3_SQL),
+    "study_table1": (_table(R.table1), _TABLE1_SQL),
+    "study_table2": (_table(R.table2), _TABLE2_SQL),
+    "study_table3": (_table(R.table3), _TABLE3_SQL),
     "study_site_chi_squares": (
         lambda spark, sf: round_cols(R.site_chi_squares(study(spark, sf)), 6, "statistic", "p"),
         _CHI_SQL,

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelyst.operators import tables as T
-from panelyst.queries.base import PARTICIPANTS, participants, round_cols, table
+from panelyst.queries.base import (
+    PARTICIPANTS,
+    participants,
+    round_cols,
+    round_mean_sql,
+    round_means,
+    table,
+)
 
 _SPECIAL = "('Skipped', 'Refuse to answer', 'Missing')"
 
@@ -174,7 +181,7 @@ def continuous_mean(spark, sf):
     t = T.continuous_tables(
         _visits(spark, sf), "n_name", {"o_totalprice": "Price", "c_acctbal": "Balance"}, "mean"
     )
-    return round_cols(t, 4, "mean", "sd")
+    return round_means(t, "mean", "sd")
 
 
 def mean_sql(base: str, group: str, variables: dict[str, str]) -> str:
@@ -183,7 +190,7 @@ def mean_sql(base: str, group: str, variables: dict[str, str]) -> str:
         for g, flag in ((group, 0), ("CAST(NULL AS VARCHAR)", 1)):
             blocks.append(
                 f"""SELECT '{v}' AS variable, {g} AS grp, {flag} AS is_overall, count({v}) AS n,
-  round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS sd,
+  {round_mean_sql(f"avg({v})")} AS mean, {round_mean_sql(f"stddev_samp({v})")} AS sd,
   CAST((SELECT min({v}) FROM b) AS DOUBLE) AS range_min, CAST((SELECT max({v}) FROM b) AS DOUBLE) AS range_max,
   '{label}' AS header FROM b"""
                 + (f" WHERE {group} IS NOT NULL GROUP BY {group}" if flag == 0 else "")
@@ -238,7 +245,7 @@ FROM b CROSS JOIN t GROUP BY c_mktsegment"""
 def report_assembly(spark, sf):
     people = _with_balance(spark, sf)
     factor = T.one_factor_tables(people, "r_name", {"c_mktsegment": "Segment", "balance": "Balance"})
-    means = round_cols(T.continuous_tables(people, "r_name", {"c_acctbal": "Account"}, "mean"), 4, "mean", "sd")
+    means = round_means(T.continuous_tables(people, "r_name", {"c_acctbal": "Account"}, "mean"), "mean", "sd")
     ticks = T.many_binary_table(_ticks(spark, sf), "r_name", _LABELS, "Events")
     return T.report({"Table 1": [factor, means], "Table 2": [ticks]}).select(
         "table", "block", "header", "level", "grp", "is_overall", "n", "total", "share", "mean", "sd"
