@@ -79,38 +79,32 @@ def not_among(c: Column | str, values: Sequence) -> Column:
     return indicator(~is_in(c, values))
 
 
+SPLIT_LABELS = ("Zero", "Low", "High", "Don't know")
+
+
+def non_zero_median(df: DataFrame, value: str) -> Column:
+    """Exact median of the non-zero values, as a scalar subquery."""
+    return exact_quantiles(df.where(F.col(value) != 0), value, [0.5]).select("q1").scalar()
+
+
+def split_at(c: Column | str, cut: Column, labels: Sequence[str] = SPLIT_LABELS) -> Column:
+    """Zero / below / at-or-above the cut / unknown."""
+    c = as_col(c)
+    zero, low, high, unknown = labels
+    return ladder([(c.isNull(), unknown), (c == 0, zero), ((c > 0) & (c < cut), low), (c >= cut, high)])
+
+
 def median_split(
-    df: DataFrame,
-    value: str,
-    out: str,
-    labels: Sequence[str] = ("Zero", "Low", "High", "Don't know"),
-    source: DataFrame | None = None,
+    df: DataFrame, value: str, out: str, labels: Sequence[str] = SPLIT_LABELS, source: DataFrame | None = None
 ) -> DataFrame:
-    """Zero / below / at-or-above the median of the non-zero values / unknown.
+    """Split at the median of the non-zero values.
 
-    The median is exact and reaches the rows as a scalar subquery, so the
-    table itself is neither shuffled nor joined. ``source`` may name a cheaper
-    table with the same values, such as the one ``df`` was joined from.
+    The median reaches the rows as a scalar subquery, so the table itself is
+    neither shuffled nor joined. ``source`` may name a cheaper table with the
+    same values, such as the one ``df`` was joined from.
     """
-    v = F.col(value)
-    base = df if source is None else source
-    threshold = exact_quantiles(base.where(v != 0), value, [0.5]).select("q1").scalar()
-    zero, low, high, unknown = labels
-    return (
-        df.withColumn("_cut", threshold)
-        .withColumn(
-            out,
-            ladder(
-                [
-                    (v.isNull(), unknown),
-                    (v == 0, zero),
-                    ((v > 0) & (v < F.col("_cut")), low),
-                    (v >= F.col("_cut"), high),
-                ]
-            ),
-        )
-        .drop("_cut")
-    )
+    cut = non_zero_median(df if source is None else source, value)
+    return df.withColumn(out, split_at(value, cut, labels))
 
 
 def band(c: Column | str, edges: Sequence, labels: Sequence[str]) -> Column:

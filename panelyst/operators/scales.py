@@ -36,8 +36,8 @@ def clean_item(scale: Scale, item: str) -> Column:
     return F.lit(scale.reverse[item]) - c if item in scale.reverse else c
 
 
-def clean_items(df: DataFrame, scales: Sequence[Scale], suffix: str = "_RC") -> DataFrame:
-    """Add the cleaned items of all scales in one projection.
+def cleaned(scales: Sequence[Scale], suffix: str = "_RC") -> dict[str, Column]:
+    """Cleaned items of all scales by name.
 
     Scales may share an item only if they clean it alike, as its cleaned form has
     one name.
@@ -48,7 +48,12 @@ def clean_items(df: DataFrame, scales: Sequence[Scale], suffix: str = "_RC") ->
             rule = (s.max_valid, s.remap, s.reverse.get(i))
             if rules.setdefault(i, rule) != rule:
                 raise ValueError(f"item {i!r} is cleaned in two ways; use different suffixes")
-    return df.withColumns({i + suffix: clean_item(s, i) for s in scales for i in s.items})
+    return {i + suffix: clean_item(s, i) for s in scales for i in s.items}
+
+
+def clean_items(df: DataFrame, scales: Sequence[Scale], suffix: str = "_RC") -> DataFrame:
+    """Add the cleaned items of all scales in one projection."""
+    return df.withColumns(cleaned(scales, suffix))
 
 
 def score(scale: Scale, suffix: str = "_RC") -> Column:

@@ -1,14 +1,13 @@
 """From raw waves and chart extracts to the linked, recoded, scored table.
 
-Each step is a projection or an equi-join on (site, participant). The steps are
-kept apart because a single projection of all derived columns would be
-too large for generated code; Catalyst merges those that are cheap to merge.
+Each step is a projection or an equi-join on (site, participant). Derived
+variables are dictionaries of column expressions, put into as few projections as
+their dependencies allow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,48 +153,30 @@ def _ladder(spec: K.Ladder) -> Column:
     return recode.ladder(rules, fallback)
 
 
-def recode_answers(df: DataFrame) -> DataFrame:
+def recodes() -> dict[str, Column]:
     out = {"SITE_RC": recode.recode("SITE1", K.SITE_LABELS)}
     for name, spec in K.RECODES.items():
         label = recode.recode(spec.source, spec.levels)
         out[name] = recode.override(spec.override, label) if spec.override else label
-    out |= {name: _ladder(spec) for name, spec in K.LADDERS.items()}
-    out["AGE_RC"] = S.age_years(S.parse_date("TODAY"), S.parse_date("DOB"))
-    return df.withColumns(out)
+    return out | {name: _ladder(spec) for name, spec in K.LADDERS.items()}
 
 
-def money_and_time(df: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """Income and its median split; years since diagnosis.
-
-    ``baseline`` is where the median is taken from: it has the same incomes as the
-    linked table and no joins to redo.
-    """
-    def money(t: DataFrame) -> DataFrame:
-        return t.withColumn("MONEY_RC", S.coalesce_codes("MONEY", K.MONEY_UNKNOWN)).withColumn(
-            "MONEY_RC_Log", S.log_plus_one("MONEY_RC")
-        )
-
-    source = money((df if baseline is None else baseline).select("MONEY"))
-    out = recode.median_split(money(df), "MONEY_RC_Log", "MONEY_RC_Cat", source=source)
+def time_and_money() -> dict[str, Column]:
     today = S.parse_date("TODAY")
-    return out.withColumns(
-        {
-            "TIMESINCEHIV": recode.years_since_event(today, "DIAGHIV", K.SINCE_BIRTH, "AGE_RC"),
-            "BORNHIV_MCD": recode.same_year("HIVDiagnosisYear_MCD", "DOBY"),
-            "TIMESINCEHIV_MCD": S.years_since(today, "HIVDiagnosisYear_MCD"),
-        }
-    )
-
-
-def dummy_columns(df: DataFrame) -> DataFrame:
-    out: dict[str, Column] = {}
-    for prefix, spec in K.DUMMIES.items():
-        out |= recode.dummies(spec.source, prefix, spec.levels, spec.reference)
-    return df.withColumns(out)
+    age = S.age_years(today, S.parse_date("DOB"))
+    money = S.coalesce_codes("MONEY", K.MONEY_UNKNOWN)
+    return {
+        "AGE_RC": age,
+        "MONEY_RC": money,
+        "MONEY_RC_Log": S.log_plus_one(money),
+        "TIMESINCEHIV": recode.years_since_event(today, "DIAGHIV", K.SINCE_BIRTH, age),
+        "BORNHIV_MCD": recode.same_year("HIVDiagnosisYear_MCD", "DOBY"),
+        "TIMESINCEHIV_MCD": S.years_since(today, "HIVDiagnosisYear_MCD"),
+    }
 
 
-def box_flags(df: DataFrame) -> DataFrame:
-    """Disclosure and drug flags, then "none" and "any" from them."""
+def box_flags() -> dict[str, Column]:
+    """Disclosure and drug flags."""
     out = {}
     for name, spec in K.BOX_FLAGS.items():
         if spec.all_known:
@@ -206,35 +187,55 @@ def box_flags(df: DataFrame) -> DataFrame:
     out["DRUG_RCD_Missing"] = N.indicator(
         (F.col("DRUG1L") == K.REFUSED) & (F.col("DRUG2L") == K.REFUSED)
     )
-    df = df.withColumns(out)
-    for prefix, any_name in (("DISC", "DISC_RCD_Anyone"), ("DRUG", "DRUG_RCD_Uses")):
-        flags = [c for c in out if c.startswith(prefix)]
-        df = df.withColumn(f"{prefix}_RCR_None", recode.none_of(flags))
-        df = df.withColumn(any_name, recode.complement(f"{prefix}_RCR_None"))
-    return df
+    return out
 
 
-def outcomes(df: DataFrame) -> DataFrame:
-    df = clean.zero_fill(df, ["outcome_SSex_RECODE", "outcome_SGen_RECODE"])
+def outcomes() -> dict[str, Column]:
     out = {}
     for name, (items, text) in K.OUTCOMES.items():
         hit = N.any_equal(items)
-        out[name] = N.indicator(hit | (F.col(text) == 1) if text else hit)
-    return df.withColumns(out)
+        out[name] = N.indicator(hit | (F.coalesce(F.col(text), F.lit(0)) == 1) if text else hit)
+    return out
+
+
+def dummy_columns(prefixes: list[str]) -> dict[str, Column]:
+    out: dict[str, Column] = {}
+    for prefix in prefixes:
+        spec = K.DUMMIES[prefix]
+        out |= recode.dummies(spec.source, prefix, spec.levels, spec.reference)
+    return out
 
 
 def derive(linked: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """All derived variables of the linked table."""
-    steps = (
-        recode_answers,
-        lambda d: money_and_time(d, baseline),
-        dummy_columns,
-        box_flags,
-        lambda d: scales.clean_items(d, K.SINGLE_ITEMS),
-        lambda d: scales.score_scales(d, K.SCALES),
-        outcomes,
+    """All derived variables of the linked table, in three projections.
+
+    The table is too wide for whole-stage code, so every projection copies its
+    rows; variables are therefore grouped by what they build on, not by topic.
+    ``baseline`` is where the income median is taken from: it has the same incomes
+    as the linked table and no joins to redo.
+    """
+    source = (linked if baseline is None else baseline).select(time_and_money()["MONEY_RC_Log"].alias("m"))
+    flags = box_flags()
+    from_answers = (
+        recodes()
+        | time_and_money()
+        | flags
+        | outcomes()
+        | scales.cleaned([*K.SINGLE_ITEMS, *K.SCALES])
+        | {c: F.coalesce(F.col(c), F.lit(0)) for c in K.RECODE_COLUMNS if c.startswith("outcome")}
     )
-    return reduce(lambda d, step: step(d), steps, linked)
+    groups = {p: [c for c in flags if c.startswith(p)] for p in ("DISC", "DRUG")}
+    from_recodes = (
+        {"MONEY_RC_Cat": recode.split_at("MONEY_RC_Log", recode.non_zero_median(source, "m"))}
+        | dummy_columns([p for p in K.DUMMIES if p != "MONEY"])
+        | {s.name: scales.score(s) for s in K.SCALES}
+        | {f"{p}_RCR_None": recode.none_of(names) for p, names in groups.items()}
+    )
+    last = dummy_columns(["MONEY"]) | {
+        "DISC_RCD_Anyone": recode.complement("DISC_RCR_None"),
+        "DRUG_RCD_Uses": recode.complement("DRUG_RCR_None"),
+    }
+    return linked.withColumns(from_answers).withColumns(from_recodes).withColumns(last)
 
 
 def extract(study: DataFrame) -> DataFrame:
