@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelyst.functions.nulls import all_in, is_in
@@ -363,19 +364,21 @@ def continuous_tables(
                 ["grp"],
                 overall=True,
             ).where((F.col("is_overall") == 1) | F.col("grp").isNotNull())
-            ends = q.where("is_overall = 1").select(
-                F.lit(v).alias("variable"), F.col("q1").alias("range_min"), F.col("q5").alias("range_max")
-            )
+            # Over the finished rows, one per group.
+            rows = W.partitionBy("variable")
+            everyone = F.col("is_overall") == 1
             parts.append(
-                q.select(
-                    F.lit(v).alias("variable"),
+                q.withColumn("variable", F.lit(v)).select(
+                    "variable",
                     "grp",
                     "is_overall",
                     "n",
                     F.col("q3").alias("median"),
                     F.col("q2").alias("q25"),
                     F.col("q4").alias("q75"),
-                ).join(ends, "variable")
+                    F.max(F.when(everyone, F.col("q1"))).over(rows).alias("range_min"),
+                    F.max(F.when(everyone, F.col("q5"))).over(rows).alias("range_max"),
+                )
             )
         table = reduce(DataFrame.unionByName, parts)
     label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
