@@ -117,7 +117,8 @@ def test_zero_margin_is_null(spark):
     assert run_chi(cells(spark, [[5, 0, 9], [4, 0, 2]]))["statistic"] is None
     df = cells(spark, [[5, 9], [4, 2], [3, 3]])
     assert S.chi_square(df, ["c0", "c1", "c2"]).first()["statistic"] is None
-    assert S.chi_square(df, ["c0", "c1"]).first()["statistic"] == S.chi_square(df).first()["statistic"]
+    plain = S.chi_square(df).first()["statistic"]
+    assert S.chi_square(df, ["c0", "c1"]).first()["statistic"] == pytest.approx(plain, rel=1e-12)
 
 
 def test_headers_are_separate_tests(spark):
