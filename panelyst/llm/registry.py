@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyst.llm import tokens, warc
-from panelyst.sources.sinks import shared_folder
+from panelyst.llm import decontaminate, mixing, tokens, warc
+from panelyst.sources.sinks import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,39 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = materialise(decontaminate.item_sketches(_table(spark, sf_dir, "benchmark")), "items")
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), items).drop("row")
+
+
+#: Words with A-Z in lower case, and the distinct five-word shingles of each row.
+SHINGLES_SQL = """
+{name}_words as (
+  select {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') as w
+  from {table} where text is not null
+), {name} as (
+  select distinct {id}, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as shingle
+  from {name}_words
+)"""
+
+OP7_SQL = f"""
+with {SHINGLES_SQL.format(name="d", id="doc_id", table="documents")},
+{SHINGLES_SQL.format(name="b", id="item_id", table="benchmark")},
+n as (select item_id, count(*) as n_item_shingles from b group by item_id)
+select doc_id, item_id, n_item_shingles, count(*) as n_shared,
+  cast(count(*) as double) / cast(n_item_shingles as double) as containment
+from d join b using (shingle) join n using (item_id)
+group by doc_id, item_id, n_item_shingles
+having 100 * count(*) >= 75 * n_item_shingles
+"""
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("tie")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), shared_folder(spark))
 
@@ -39,5 +72,7 @@ from f
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
+    "op7_decontamination": (op7_decontamination, OP7_SQL),
+    "op8_mixing": (op8_mixing, None),
     "op9_warc": (op9_warc, OP9_SQL),
 }
