@@ -7,7 +7,7 @@ the other goes on to the next pair. What a pair holds together never changes, so
 its target but for the last document, and each document is taken its share of times on average.
 
 Pairs are made within buckets of a source of bounded size; the one document that each bucket leaves over goes
-to a bucket of the next level, and so on as in a reduction tree.
+to a bucket of the next level, and so on as in a reduction tree. The last bucket of a source settles all.
 """
 
 from __future__ import annotations
@@ -110,6 +110,23 @@ def settle(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> tupl
     return out, held
 
 
+def land(size: np.ndarray, part: np.ndarray, held: int | None) -> np.ndarray:
+    """Settle the last document left over to the nearer whole number, and make up for the words that this adds
+    or takes away by turning over other documents of the group, largest first, while that brings the sum nearer.
+    """
+    out = part.copy()
+    if held is None:
+        return out
+    out[held] = np.round(part[held])
+    short = (part[held] - out[held]) * size[held]
+    for j in np.argsort(-size, kind="stable"):
+        step = size[j] if out[j] == 0.0 else -size[j]
+        if j != held and abs(short - step) < abs(short):
+            out[j] = 1.0 - out[j]
+            short -= step
+    return out
+
+
 def _round_level(rows: DataFrame, buckets: DataFrame, level: int, seed: int) -> DataFrame:
     """One level of the tree: rows (ROUNDED without settled) in buckets of their source."""
 
@@ -117,6 +134,8 @@ def _round_level(rows: DataFrame, buckets: DataFrame, level: int, seed: int) ->
         group = group.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         part, held = settle(group["size"].to_numpy(np.float64), group["part"].to_numpy(np.float64), rng)
+        if group["buckets"][0] == 1:
+            part, held = land(group["size"].to_numpy(np.float64), part, held), None
         group["part"] = part
         group["settled"] = np.arange(len(group)) != (-1 if held is None else held)
         group["level"] = level
@@ -173,14 +192,11 @@ def mix(
         done.append(rounded.where("settled"))
         left = rounded.where(~F.col("settled"))
         counts = materialise(left.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), f"left{level}")
-        top = counts.agg(F.max("n")).first()[0] or 0
-        if top <= 1:
+        if counts.isEmpty():
             break
         buckets = counts.select("sid", F.ceil(F.col("n") / BUCKET).alias("buckets"))
         left = left.drop("level", "settled")
         level += 1
-    # the last document of a source goes to the nearer whole number
-    done.append(left.withColumn("part", F.round("part")))
     all_rows = done[0]
     for more in done[1:]:
         all_rows = all_rows.unionByName(more)
