@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyst.llm import decontaminate, mixing, tokens, warc
+from panelyst.llm import decontaminate, language, mixing, quality, tokens, toxicity, warc
 from panelyst.sources.sinks import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = materialise(decontaminate.item_sketches(_table(spark, sf_dir, "benchmark")), "items")
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), items).drop("row")
@@ -70,9 +78,16 @@ select page_id, url, cast(payload_bytes as bigint) as payload_bytes, payload_dig
 from f
 """
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
+    "op3_language_id": (op3_language_id, None),
+    "op5_quality_rules": (op5_quality_rules, None),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op8_mixing": (op8_mixing, None),
     "op9_warc": (op9_warc, OP9_SQL),
+    "op10_toxicity": (op10_toxicity, None),
 }

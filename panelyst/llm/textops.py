@@ -54,12 +54,11 @@ def powers(base: int, n: int) -> np.ndarray:
 BASE = 0x9E3779B97F4A7C15
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: A-Z in lower case, separators as 0, any other byte as itself.
-FOLD = np.arange(256, dtype=np.uint64)
-FOLD[65:91] += np.uint64(32)
-FOLD[SEPARATOR] = 0
-KEEP_CASE = np.arange(256, dtype=np.uint64)
+#: A value over 0 for each byte that is no separator; FOLD gives A-Z the values of a-z.
+KEEP_CASE = np.arange(1, 257, dtype=np.uint64)
 KEEP_CASE[SEPARATOR] = 0
+FOLD = KEEP_CASE.copy()
+FOLD[65:91] += np.uint64(32)
 
 
 def segment_hash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -68,7 +67,7 @@ def segment_hash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     length = np.diff(np.append(starts, len(values)))
     place = np.arange(starts[0], len(values), dtype=np.int64) - np.repeat(starts, length)
-    weighted = (values[starts[0] :] + (values[starts[0] :] > 0)) * powers(BASE, int(length.max()))[place]
+    weighted = values[starts[0] :] * powers(BASE, int(length.max()))[place]
     return mix(np.add.reduceat(weighted, starts - starts[0]))
 
 
@@ -108,6 +107,27 @@ def shingles(hashes: np.ndarray, begin: np.ndarray, size: int = 5) -> tuple[np.n
     return out, at
 
 
+def windows(hashes: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the full ``size``-word windows within a text, and the first word of each."""
+    n = max(len(hashes) - size + 1, 0)
+    window = np.zeros(n, np.uint64)
+    for j in range(size):
+        window += hashes[j : j + n] * powers(BASE, size + 1)[j + 1]
+    text_end = np.repeat(begin[1:], np.diff(begin))[:n]
+    inside = np.flatnonzero(np.arange(n) + size <= text_end)
+    return mix(window[inside]), inside
+
+
+def repeated(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each key whether it stands twice or more in its text ``of``; 2 for places after its first."""
+    order = np.lexsort((keys, of))
+    k, o = keys[order], of[order]
+    same = np.append(False, (k[1:] == k[:-1]) & (o[1:] == o[:-1]))[: len(k)]
+    out = np.zeros(len(keys), np.int8)
+    out[order] = np.where(same, 2, np.append(same[1:], False)[: len(k)])
+    return out
+
+
 def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text, words with A-Z in lower case."""
     data, offsets = text_bytes(texts)
