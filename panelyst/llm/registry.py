@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyst.llm import decontaminate, language, mixing, quality, tokens, toxicity, warc
+from panelyst.llm import decontaminate, language, minhash, mixing, quality, tokens, toxicity, warc
 from panelyst.sources.sinks import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,25 @@ SHINGLES_SQL = """
   from {name}_words
 )"""
 
+OP4_SQL = f"""
+with recursive {SHINGLES_SQL.format(name="d", id="doc_id", table="documents").strip()},
+n as (select doc_id, count(*) as n_shingles from d group by doc_id),
+pairs as (
+  select x.doc_id as a, y.doc_id as b, count(*) as common
+  from d x join d y on x.shingle = y.shingle and x.doc_id < y.doc_id group by 1, 2
+), links as (
+  select a, b from pairs join n p on p.doc_id = a join n q on q.doc_id = b
+  where 100 * common >= 75 * (p.n_shingles + q.n_shingles - common)
+), both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a
+), least as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, cast(coalesce(n_shingles, 0) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+from least left join n using (doc_id)
+"""
+
 OP7_SQL = f"""
 with {SHINGLES_SQL.format(name="d", id="doc_id", table="documents")},
 {SHINGLES_SQL.format(name="b", id="item_id", table="benchmark")},
@@ -85,6 +108,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op3_language_id": (op3_language_id, None),
+    "op4_minhash_dedup": (op4_minhash_dedup, OP4_SQL),
     "op5_quality_rules": (op5_quality_rules, None),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op8_mixing": (op8_mixing, None),
