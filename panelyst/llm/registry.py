@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyst.llm import decontaminate, language, minhash, mixing, quality, tokens, toxicity, warc
+from panelyst.llm import decontaminate, language, minhash, mixing, quality, suffixes, tokens, toxicity, warc
 from panelyst.sources.sinks import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_language_id": (op3_language_id, None),
     "op4_minhash_dedup": (op4_minhash_dedup, OP4_SQL),
     "op5_quality_rules": (op5_quality_rules, None),
