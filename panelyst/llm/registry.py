@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyst.llm import decontaminate, language, minhash, mixing, quality, suffixes, tokens, toxicity, warc
+from panelyst.llm import decontaminate, language, minhash, mixing, pages, quality, suffixes, tokens, toxicity, warc
 from panelyst.sources.sinks import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = materialise(decontaminate.item_sketches(_table(spark, sf_dir, "benchmark")), "items")
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), items).drop("row")
@@ -115,6 +119,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_language_id": (op3_language_id, None),
     "op4_minhash_dedup": (op4_minhash_dedup, OP4_SQL),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op6_html_extraction": (op6_html_extraction, None),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op8_mixing": (op8_mixing, None),
     "op9_warc": (op9_warc, OP9_SQL),
