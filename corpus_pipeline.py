@@ -5,12 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelyst.sources.sinks import shared_folder
+from panelyst.llm import decontaminate, minhash, mixing, suffixes, toxicity
+from panelyst.sources.sinks import materialise, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go; it learns from the labels of the others than its held-out fold."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id."""
+    return minhash.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that stand elsewhere too are cut out everywhere; every document stays."""
+    cut = suffixes.without_repeats(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in cut.columns else cut
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold three quarters of a benchmark item's shingles go."""
+    items = materialise(decontaminate.item_sketches(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "items")
+    found = decontaminate.leaks(docs, items).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_hash"))
+    return docs.join(found, same, "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the mix takes, with the number of ``copies``; equal rows become one with all their copies."""
+    taken = (
+        mixing.mix(docs)
+        .groupBy(F.col("doc_id").alias("taken_id"), F.col("tie").alias("taken_tie"))
+        .agg(F.sum("copies").alias("copies"))
+        .where("copies > 0")
+    )
+    rows = docs.withColumn("__tie", F.xxhash64("doc_id", "source", "text"))
+    same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("__tie") == F.col("taken_tie"))
+    joined = rows.dropDuplicates(["doc_id", "__tie"]).join(taken, same)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "copies")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+]
 
 #: The stages train models, hash and draw; tests hold them against brute force instead.
 ORACLE_SQL: str | None = None

@@ -60,11 +60,12 @@ def item_sketches(items: DataFrame, percent: int = 75, id_col: str = "item_id",
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, item_id, n_item_shingles, n_shared, containment): documents with ``percent`` of an item.
+    """(row, doc_id, text_hash, item_id, n_item_shingles, n_shared, containment): documents with ``percent`` of an item.
 
     ``items`` is a written result of ``item_sketches``. Words and shingles are those of the near-duplicate
     operators: A-Z in lower case, five words, a shorter text being one shingle. NULL or empty texts hold
-    nothing and are contained in nothing. ``row`` tells rows apart whose ids repeat or are NULL.
+    nothing and are contained in nothing. ``row`` tells rows apart whose ids repeat or are NULL, and
+    ``text_hash`` is the xxhash64 of the text.
 
     Up to PROBE_LIMIT item shingles their sorted hashes are sent to the tasks, which then pass on only shingles
     of items, of documents that meet a sketch; beyond it all shingles of the documents go to the join.
@@ -78,6 +79,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str = "d
         order = np.argsort(hashes)
         table = spark.sparkContext.broadcast((hashes[order], found.column("in_sketch").to_numpy()[order]))
 
+    names = ["row", "doc_id", "text_hash"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch, "text"):
@@ -100,24 +103,24 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str = "d
                 first = np.append(True, (flat[1:] != flat[:-1]) | (of[1:] != of[:-1]))[: len(flat)]
                 take = pa.array(of[first])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row").take(take), part.column("doc_id").take(take), pa.array(flat[first].view(np.int64))],
-                    ["row", "doc_id", "shingle"],
+                    [*(part.column(c).take(take) for c in names), pa.array(flat[first].view(np.int64))],
+                    [*names, "shingle"],
                 )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
         F.col(text_col).cast("string").alias("text"),
     )
-    hits = rows.mapInArrow(run, "row long, doc_id long, shingle long")
+    hits = rows.mapInArrow(run, "row long, doc_id long, text_hash long, shingle long")
     pairs = (
         hits.join(items, "shingle")
-        .groupBy("row", "doc_id", "item", "item_id", "n_item_shingles")
+        .groupBy(*names, "item", "item_id", "n_item_shingles")
         .agg(F.count(F.lit(1)).alias("n_shared"), F.max("in_sketch").alias("met"))
     )
     return pairs.where(F.col("met") & (F.col("n_shared") * 100 >= F.col("n_item_shingles") * percent)).select(
-        "row",
-        "doc_id",
+        *names,
         "item_id",
         "n_item_shingles",
         "n_shared",

@@ -214,14 +214,15 @@ def _sets(rows: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash, root.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Rows are linked if 100 times the common shingles
     are ``percent`` (75 or more) times the united; component_id is the smallest doc_id that can be reached. A
     NULL, empty or blank text has no shingles and is linked with nothing. Rows may repeat, with or without
     their ids: equal texts are always linked. A NULL id counts for nothing: a component without any id has a
     NULL component_id, and rows without one are kept only if their component has no id. ``text_hash`` is the
-    xxhash64 of the text and tells rows with the same id apart.
+    xxhash64 of the text and tells rows with the same id apart; ``root`` is a number of the component, NULL
+    for a text without shingles.
     """
     if percent < 75:
         raise ValueError("the signatures are laid out for 75 per cent or more")
@@ -260,15 +261,31 @@ def near_duplicates(
     root = F.coalesce(F.col("b"), F.col("cid"))
     rooted = classes.join(links.withColumnRenamed("a", "cid"), "cid", "left").select("fingerprint", "least", root.alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(heads, "root").select("fingerprint", "component_id")
+    of_class = rooted.join(heads, "root").select("fingerprint", "component_id", "root")
     found = signed.select("doc_id", "n_shingles", "fingerprint", "text_hash").join(
-        of_class.withColumn("linked", F.lit(True)), "fingerprint", "left"
+        of_class, "fingerprint", "left"
     )
-    head = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
+    head = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select(
         "doc_id",
         "n_shingles",
         head.alias("component_id"),
         F.coalesce(F.col("doc_id").eqNullSafe(head), F.lit(False)).alias("kept"),
         "text_hash",
+        "root",
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns: that with the smallest id, rows
+    without an id last, then the smallest hash of the text. Rows without shingles stay, all but equal ones.
+    """
+    found = near_duplicates(docs, percent, id_col, text_col)
+    linked = found.where(F.col("root").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    chosen = linked.groupBy("root").agg(F.min(order).alias("one")).select("one.kept_id", "one.kept_hash")
+    alone = found.where(F.col("root").isNull()).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    kept = chosen.unionByName(alone.distinct())
+    marked = docs.withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
+    same = (F.col("__hash") == F.col("kept_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("kept_id"))
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")

@@ -31,7 +31,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = materialise(decontaminate.item_sketches(_table(spark, sf_dir, "benchmark")), "items")
-    return decontaminate.leaks(_table(spark, sf_dir, "documents"), items).drop("row")
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), items).drop("row", "text_hash")
 
 
 #: Words with A-Z in lower case, and the distinct five-word shingles of each row.

@@ -303,3 +303,20 @@ def classify(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.withColumn("held_out", F.coalesce(remainder == 0, F.lit(False)))
     return marked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` predicts 0 for, with all their columns; no shuffle."""
+    fitted = fit_on(docs, labels, id_col, text_col, label_col)
+    if fitted is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast((tuple(fitted[0]), fitted[1]))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textops.slices(batch, text_col, SLICE):
+                value = score(Net(*model.value[0]), model.value[1], part.column(place))
+                yield part.filter(pa.array(value < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
