@@ -32,7 +32,8 @@ from panelyst.sources.sinks import materialise
 COORDINATES = 64
 MATCHES = 32
 POSTED = COORDINATES - MATCHES + 1
-BLOCK = 256
+#: Classes of a block: where they bring their signatures, and where they bring their full sets.
+SIGNATURE_BLOCK, SET_BLOCK = 4096, 256
 _RNG = np.random.default_rng(4)
 FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 MASKS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -126,8 +127,8 @@ def matches(sig: np.ndarray, side: np.ndarray, one_block: bool) -> tuple[np.ndar
     left = np.arange(len(sig)) if one_block else np.flatnonzero(side == 0)
     right = left if one_block else np.flatnonzero(side == 1)
     found = []
-    for at in range(0, len(left), 64):
-        rows = left[at : at + 64]
+    for at in range(0, len(left), 32):
+        rows = left[at : at + 32]
         same = (sig[rows][:, None, :] == sig[right][None]).sum(2, dtype=np.int16)
         i, j = np.nonzero(same >= MATCHES)
         found.append((rows[i], right[j], same[i, j]))
@@ -212,7 +213,7 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
+    docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", blocks: tuple[int, int] = (SIGNATURE_BLOCK, SET_BLOCK)
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash, root.
 
@@ -248,7 +249,7 @@ def near_duplicates(
     )
     hubs = postings.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(postings.join(hubs, "key").select("hub", "cid").distinct(), "members")
-    clusters = components(_meet(members, "hub", classes.select("cid", "sig"), "sig", _by_signature, block))
+    clusters = components(_meet(members, "hub", classes.select("cid", "sig"), "sig", _by_signature, blocks[0]))
     clustered = clusters.select(F.col("a").alias("cid"), F.col("b").alias("cluster")).unionByName(
         clusters.select(F.col("b").alias("cid"), F.col("b").alias("cluster")).distinct()
     )
@@ -257,7 +258,7 @@ def near_duplicates(
         wanted, (F.col("r.text_hash") == F.col("w.text_hash")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
     )
     sets = materialise(_sets(texts.select("w.cid", "r.text")), "sets")
-    links = components(_meet(clustered, "cluster", sets, "packed", _by_sets(percent), block))
+    links = components(_meet(clustered, "cluster", sets, "packed", _by_sets(percent), blocks[1]))
     root = F.coalesce(F.col("b"), F.col("cid"))
     rooted = classes.join(links.withColumnRenamed("a", "cid"), "cid", "left").select("fingerprint", "least", root.alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
