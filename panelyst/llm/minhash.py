@@ -2,10 +2,11 @@
 
 1. Every text gets the set of its five-word shingles and COORDINATES minima of it. Texts with equal sets form a
    class; all further work is on classes.
-2. Two sets of similarity 0.75 agree in MATCHES coordinates or more, but for one pair in 200,000. So they
-   agree in one of the first COORDINATES - MATCHES + 1: only this prefix is posted, a row for each coordinate
-   and value; the others are skipped over and looked at when collisions are counted. Lists of one class are
-   dropped. The smallest class of a list is its hub, and all classes that share a hub meet.
+2. Two sets of similarity 0.75 agree in MATCHES coordinates or more, but for one pair in 200,000. With the
+   pairs of coordinate and value ordered from rare to frequent, they so agree in one of the first COORDINATES -
+   MATCHES + 1 of each: only this prefix is posted, the rest is skipped over and looked at when collisions are
+   counted. A class whose rarest values are its own posts nothing, so texts that share a passage only do not
+   meet. The smallest class of a posting list is its hub, and all classes that share a hub meet.
 3. Where a hub has many classes they meet in blocks of bounded size, each pair of blocks once. Collisions are
    counted there; a block passes on, for each class with a match, the smallest class it hangs together with.
    What hangs together is a cluster, and every link lies inside one.
@@ -31,9 +32,8 @@ from panelyst.sources.sinks import materialise
 
 COORDINATES = 64
 MATCHES = 32
-POSTED = COORDINATES - MATCHES + 1
 #: Classes of a block: where they bring their signatures, and where they bring their full sets.
-SIGNATURE_BLOCK, SET_BLOCK = 4096, 256
+SIGNATURE_BLOCK, SET_BLOCK = 2048, 256
 _RNG = np.random.default_rng(4)
 FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 MASKS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -149,6 +149,21 @@ def _edges(ids: np.ndarray, union: Union) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """(hub, cid): which classes (cid, sig) meet, by the inverted lists of their prefixes."""
+    value = F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)
+    postings = classes.select("cid", F.posexplode("sig").alias("at", "value")).select(
+        "cid", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(value).alias("key")
+    )
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = postings.join(lists, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    prefix = F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1))  # values of one class alone come first, unlisted
+    posted = ordered.where(F.size("keys") >= MATCHES).select("cid", F.explode(prefix).alias("k")).select("cid", "k.key")
+    posted = materialise(posted, "posted")
+    hubs = posted.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return posted.join(hubs, "key").select("hub", "cid").distinct()
+
+
 def _meet(members: DataFrame, key: str, payload: DataFrame, column: str, judge: Callable, block: int) -> DataFrame:
     """Edges that ``judge`` finds among the members (key, cid) of each key, who meet in pairs of blocks.
 
@@ -244,11 +259,7 @@ def near_duplicates(
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    postings = classes.select("cid", F.posexplode(F.slice("sig", 1, POSTED)).alias("at", "value")).select(
-        "cid", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("key")
-    )
-    hubs = postings.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialise(postings.join(hubs, "key").select("hub", "cid").distinct(), "members")
+    members = materialise(_members(classes), "members")
     clusters = components(_meet(members, "hub", classes.select("cid", "sig"), "sig", _by_signature, blocks[0]))
     clustered = clusters.select(F.col("a").alias("cid"), F.col("b").alias("cluster")).unionByName(
         clusters.select(F.col("b").alias("cid"), F.col("b").alias("cluster")).distinct()
