@@ -26,6 +26,8 @@ LONGEST = 4
 LANDMARKS = 160
 #: Rows of each language, languages, and bytes of a text in the sample that the model is fitted on.
 SAMPLE_ROWS, SAMPLE_LANGUAGES, SAMPLE_BYTES = 400, 64, 32_768
+#: Texts whose presence vectors are held at a time.
+ROWS = 128
 RIDGE = 1e-2
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -72,16 +74,16 @@ def fit(texts: pa.Array, languages: list[str]) -> Model:
     """Ridge regressions of the one-versus-rest marks on Nystroem features of the texts, in their order."""
     known = sorted(set(languages))
     y = np.where(np.array(languages)[:, None] == np.array(known)[None], 1.0, -1.0)
-    seen = presence(texts)
     # landmarks: as many of each language, spread evenly over its texts
     each = max(LANDMARKS // len(known), 1)
     chosen = []
     for k in range(len(known)):
         own = np.flatnonzero(y[:, k] > 0)
         chosen.extend(own[np.unique(np.linspace(0, len(own) - 1, min(each, len(own))).astype(int))])
-    marks = seen[chosen].T.copy()
+    marks = presence(texts.take(pa.array(chosen))).T.copy()
     norms = np.sqrt(np.maximum(marks.sum(0), 1))
-    k_all = kernels(seen, marks, norms).astype(np.float64)
+    parts = [kernels(presence(texts.slice(at, ROWS)), marks, norms) for at in range(0, len(texts), ROWS)]
+    k_all = np.concatenate(parts).astype(np.float64)
     values, vectors = np.linalg.eigh(k_all[chosen])
     good = values > 1e-6 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
@@ -93,7 +95,7 @@ def fit(texts: pa.Array, languages: list[str]) -> Model:
     return Model(known, marks, norms, np.vstack([whiten @ w[:-1], w[-1:]]).astype(np.float32))
 
 
-def predict(model: Model, texts: pa.Array, rows: int = 256) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, texts: pa.Array, rows: int = ROWS) -> tuple[list[str], np.ndarray]:
     """Language and score of every text; ``und`` and 0 for a text without a letter."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)

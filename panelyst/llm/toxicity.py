@@ -32,7 +32,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 2000, 65_536
 UPDATES, FEWEST_EPOCHS, MOST_EPOCHS, BATCH = 500, 4, 30, 32
 #: Calibration texts of each class that a language needs for a threshold of its own.
 CALIBRATION_TEXTS = 8
-SLICE = 1 << 20
+#: Bytes of text and words that are worked on together; a longer text stands alone.
+SLICE, WORDS = 1 << 20, 1 << 17
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Function words that tell languages apart.
@@ -144,7 +145,15 @@ def pooled(net: Net, buckets: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def logits(net: Net, buckets: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    return (pooled(net, buckets, begin) @ net.out + net.intercept[0]).astype(np.float64)
+    """The logistic layer's input for each text, some WORDS at a time."""
+    out = np.zeros(len(begin) - 1)
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(begin, begin[at] + WORDS, side="right")) - 1)
+        part = buckets[:, begin[at] : begin[to]]
+        out[at:to] = pooled(net, part, begin[at : to + 1] - begin[at]) @ net.out + net.intercept[0]
+        at = to
+    return out
 
 
 def _log_odds(buckets: np.ndarray, begin: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -235,9 +244,17 @@ def threshold(values: np.ndarray, y: np.ndarray) -> float:
     return float((edge[best] + edge[best + 1]) / 2)
 
 
+def _all_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` of many texts, slice by slice."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = [words(part.column("text")) for part in textops.slices(batch, "text", SLICE)]
+    n = np.concatenate([np.diff(begin) for _, begin, _ in parts])
+    return np.concatenate([b for b, _, _ in parts], axis=1), np.concatenate([[0], np.cumsum(n)]), np.concatenate([k for _, _, k in parts])
+
+
 def fit(texts: pa.Array, y: np.ndarray) -> tuple[Net, np.ndarray]:
     """The network and the threshold of each language, from texts and their marks."""
-    buckets, begin, language = words(texts)
+    buckets, begin, language = _all_words(texts)
     kept_out = np.zeros(len(y), bool)
     for mark in (0, 1):
         own = np.flatnonzero(y == mark)
