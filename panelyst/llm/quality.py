@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyst.llm import textops
+from panelyst.llm.places import by_file, located, scan_with
 from panelyst.sources.sinks import materialise
 
 BUCKETS = 1 << 16
@@ -83,22 +84,30 @@ def ngrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return grams.astype(np.int64), np.concatenate([of_word, of_word[at]])
 
 
-def ngram_counts(texts: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the column ``text`` of all rows: summed per task, then by bucket."""
+def ngram_counts(texts: DataFrame, trusted: str) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket occurs in the texts of the rows that ``trusted`` lists by file, and in all texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for part in textops.slices(batch, "text"):
-                total += np.bincount(ngrams(_words(part.column("text")))[0], minlength=BUCKETS)
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["bucket", "n"])
+    One scan, summed per batch, then by bucket.
+    """
 
-    sums = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS, np.int64)
-    for bucket, n in sums.collect():  # at most BUCKETS rows
-        out[bucket] = n
-    return out
+    def each(batch: pa.RecordBatch, side: dict, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, BUCKETS), np.int64)
+        marked = batch.append_column("trusted", pa.array(end > begin))
+        for part in textops.slices(marked, "text"):
+            grams, of = ngrams(_words(part.column("text")))
+            total[1] += np.bincount(grams, minlength=BUCKETS)
+            total[0] += np.bincount(grams[part.column("trusted").to_numpy(zero_copy_only=False)[of]], minlength=BUCKETS)
+        met = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(met.astype(np.int32)), pa.array(total[0][met]), pa.array(total[1][met])], ["bucket", "trusted", "n"]
+        )
+
+    parts = scan_with(texts.select("file", "row", "text"), trusted, ["row"], each, "bucket int, trusted long, n long")
+    out = np.zeros((2, BUCKETS), np.int64)
+    sums = parts.groupBy("bucket").agg(F.sum("trusted").alias("trusted"), F.sum("n").alias("n"))
+    for bucket, k, n in sums.collect():  # at most BUCKETS rows
+        out[:, bucket] = k, n
+    return out[0], out[1]
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
@@ -125,7 +134,12 @@ def best_threshold(rows: list[tuple[int, int, int]]) -> float:
 
 
 def assess(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    scan: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, base_failed, score, kept.
 
@@ -133,17 +147,19 @@ def assess(
     ``docs``. The threshold is the step of score that parts most documents labelled 1 and 0 which pass the base
     rules, over all labelled documents. A NULL or empty text has no words: score 0 and base_failed. Rows that
     repeat count each; a NULL id is assessed but never labelled; labels other than 0 and 1 are passed over, and
-    an id labelled more than once takes its lowest label.
+    an id labelled more than once takes its lowest label. ``scan`` is that of ``places.located``: texts do not
+    move, only the places of trusted rows do.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    rows = located(docs, columns, scan)
     marks = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
     )
-    trusted = rows.join(marks.where("label = 1").select("doc_id"), "doc_id")
-    model = docs.sparkSession.sparkContext.broadcast(log_ratio(ngram_counts(trusted), ngram_counts(rows)))
+    trusted = by_file(rows.select("doc_id", "file", "row").join(marks.where("label = 1"), "doc_id").select("file", "row"), "trusted")
+    model = docs.sparkSession.sparkContext.broadcast(log_ratio(*ngram_counts(rows, trusted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +176,7 @@ def assess(
                 )
 
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    scored = materialise(rows.mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, score double"), "scored")
+    scored = materialise(rows.select("doc_id", "text").mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, score double"), "scored")
     step = F.floor(F.greatest(F.least(F.col("score"), F.lit(LIMIT)), F.lit(-LIMIT)) / STEP).cast("int")
     histogram = scored.where("not base_failed").join(marks, "doc_id").groupBy(step.alias("step"), "label").count()
     threshold = best_threshold([tuple(r) for r in histogram.collect()])  # at most two rows a step

@@ -23,7 +23,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), scan=True)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), scan=True)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

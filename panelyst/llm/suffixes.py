@@ -14,24 +14,22 @@ dealt out, so that a pass costs far less than a row for each byte:
   bytes common to them; cells whose core is alone leave, cells that agree in all their bytes are noted.
 * Last digit. Of the cells left, every window is compared in full.
 
-The texts are written once to the shared folder and stay where they are; a row is known by its file and place
-in it. What passes find is written by file, and the task that scans a file reads what belongs to it.
+Texts stay where they are; a row is known by its file and place in it (see ``places``).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyst.llm import textops
-from panelyst.llm.warc import _file_system
-from panelyst.sources.sinks import materialise, shared_folder
+from panelyst.llm.places import by_file, located, scan_with
+from panelyst.sources.sinks import materialise
 
 LENGTH = 400
 GRAM = 64
@@ -39,7 +37,7 @@ CELL = 16
 #: Windows of a text that are looked at together; bounds the memory a very long text takes.
 CHUNK = 1 << 20
 INVERSE = pow(textops.BASE, -1, 1 << 64)
-RUNS = "gram long, whole long, file int, row long, x long, lo int, hi int"
+RUNS = "gram long, whole long, file long, row long, x long, lo int, hi int"
 
 
 class Powers:
@@ -113,59 +111,6 @@ def _find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("file", "row", "text").mapInArrow(run, RUNS)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rows, with the number of their file and their place in it."""
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    return spark.read.parquet(path).select("*", number.alias("file"), F.col("_metadata.row_index").alias("row"))
-
-
-def _by_file(rows: DataFrame, name: str) -> str:
-    """Write rows into one folder for each ``file``, in the order of their ``row``; returns the folder."""
-    path = f"{shared_folder(rows.sparkSession)}/{name}"
-    rows.repartition("file").sortWithinPartitions("file", "row").write.partitionBy("file").parquet(path)
-    return path
-
-
-def _read_file(path: str, file: int, columns: list[str]) -> dict[str, np.ndarray]:
-    """What ``_by_file`` has written for a file, ordered by row; empty where it has nothing."""
-    from pyarrow import fs
-
-    system, inner = _file_system(path)
-    parts = system.get_file_info(fs.FileSelector(f"{inner}/file={file}", allow_not_found=True))
-    tables = []
-    for part in parts:
-        if part.path.endswith(".parquet"):
-            with system.open_input_file(part.path) as f:
-                tables.append(pq.ParquetFile(f).read(columns=columns))
-    if not tables:
-        return {}
-    table = pa.concat_tables(tables)
-    order = np.argsort(table["row"].to_numpy(), kind="stable")
-    return {c: table[c].to_numpy()[order] for c in columns}
-
-
-def _scan_with(texts: DataFrame, path: str, columns: list[str], each: Callable, schema: str) -> DataFrame:
-    """``each(batch, rows of the side table, where those of each text begin)`` over all batches of a scan."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, side = None, {}
-        for batch in batches:
-            files = batch.column("file").to_numpy()
-            cuts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1), len(files)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if held != int(files[a]):
-                    held = int(files[a])
-                    side = _read_file(path, held, columns)
-                part = batch.slice(a, b - a)
-                rows = part.column("row").to_numpy()
-                own = side.get("row", np.empty(0, np.int64))
-                yield from each(part, side, np.searchsorted(own, rows), np.searchsorted(own, rows, side="right"))
-
-    return texts.mapInArrow(run, schema)
-
-
 def _contexts(texts: DataFrame, path: str, length: int) -> DataFrame:
     """Runs with their bytes, from the first byte of their first window to the last of their last."""
     columns = ["row", "id", "gram", "x", "lo", "hi"]
@@ -179,15 +124,15 @@ def _contexts(texts: DataFrame, path: str, length: int) -> DataFrame:
             n = end[i] - begin[i]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(part.column("file")[int(i)].as_py(), n).astype(np.int32)),
+                    pa.array(np.repeat(part.column("file")[int(i)].as_py(), n)),
                     *(pa.array(side[c][s]) for c in columns),
                     pa.array(bytes_, pa.binary()),
                 ],
                 ["file", *columns, "bytes"],
             )
 
-    schema = "file int, row long, id long, gram long, x long, lo int, hi int, bytes binary"
-    return _scan_with(texts.select("file", "row", "text"), path, columns, each, schema)
+    schema = "file long, row long, id long, gram long, x long, lo int, hi int, bytes binary"
+    return scan_with(texts.select("file", "row", "text"), path, columns, each, schema)
 
 
 def _two(*parts: Column) -> Column:
@@ -217,7 +162,7 @@ def _cells(runs_: DataFrame, length: int) -> DataFrame:
 def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(file, row, start, end) of byte ranges all of whose windows of ``length`` bytes begin elsewhere as well.
 
-    ``texts`` is what ``_stored`` returns with a column ``text``. Ranges may overlap or repeat; together they
+    ``texts`` is what ``located`` returns with a column ``text``. Ranges may overlap or repeat; together they
     cover every byte of every repeated window.
     """
     found = _find_runs(texts, length, gram)
@@ -235,7 +180,7 @@ def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     open_runs = kinds.join(several, "gram").select("gram", "one.*").withColumn("id", F.monotonically_increasing_id())
-    side = _by_file(open_runs, "open")
+    side = by_file(open_runs, "open")
     context = materialise(_contexts(texts, side, length), "contexts")
     places = context.select("id", "file", "row", "x")
 
@@ -274,27 +219,19 @@ def _kept(data: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _store(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Write the rows with a column ``text`` (NULL as empty), and find the repeated spans by file."""
-    path = f"{shared_folder(docs.sparkSession)}/texts"
-    docs.write.option("parquet.block.size", 1 << 25).parquet(path)
-    texts = _stored(docs.sparkSession, path)
-    return texts, path
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", scan: bool = False
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Each byte covered by a string of ``length`` bytes that also begins at another place, in the same text or
     any other, is removed; all places are judged on the input, and strings do not cross texts. Of rows with equal
     texts of ``length`` bytes or more nothing is left. A NULL text is empty; shorter texts lose nothing; ids may
-    be NULL or repeat. An empty table gives an empty result.
+    be NULL or repeat. An empty table gives an empty result. ``scan`` is that of ``located``.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
-    texts, _ = _store(rows)
-    spans = _by_file(duplicate_spans(texts, length), "spans")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
+    texts = located(docs, columns, scan)
+    spans = by_file(duplicate_spans(texts, length), "spans")
 
     def each(part: pa.RecordBatch, side: dict, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         removed, count, digest, sizes = [], [], [], []
@@ -322,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _scan_with(texts, spans, ["row", "start", "end"], each, schema)
+    return scan_with(texts, spans, ["row", "start", "end"], each, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
@@ -335,9 +272,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     place = names.index(text_col)
     plain = docs.toDF(*[f"c{k}" if k != place else "text" for k in range(len(names))])
     plain = plain.withColumn("text", F.col("text").cast("string"))
-    texts, path = _store(plain)
+    texts = located(plain, [F.col(c) for c in plain.columns], False)
     filled = texts.withColumn("text", F.coalesce("text", F.lit("")))
-    spans = _by_file(duplicate_spans(filled, length), "spans")
+    spans = by_file(duplicate_spans(filled, length), "spans")
     kept_columns = plain.columns
 
     def each(part: pa.RecordBatch, side: dict, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -355,5 +292,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
         arrays = [pa.array(column, pa.string()) if c == "text" else part.column(c) for c in kept_columns]
         yield pa.RecordBatch.from_arrays(arrays, kept_columns)
 
-    out = _scan_with(texts.select(*kept_columns, "file", "row"), spans, ["row", "start", "end"], each, plain.schema)
+    out = scan_with(texts.select(*kept_columns, "file", "row"), spans, ["row", "start", "end"], each, plain.schema)
     return out.toDF(*names)

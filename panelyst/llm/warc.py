@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyst.llm.places import file_system
+
 BLOCK = 1 << 20
 INDEX = "archive string, offset long, length long, record_id string, record_type string"
 PAGES = (
@@ -76,15 +78,6 @@ def write_monolithic(pages: DataFrame, folder: str) -> None:
     pages.select(_record(F.col("html")).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(folder)
 
 
-def _file_system(path: str):
-    """The file system of a path or URI and the path in it."""
-    from pyarrow import fs
-
-    if "://" not in path and path.startswith("file:"):
-        path = path[len("file:") :]
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 class Inflated:
     """Reads gzip members one after another from a stream as one stream of bytes."""
 
@@ -152,11 +145,11 @@ def normalise(spark: SparkSession, folder: str, target: str, tasks: int | None =
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder).select("path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, out = _file_system(target)
+        system, out = file_system(target)
         system.create_dir(out, recursive=True)
         for batch in batches:
             for path in batch["path"]:
-                source, inner = _file_system(path)
+                source, inner = file_system(path)
                 name = inner.rsplit("/", 1)[-1].removesuffix(".txt.gz")
                 own = f"{out}/.{name}-{uuid.uuid4().hex}"
                 n = offset = 0
@@ -200,7 +193,7 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, out = _file_system(target)
+        system, out = file_system(target)
         for batch in batches:
             rows = []
             for archive, part in batch.groupby("archive"):
