@@ -25,15 +25,6 @@ from panelyst.operators.clean import SPECIAL_LEVELS
 from panelyst.operators.quantiles import exact_quantiles
 
 OTHER = "Other"
-# Groups become the columns of a printed table; more than this is a wrong grouping.
-MAX_GROUPS = 10_000
-
-
-def _checked(groups: Column) -> Column:
-    """The group list, or an error (never a shortened table) when it is no list of columns."""
-    return F.when(F.size(groups) <= MAX_GROUPS, groups).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_GROUPS} groups in a summary table")).cast("array<string>")
-    )
 
 
 def level_counts(
@@ -62,13 +53,14 @@ def level_counts(
     )
 
 
-def top_levels(counts: DataFrame, n: int, level: str = "level", weight: str = "n") -> DataFrame:
-    """``(rank, level, n)`` of the n most frequent levels, ties by name.
+def top_levels(counts: DataFrame, n: int, level: str = "level", weight: str = "n", skip: Sequence[str] = ()) -> DataFrame:
+    """``(rank, level, n)`` of the n most frequent levels but for ``skip``, ties by name.
 
     A distributed top-k; only its n rows meet in one place.
     """
-    best = counts.groupBy(level).agg(F.sum(weight).alias("_w"))
-    best = best.orderBy(F.desc("_w"), F.asc(level)).limit(n)
+    # ``skip`` is told by an aggregate, so that the filter stays above the counts and their scan can be shared
+    best = counts.groupBy(level).agg(F.sum(weight).alias("_w"), F.max(is_in(level, skip)).alias("_skip"))
+    best = best.where(~F.col("_skip")).orderBy(F.desc("_w"), F.asc(level)).limit(n)
     packed = best.agg(
         F.sort_array(F.collect_list(F.struct((-F.col("_w")).alias("k"), F.col(level).alias("v")))).alias("a")
     )
@@ -83,8 +75,7 @@ def lump_map(counts: DataFrame, n: int, keep: Sequence[str] = (), other: str = O
     Nothing is lumped unless more than n + 1 levels (``keep`` aside) remain, so
     the n + 2 most frequent ones are all that has to be known.
     """
-    rest = counts.where(~is_in("level", keep))
-    top = top_levels(rest, n + 2)
+    top = top_levels(counts, n + 2, skip=keep)
     names = top.agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "level"))), lambda x: x["level"]
@@ -95,47 +86,43 @@ def lump_map(counts: DataFrame, n: int, keep: Sequence[str] = (), other: str = O
     return F.when(kept, F.col("level")).otherwise(other)
 
 
-def _fill_cells(counts: DataFrame, groups: Sequence[str] | None) -> DataFrame:
-    """Zero-filled (header, level, grp) cells with group totals and shares."""
-    per_group = counts.groupBy("header", "grp").agg(F.sum("n").alias("n"))
-    totals = per_group.groupBy("header").agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("grp").isNotNull(), F.struct("grp", "n")))
-        ).alias("group_total"),
-        F.sum("n").alias("all_total"),
-    )
+def _fill_cells(counts: DataFrame, headers: Sequence[str], groups: Sequence[str] | None) -> DataFrame:
+    """Zero-filled (header, level, grp) cells with group totals and shares, as rows throughout.
+
+    All parts come from the same counts, so Spark shares their exchange and reads the data once. The group is
+    keyed as a struct: no filter for missing groups can then slip below the counts and part the scans.
+    """
+    counts = counts.withColumn("g", F.struct("grp")).drop("grp")
+    per_group = counts.groupBy("header", "g").agg(F.sum("n").alias("total"))
+    levels = counts.groupBy("header", "level").agg(F.sum("n").alias("level_n"))
+    everyone = levels.join(
+        counts.groupBy("header").agg(F.sum("n").alias("total")), "header"
+    ).select("header", "level", "level_n", F.col("level_n").alias("n"), "total", F.lit(1).alias("is_overall"))
     if groups is None:
-        seen = (
-            per_group.where(F.col("grp").isNotNull())
-            .agg(F.collect_set("grp").alias("g"))
-            .select(_checked(F.col("g")))
-            .scalar()
-        )
+        named = F.max(F.col("g.grp").isNotNull())
+        seen = per_group.groupBy("g").agg(F.sum("total").alias("_any"), named.alias("_named"))
+        seen = seen.where("_any > 0 and _named").select("g")
     else:
-        seen = F.array(*[F.lit(g) for g in groups])
-    levels = counts.groupBy("header", "level").agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("grp").isNotNull(), F.struct("grp", "n")))
-        ).alias("group_n"),
-        F.sum("n").alias("all_n"),
+        seen = counts.sparkSession.createDataFrame([(g,) for g in groups], "grp string").select(F.struct("grp").alias("g"))
+    wanted = seen.withColumn("header", F.explode(F.array(*[F.lit(h) for h in headers])))
+    columns = wanted.join(per_group, ["header", "g"], "left")
+    cells = (
+        levels.join(columns, "header")
+        .join(counts, ["header", "level", "g"], "left")
+        .select("header", "level", "level_n", "g", "n", "total", F.lit(0).alias("is_overall"))
     )
+    none = F.lit(None).cast("struct<grp:string>").alias("g")
     return (
-        levels.join(totals, "header")
-        .withColumn("_g", F.explode(F.concat(F.array(F.lit(None).cast("string")), seen)))
+        everyone.select("header", "level", "level_n", none, "n", "total", "is_overall")
+        .unionByName(cells)
         .select(
             "header",
             "level",
-            F.col("all_n").alias("level_n"),
-            F.col("_g").alias("grp"),
-            F.col("_g").isNull().cast("int").alias("is_overall"),
-            F.when(F.col("_g").isNull(), F.col("all_n"))
-            .otherwise(F.coalesce(F.try_element_at("group_n", F.col("_g")), F.lit(0)))
-            .cast("long")
-            .alias("n"),
-            F.when(F.col("_g").isNull(), F.col("all_total"))
-            .otherwise(F.coalesce(F.try_element_at("group_total", F.col("_g")), F.lit(0)))
-            .cast("long")
-            .alias("total"),
+            "level_n",
+            F.col("g.grp").alias("grp"),
+            "is_overall",
+            F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+            F.coalesce("total", F.lit(0)).cast("long").alias("total"),
         )
         .withColumn("share", ratio("n", "total"))
     )
@@ -153,7 +140,8 @@ def one_factor_tables(
     ``factors`` may map column to header. Counts and shares are per group and
     overall; missing answers and special levels are in no denominator.
     """
-    return _fill_cells(level_counts(df, group, factors, exclude), groups)
+    headers = list(factors.values()) if isinstance(factors, Mapping) else list(factors)
+    return _fill_cells(level_counts(df, group, factors, exclude), list(dict.fromkeys(headers)), groups)
 
 
 def one_factor_table(
@@ -177,24 +165,34 @@ def one_factor_table(
             .groupBy("header", "grp", "level")
             .agg(F.sum("n").alias("n"))
         )
-    return _fill_cells(counts, groups)
+    return _fill_cells(counts, [header or factor], groups)
 
 
-def ordered_levels(table: DataFrame, relevel: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
-    """Display order: named levels first, then by frequency, kept ones, ``Other`` last."""
+def level_ranks(
+    table: DataFrame, relevel: Sequence[str] = (), keep: Sequence[str] = (), lumped: bool = False
+) -> DataFrame:
+    """Add ``level_rank``, the place of a level in its header: named levels first, then by frequency, kept ones.
+
+    ``lumped`` says that the table was lumped: only then is ``Other`` a made-up level that stands last; else it
+    is one like any other. Levels are ranked on one row each, not on the cells of all groups.
+    """
     first = F.array_position(F.array(*[F.lit(x) for x in relevel]), F.col("level")) if relevel else F.lit(0)
-    last = (
-        F.when(F.col("level") == OTHER, 2).when(is_in("level", keep), 1).otherwise(0)
-    )
-    return table.orderBy(
-        "header",
-        F.when(first == 0, len(relevel) + 1).otherwise(first),
-        last,
-        F.desc("level_n"),
-        "level",
-        F.desc("is_overall"),
-        "grp",
+    last = F.when(is_in("level", keep), 1).otherwise(0)
+    if lumped:
+        last = F.when(F.col("level") == OTHER, 2).otherwise(last)
+    order = (F.when(first == 0, len(relevel) + 1).otherwise(first), last, F.desc("level_n"), F.asc("level"))
+    ranked = table.where("is_overall = 1").select(
+        "header", "level", F.row_number().over(W.partitionBy("header").orderBy(*order)).alias("level_rank")
     )
+    return table.join(ranked, ["header", "level"])
+
+
+def ordered_levels(
+    table: DataFrame, relevel: Sequence[str] = (), keep: Sequence[str] = (), lumped: bool = False
+) -> DataFrame:
+    """The rows of a table in display order, see :func:`level_ranks`; overall first, then groups by name."""
+    ranked = level_ranks(table, relevel, keep, lumped)
+    return ranked.orderBy("header", "level_rank", F.desc("is_overall"), "grp")
 
 
 def many_binary_table(
@@ -254,28 +252,28 @@ def many_binary_table(
             )
         )
     long = sums.select("grp", "_rows", F.inline(F.array(*cells))).where("shown")
-    per_box = long.groupBy("variable", "level").agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.when(F.col("grp").isNotNull(), F.struct("grp", F.struct("n", F.col("_rows").alias("t"))))
-            )
-        ).alias("m"),
-        F.sum("n").alias("all_n"),
-        F.sum("_rows").alias("all_t"),
+    everyone = long.groupBy("variable", "level").agg(F.sum("n").alias("level_n"), F.sum("_rows").alias("all_rows"))
+    if groups is None:
+        cells = long.where(F.col("grp").isNotNull()).join(everyone, ["variable", "level"])
+    else:
+        listed = everyone.withColumn("grp", F.explode(F.array(*[F.lit(g) for g in groups])))
+        cells = listed.join(long, ["variable", "level", "grp"], "left")
+    overall = everyone.select(
+        "variable", "level", "level_n", F.lit(None).cast("string").alias("grp"), F.lit(1).alias("is_overall"),
+        F.col("level_n").alias("n"), F.col("all_rows").alias("_rows"),
     )
-    seen = F.array(*[F.lit(g) for g in groups]) if groups is not None else _checked(F.map_keys("m"))
-    cell = F.try_element_at("m", F.col("_g"))
+    of_groups = cells.select("variable", "level", "level_n", "grp", F.lit(0).alias("is_overall"), "n", "_rows")
     return (
-        per_box.withColumn("_g", F.explode(F.concat(F.array(F.lit(None).cast("string")), seen)))
+        overall.unionByName(of_groups)
         .select(
             F.lit(header).alias("header"),
             "variable",
             "level",
-            F.col("all_n").alias("level_n"),
-            F.col("_g").alias("grp"),
-            F.col("_g").isNull().cast("int").alias("is_overall"),
-            F.when(F.col("_g").isNull(), F.col("all_n")).otherwise(F.coalesce(cell["n"], F.lit(0))).alias("n"),
-            F.when(F.col("_g").isNull(), F.col("all_t")).otherwise(F.coalesce(cell["t"], F.lit(0))).alias("total"),
+            "level_n",
+            "grp",
+            "is_overall",
+            F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+            F.coalesce("_rows", F.lit(0)).cast("long").alias("total"),
         )
         .withColumn("share", ratio("n", "total"))
     )
@@ -336,7 +334,7 @@ def continuous_tables(
     many variables share one scan; each median needs its own.
     """
     if stat not in ("mean", "median"):
-        raise ValueError("'stat' must be set to 'mean' or 'median' only.")
+        raise ValueError(f"no such summary: {stat!r}; 'mean' and 'median' are known")
     labels = dict(variables) if isinstance(variables, Mapping) else {v: v for v in variables}
     if stat == "mean":
         by_group = group_moments(df, group, list(labels)).withColumn("is_overall", F.lit(0))

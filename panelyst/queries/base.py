@@ -75,14 +75,11 @@ def round_cols(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-# Means of cents can end exactly on a rounding edge, where the last bit of a floating
-# sum would decide. The nudge moves such values off the edge on both sides alike.
-NUDGE = 1e-7
-
-
+# Means of cents can end exactly on a rounding edge, where the last bit of a floating sum would decide. As
+# decimals of nine places such values are exact, and both sides round them the same way.
 def round_means(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + NUDGE, 4) for c in cols})
+    return df.withColumns({c: F.round(F.col(c).cast("decimal(38,9)"), 4).cast("double") for c in cols})
 
 
 def round_mean_sql(expr: str) -> str:
-    return f"round({expr} + {NUDGE}::DOUBLE, 4)"
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,9)), 4) AS DOUBLE)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelyst.operators import tables as T
@@ -58,9 +59,8 @@ def one_factor_table(spark, sf):
 
 
 def one_factor_zero_cells(spark, sf):
-    # Each priority is only seen in some months, so (month, priority) has empty cells.
-    o = table(spark, sf, "orders").where("dayofyear(o_orderdate) < 12")
-    o = o.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    # On most days some priority is not seen, so (day, priority) has empty cells.
+    o = table(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return T.one_factor_table(o, "day", "o_orderpriority", header="Priority")
 
 
@@ -102,6 +102,40 @@ def one_factor_many(spark, sf):
     return T.one_factor_tables(_with_balance(spark, sf), "r_name", _MULTI)
 
 
+_NAMED = ("Brand#9", "Brand#2")
+
+
+def level_order(spark, sf):
+    """Display order of a lumped block: two named brands first, kept ones after the others, Other last."""
+    block = one_factor_lump(spark, sf)
+    ranked = T.level_ranks(block, _NAMED, ["Brand#6", "Brand#24"], lumped=True)
+    return ranked.where("is_overall = 1").select("header", "level", "level_rank")
+
+
+def _with_other(spark, sf):
+    # The statuses of a survey may hold an ordinary answer of that name.
+    o = table(spark, sf, "orders").withColumn(
+        "answer", F.when(F.col("o_orderpriority") == "3-MEDIUM", T.OTHER).otherwise(F.col("o_orderpriority"))
+    )
+    return T.one_factor_table(o, "o_orderstatus", "answer", header="Answer")
+
+
+def level_order_unlumped(spark, sf):
+    """Rows of a block that was not lumped, by their place: an ordinary level called Other stands by its frequency."""
+    ranked = T.level_ranks(_with_other(spark, sf), ["5-LOW"], lumped=False)
+    place = W.partitionBy("header").orderBy("level_rank", F.desc("is_overall"), "grp")
+    return ranked.select("level", "grp", "n", "level_rank", F.row_number().over(place).alias("place"))
+
+
+def _order_sql(block: str, named: tuple[str, ...], keep: tuple[str, ...], lumped: bool) -> str:
+    first = " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(named, 1))
+    last = "".join(f"WHEN '{x}' THEN 1 " for x in keep) + ("WHEN 'Other' THEN 2 " if lumped else "")
+    last = f"CASE level {last}ELSE 0 END" if last else "0"
+    return f"""SELECT header, level, row_number() OVER (PARTITION BY header
+  ORDER BY CASE level {first} ELSE 99 END, {last}, level_n DESC, level) AS level_rank
+  FROM ({block}) WHERE is_overall = 1"""
+
+
 def top_levels(spark, sf):
     counts = table(spark, sf, "part").groupBy(F.col("p_brand").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     return T.top_levels(counts, 10)
@@ -263,6 +297,13 @@ UNION ALL SELECT 'Table 1', 2, header, NULL, grp, is_overall, n, NULL, NULL, mea
 UNION ALL SELECT 'Table 2', 1, header, level, grp, is_overall, n, total, share, NULL, NULL FROM y"""
 
 
+_LUMP = factor_sql("SELECT p_type AS grp, p_brand AS level FROM part", "Brand", 5, ("Brand#6", "Brand#24"))
+_OTHER = factor_sql(
+    """SELECT o_orderstatus AS grp, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'Other' ELSE o_orderpriority END AS level
+  FROM orders""",
+    "Answer",
+)
+
 QUERIES = {
     "one_factor_table": (
         one_factor_table,
@@ -271,14 +312,19 @@ QUERIES = {
     "one_factor_zero_cells": (
         one_factor_zero_cells,
         factor_sql(
-            "SELECT strftime(o_orderdate, '%Y-%m-%d') AS grp, o_orderpriority AS level FROM orders "
-            "WHERE dayofyear(o_orderdate) < 12",
+            "SELECT strftime(o_orderdate, '%Y-%m-%d') AS grp, o_orderpriority AS level FROM orders",
             "Priority",
         ),
     ),
     "one_factor_lump": (
         one_factor_lump,
-        factor_sql("SELECT p_type AS grp, p_brand AS level FROM part", "Brand", 5, ("Brand#6", "Brand#24")),
+        _LUMP,
+    ),
+    "level_order": (level_order, _order_sql(_LUMP, _NAMED, ("Brand#6", "Brand#24"), True)),
+    "level_order_unlumped": (
+        level_order_unlumped,
+        f"""SELECT level, grp, n, level_rank, row_number() OVER (ORDER BY level_rank, is_overall DESC, grp) AS place
+  FROM ({_OTHER}) JOIN ({_order_sql(_OTHER, ("5-LOW",), (), False)}) USING (header, level)""",
     ),
     "one_factor_lump_n_plus_one": (
         one_factor_lump_n_plus_one,

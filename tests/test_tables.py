@@ -93,7 +93,7 @@ def test_lump_ties_go_by_name(spark):
 def test_level_order(spark):
     df = spark.createDataFrame([("g", lev) for lev, k in LEVELS for _ in range(k)], "g string, f string")
     table = T.one_factor_table(df, "g", "f", n=2, keep=["e"])
-    order = [r["level"] for r in T.ordered_levels(table, ["b"], ["e"]).where("is_overall = 1").collect()]
+    order = [r["level"] for r in T.ordered_levels(table, ["b"], ["e"], lumped=True).where("is_overall = 1").collect()]
     assert order == ["b", "a", "e", "Other"]
 
 
@@ -151,10 +151,37 @@ def test_unknown_statistic_is_refused(spark):
         T.continuous_tables(spark.range(1), "id", ["id"], "mode")
 
 
-def test_too_many_groups_is_an_error_not_a_cut(spark):
-    df = spark.range(T.MAX_GROUPS + 1).select(F.col("id").cast("string").alias("g"), F.lit("x").alias("f"))
-    with pytest.raises(Exception, match="groups in a summary table"):
-        T.one_factor_table(df, "g", "f").collect()
+def test_every_cell_of_many_groups(spark):
+    df = spark.range(20_001).select(F.col("id").cast("string").alias("g"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("f"))
+    table = T.one_factor_table(df, "g", "f")
+    sums = table.where("is_overall = 0").groupBy("level").agg(F.count("*").alias("cells"), F.sum("n").alias("n")).collect()
+    assert sorted(map(tuple, sums)) == [("x", 20_001, 10_001), ("y", 20_001, 10_000)]
+    boxes = T.many_binary_table(df.select("g", F.lit(1).alias("p"), F.lit(0).alias("q")), "g", {"p": "P", "q": "Q"}, "H")
+    assert boxes.count() == 2 * 20_002
+
+
+def scans(df):
+    """How often the executed plan reads files."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+@pytest.mark.parametrize("lump", [None, 2])
+def test_a_block_reads_the_data_once(spark, tmp_path, lump):
+    rows = [("g%d" % (k % 7), lev) for k, (lev, m) in enumerate(LEVELS) for _ in range(m)] + [(None, "a"), ("g1", None)]
+    spark.createDataFrame(rows, "g string, f string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert scans(T.one_factor_table(df, "g", "f", n=lump, keep=["e"])) == 1
+
+
+def test_other_is_last_only_if_it_was_made(spark):
+    rows = [("g", "Other")] * 5 + [("g", "a")] * 3 + [("g", "b")]
+    table = T.one_factor_table(spark.createDataFrame(rows, "g string, f string"), "g", "f")
+
+    def order(lumped):
+        return [r["level"] for r in T.ordered_levels(table, lumped=lumped).where("is_overall = 1").collect()]
+
+    assert order(False) == ["Other", "a", "b"] and order(True) == ["a", "b", "Other"]
 
 
 def test_formatting_and_wide(people):
