@@ -21,6 +21,8 @@ from panelyst.functions.nulls import as_col
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
+# A continued fraction ends when a step changes it by less than this share, or is an error.
+_CLOSE, _STEPS = 1e-15, 100_000
 
 
 def gamma_upper(a: float, x: float) -> float:
@@ -40,23 +42,23 @@ def gamma_upper(a: float, x: float) -> float:
     c = 1 / _TINY
     d = 1 / b
     h = d
-    for i in range(1, 100_000):
+    for i in range(1, _STEPS):
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b or _TINY)
         c = b + an / c or _TINY
         step = d * c
         h *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return scale * h
+        if abs(step - 1) < _CLOSE:
+            return scale * h
+    raise ArithmeticError(f"no value for the tail of chi-square after {_STEPS} steps")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     c = 1.0
     d = 1 / (1 - (a + b) * x / (a + 1) or _TINY)
     h = d
-    for m in range(1, 100_000):
+    for m in range(1, _STEPS):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -64,9 +66,9 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             d = 1 / (1 + num * d or _TINY)
             c = 1 + num / c or _TINY
             h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return h
+        if abs(d * c - 1) < _CLOSE:
+            return h
+    raise ArithmeticError(f"no value for the tail of F after {_STEPS} steps")
 
 
 def beta_lower(a: float, b: float, x: float) -> float:

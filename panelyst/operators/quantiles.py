@@ -4,7 +4,9 @@
 rows are first collapsed to (group, value, count) with a map-side combine.
 The distinct values are then cut into ranges of about equal size, counted per
 range, and ranked inside each range. The heaviest task therefore holds
-about 1/RANGES of the distinct values, however the rows are spread.
+about 1/RANGES of the distinct values, however the rows are spread. Quantiles
+rank only the ranges that hold a position asked for; all other values are
+counted and go no further.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ def _with_range(df: DataFrame, value: str, edges: Column) -> DataFrame:
 
 
 def running_total(
-    counts: DataFrame, value: str, weight: str, groups: Sequence[str] = ()
+    counts: DataFrame, value: str, weight: str, groups: Sequence[str] = (), probs: Sequence[float] | None = None
 ) -> DataFrame:
     """Add ``cum``, the running sum of ``weight`` in order of ``value``, and ``total``.
 
+    With ``probs`` only the values in ranges that hold one of those quantiles are returned.
+
     ``counts`` holds one row per (group, value), the value not NULL and of a
     numeric type. Runs as two small-task windows instead of one global one.
     """
@@ -58,9 +62,18 @@ def running_total(
     offsets = per_range.select(
         *groups,
         "_range",
+        "_w",
         (F.sum("_w").over(in_group.orderBy("_range")) - F.col("_w")).alias("_before"),
         F.sum("_w").over(in_group).alias("total"),
     )
+    if probs is not None:
+        wanted = F.lit(False)
+        asked = offsets.withColumns(_targets(probs)).withColumn("_end", F.col("_before") + F.col("_w"))
+        for i, _ in enumerate(probs, 1):
+            low = F.col(f"_lo{i}")
+            for place in (low, F.least(low + 1, F.col("total") - 1)):
+                wanted = wanted | ((F.col("_before") <= place) & (place < F.col("_end")))
+        offsets = asked.where(wanted).select(*groups, "_range", "_before", "total")
     left, right = ranged.alias("l"), offsets.alias("r")
     same = F.col("l._range") == F.col("r._range")
     for g in groups:
@@ -103,7 +116,7 @@ def exact_quantiles(
             everyone.withColumn("is_overall", F.lit(1)), allowMissingColumns=True
         )
         keys = [*groups, "is_overall"]
-    ranked = running_total(counts, "_v", "_n", keys).withColumns(_targets(probs))
+    ranked = running_total(counts, "_v", "_n", keys, probs).withColumns(_targets(probs))
     # A value covers the 0-based positions [cum - n, cum). Keep only the values
     # that hold one of the positions asked for.
     start = F.col("cum") - F.col("_n")

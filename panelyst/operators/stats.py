@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from panelyst.functions.tails import chi2_p, f_p, normal_p
 from panelyst.operators.clean import SPECIAL_LEVELS
 from panelyst.operators.quantiles import running_total
 from panelyst.operators.tables import group_moments, level_counts
+from panelyst.sources.sinks import materialise
 
 # Fixed value: an expected count below this draws a warning.
 LOW_EXPECTED = 5
@@ -23,16 +24,17 @@ def contingency(df: DataFrame, row: str, col: str, header: str | None = None) ->
     return (
         df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
         .groupBy(F.col(row).cast("string").alias("row"), F.col(col).cast("string").alias("col"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(header or row).alias("header"), "row", "col", "n")
+        # an aggregate, since a literal would be folded out of the joins on it
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.lit(header or row)).alias("header"))
+        .select("header", "row", "col", "n")
     )
 
 
 def chi_square(cells: DataFrame, col_levels: Sequence[str] | None = None) -> DataFrame:
     """Chi-square test per header from cells ``(header, row, col, n)``.
 
-    Absent cells count as 0, so sparse counts will do: with margins R and C and
-    total N, the sum of (O-E)^2/E over all cells is N * (sum of O^2/(R*C) - 1).
+    Absent cells count as 0, so sparse counts will do. Their part of the sum is their expected counts, which is
+    N^2 less all R*C of the present cells, over N, taken in whole numbers so that nothing cancels.
     A 2x2 table gets the continuity correction (all four |O-E| are equal there).
     A single row or column is tested against equal shares. A zero margin gives
     NULL; ``col_levels`` lists columns that count as empty where no cell has them.
@@ -46,43 +48,51 @@ def chi_square(cells: DataFrame, col_levels: Sequence[str] | None = None) -> Dat
             rows.select("header").distinct().select("header", F.explode(levels), F.lit(0).cast("long"))
         )
     cols = of_col.groupBy("header", "col").agg(F.sum("n").alias("c"))
-    of_rows = rows.groupBy("header").agg(
-        F.count(F.lit(1)).alias("nr"),
-        F.sum("r").alias("total"),
-        F.min("r").alias("min_r"),
-        F.sum(F.try_divide(F.lit(1.0), F.col("r"))).alias("inv_r"),
-    )
-    of_cols = cols.groupBy("header").agg(
-        F.count(F.lit(1)).alias("nc"),
-        F.min("c").alias("min_c"),
-        F.sum(F.try_divide(F.lit(1.0), F.col("c"))).alias("inv_c"),
-    )
+
+    def margins(side: DataFrame, n: str, name: str) -> DataFrame:
+        return side.groupBy("header").agg(
+            F.count(F.lit(1)).alias(f"n{name}"),
+            F.sum(n).alias(f"total_{name}"),
+            F.min(n).alias(f"min_{name}"),
+            F.sum(F.try_divide(F.lit(1.0), F.col(n))).alias(f"inv_{name}"),
+        )
+
+    # one aggregate brings both kinds of margin together
+    both = margins(rows, "r", "r").unionByName(margins(cols, "c", "c"), allowMissingColumns=True)
+    named = ["nr", "nc", "total_r", "min_r", "min_c", "inv_r", "inv_c"]
+    margin = both.groupBy("header").agg(*[F.max(x).alias(x) for x in named])
     n, r, c = (F.col(x).cast("double") for x in ("n", "r", "c"))
-    of_cells = (
+    total = F.col("total_r").cast("double")
+    single = (F.col("nr") == 1) | (F.col("nc") == 1)
+    k = F.col("nr") * F.col("nc")
+    expected = F.when(single, total / k).otherwise(F.try_divide(r * c, total))
+    product = F.col("r").cast("decimal(19,0)") * F.col("c").cast("decimal(19,0)")
+    t = (
         cells.join(rows, ["header", "row"])
         .join(cols, ["header", "col"])
+        .join(margin, "header")
         .groupBy("header")
         .agg(
-            F.sum(F.try_divide(n * n, r * c)).alias("s"),
-            F.sum(n * n).alias("squares"),
-            F.max(F.struct(n.alias("n"), r.alias("r"), c.alias("c"))).alias("one"),
+            *[F.max(x).alias(x) for x in named],
+            F.sum(F.try_divide(F.pow(n - expected, 2), expected)).alias("s"),
+            F.count(F.lit(1)).alias("present"),
+            F.sum(product).alias("products"),
+            F.max(F.abs(n - expected)).alias("gap"),
         )
     )
-    t = of_cells.join(of_rows, "header").join(of_cols, "header")
-    total = F.col("total").cast("double")
-    single = (F.col("nr") == 1) | (F.col("nc") == 1)
     two_by_two = (F.col("nr") == 2) & (F.col("nc") == 2)
-    k = F.col("nr") * F.col("nc")
-    gap = F.abs(F.col("one.n") - F.try_divide(F.col("one.r") * F.col("one.c"), total))
-    inv_expected = total * F.col("inv_r") * F.col("inv_c")
-    yates = F.pow(gap - F.least(F.lit(0.5), gap), 2) * inv_expected
+    square = F.col("total_r").cast("decimal(19,0)") * F.col("total_r").cast("decimal(19,0)")
+    absent = F.when(single, (k - F.col("present")) * total / k).otherwise(
+        F.try_divide((square - F.col("products")).cast("double"), total)
+    )
+    yates = F.pow(F.col("gap") - F.least(F.lit(0.5), F.col("gap")), 2) * total * F.col("inv_r") * F.col("inv_c")
     zero_margin = (F.col("min_r") == 0) | (F.col("min_c") == 0)
     stat = (
         F.when(k == 1, F.lit(None))
-        .when(single, F.try_divide(k * F.col("squares"), total) - total)
+        .when(single, F.col("s") + absent)
         .when(zero_margin, F.lit(None))
         .when(two_by_two, yates)
-        .otherwise(total * (F.col("s") - 1))
+        .otherwise(F.col("s") + absent)
     )
     smallest = F.when(single, total / k).otherwise(
         F.try_divide(F.col("min_r") * F.col("min_c").cast("double"), total)
@@ -200,8 +210,11 @@ _LOGIT = StructType(
         StructField("slope", DoubleType()),
         StructField("std_error", DoubleType()),
         StructField("z", DoubleType()),
+        StructField("converged", IntegerType()),
     ]
 )
+#: Newton steps at most, and the change of both coefficients, on a standardised predictor, that ends them.
+NEWTON_STEPS, NEWTON_CHANGE = 30, 1e-9
 
 
 def grouped_outcomes(df: DataFrame, outcome: str, x: str) -> DataFrame:
@@ -217,38 +230,77 @@ def grouped_outcomes(df: DataFrame, outcome: str, x: str) -> DataFrame:
     )
 
 
+def outcomes_by_value(df: DataFrame, outcome: str, predictors: Sequence[str]) -> DataFrame:
+    """``(variable, x, n, s)``: rows and successes per distinct value of each predictor, from one scan."""
+    values = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in predictors])
+    return (
+        df.where(F.col(outcome).isNotNull())
+        .select(F.col(outcome).cast("long").alias("y"), F.inline(values))
+        .where(F.col("x").isNotNull())
+        .groupBy("variable", "x")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    )
+
+
 def logit_wald(df: DataFrame, outcome: str, predictors: Sequence[str]) -> DataFrame:
-    """One-predictor logistic regressions with Wald z, by MLlib's IRLS.
+    """One-predictor logistic regressions with Wald z: one row per predictor, in the order given.
 
-    The fit runs on weighted (x, outcome) pairs, cached while it iterates.
+    All predictors are fitted together by Newton steps, each of them one aggregate of five sums per predictor
+    over the staged (predictor, value) counts; only those sums reach the driver. ``converged`` is 0 where there
+    is no estimate, and the statistics are NULL there: a predictor that is constant, always missing or parts the
+    outcomes perfectly, or an outcome that is always the same.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    spark = df.sparkSession
+    pairs = materialise(outcomes_by_value(df, outcome, predictors), "outcomes")
+    n = F.col("n").cast("double")
+    shape = pairs.groupBy("variable").agg(
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        (F.sum(F.col("x") * n) / F.sum(n)).alias("mean"),
+        F.min("x").alias("low"),
+        F.max("x").alias("high"),
+    )
+    scale = {
+        r["variable"]: (r["mean"], (r["high"] - r["low"]) / 2)
+        for r in shape.collect()
+        if r["high"] > r["low"] and 0 < r["s"] < r["n"]
+    }
+    beta = {v: (0.0, 0.0) for v in scale}
+    spread: dict[str, float] = {}
+    moving = set(scale)
+    for _ in range(NEWTON_STEPS):
+        if not moving:
+            break
+        known = F.create_map(*[F.lit(x) for v in sorted(moving) for x in (v, list((*scale[v], *beta[v])))])
+        at = pairs.where(F.col("variable").isin(sorted(moving))).withColumn("b", known[F.col("variable")])
+        z = (F.col("x") - F.col("b")[0]) / F.col("b")[1]
+        p = 1 / (1 + F.exp(-(F.col("b")[2] + F.col("b")[3] * F.col("z"))))
+        w = n * F.col("p") * (1 - F.col("p"))
+        off = F.col("s") - n * F.col("p")
+        sums = (
+            at.withColumn("z", z)
+            .withColumn("p", p)
+            .groupBy("variable")
+            .agg(*[F.sum(e) for e in (w, w * F.col("z"), w * F.col("z") * F.col("z"), off, off * F.col("z"))])
+        )
+        for v, i0, i1, i2, u0, u1 in sums.collect():  # one row per predictor
+            det = i0 * i2 - i1 * i1
+            if not det > 1e-12 * i0 * i2:
+                moving.discard(v)
+                del beta[v]
+                continue
+            step = ((i2 * u0 - i1 * u1) / det, (i0 * u1 - i1 * u0) / det)
+            beta[v] = (beta[v][0] + step[0], beta[v][1] + step[1])
+            if max(map(abs, step)) < NEWTON_CHANGE:
+                spread[v] = (i0 / det) ** 0.5 / scale[v][1]
+                moving.discard(v)
     out = []
-    for x in predictors:
-        g = grouped_outcomes(df, outcome, x)
-        pairs = g.select(
-            "x",
-            F.inline(
-                F.array(
-                    F.struct(F.lit(1.0).alias("label"), F.col("s").cast("double").alias("w")),
-                    F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("s")).cast("double").alias("w")),
-                )
-            ),
-        ).where("w > 0")
-        data = VectorAssembler(inputCols=["x"], outputCol="features").transform(pairs).persist()
-        try:
-            model = GeneralizedLinearRegression(
-                family="binomial", link="logit", weightCol="w", tol=1e-10, maxIter=50
-            ).fit(data)
-            se = model.summary.coefficientStandardErrors[0]
-            slope = float(model.coefficients[0])
-            out.append((x, float(model.intercept), slope, float(se), slope / se))
-        finally:
-            data.unpersist()
-    return spark.createDataFrame(out, _LOGIT)
+    for v in predictors:
+        if v not in spread:
+            out.append((v, None, None, None, None, 0))
+            continue
+        slope = beta[v][1] / scale[v][1]
+        out.append((v, beta[v][0] - slope * scale[v][0], slope, spread[v], slope / spread[v], 1))
+    return df.sparkSession.createDataFrame(out, _LOGIT)
 
 
 def with_normal_p(tests: DataFrame) -> DataFrame:
@@ -256,13 +308,13 @@ def with_normal_p(tests: DataFrame) -> DataFrame:
 
 
 def binned_residuals(
-    df: DataFrame, outcome: str, x: str, intercept: float, slope: float, bins: int | None = None
+    df: DataFrame, outcome: str, x: str, intercept: float, slope: float, bins: int | Column
 ) -> DataFrame:
     """Mean predictor and deviance residual by bins of the linear predictor.
 
     Bins hold equal numbers of rows by cumulative share; tied rows stay together.
-    The default number of bins is the square root of n from 100 rows on,
-    10 down to 11 rows, else half of n. ``band`` is 2 sd / sqrt(n).
+    ``bins`` is their number, or an expression of ``total``, the number of rows.
+    ``band`` is 2 sd / sqrt(n).
     """
     eta = F.lit(float(intercept)) + F.lit(float(slope)) * F.col("x")
     g = (
@@ -273,14 +325,7 @@ def binned_residuals(
     )
     ranked = running_total(g, "eta", "n")
     n_all = F.col("total")
-    if bins is None:
-        k = (
-            F.when(n_all >= 100, F.floor(F.sqrt(n_all)))
-            .when(n_all > 10, 10)
-            .otherwise(F.greatest(F.floor(n_all / 2), F.lit(1)))
-        )
-    else:
-        k = F.lit(bins)
+    k = F.lit(bins) if isinstance(bins, int) else bins
     prob_term = F.log1p(F.exp(-F.abs(F.col("eta")))) + F.greatest(F.col("eta"), F.lit(0.0))
     # Deviance residuals of the two outcomes: -2 log(1-p) = 2 log(1+e^eta), and
     # -2 log(p) = that - 2 eta.

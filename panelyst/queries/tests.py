@@ -151,14 +151,16 @@ SELECT variable, round(f, 5) AS f, df1, round(df2, 5) AS df2, round({f_p_sql("f"
 
 
 def logit_wald(spark, sf):
-    df = _linked(spark, sf).withColumn("nation", F.col("c_nationkey"))
-    t = S.with_normal_p(S.logit_wald(df, "Set", ["nation", "c_acctbal"]))
+    """Two fitted predictors, one that is constant and one that parts the outcomes."""
+    df = _linked(spark, sf).withColumns({"nation": F.col("c_nationkey"), "constant": F.lit(3), "parted": F.col("Set") * 2 + 1})
+    t = S.with_normal_p(S.logit_wald(df, "Set", ["nation", "c_acctbal", "constant", "parted"]))
     return t.select(
         "variable",
         F.round("intercept", 4).alias("intercept"),
         F.round("slope", 7).alias("slope"),
         F.round("z", 4).alias("z"),
         F.round("p", 4).alias("p"),
+        "converged",
     )
 
 
@@ -183,19 +185,19 @@ def _logit_sql(x: str, name: str) -> str:
     z = "(b / sqrt(i0 / (i0 * i2 - i1 * i1)))"
     return f"""SELECT * FROM (WITH {_newton(x)}
 SELECT '{name}' AS variable, round(a, 4) AS intercept, round(b, 7) AS slope, round({z}, 4) AS z,
-  round({chi2_p_sql(f"{z} * {z}", "1")}, 4) AS p FROM k9)"""
+  round({chi2_p_sql(f"{z} * {z}", "1")}, 4) AS p, 1 AS converged FROM k9)"""
 
 
 def binned_residuals(spark, sf):
-    df = _linked(spark, sf).where("c_acctbal > 0")
+    df = _linked(spark, sf)
     fit = S.logit_wald(df, "Set", ["c_acctbal"]).first()
-    t = S.binned_residuals(df, "Set", "c_acctbal", fit["intercept"], fit["slope"])
+    t = S.binned_residuals(df, "Set", "c_acctbal", fit["intercept"], fit["slope"], bins=F.floor(F.sqrt("total")))
     return round_cols(t, 4, "mean_x", "mean_residual", "band")
 
 
 _BINNED = f"""
-WITH {_newton("c_acctbal").replace(f"({_LINKED})", f"(SELECT * FROM ({_LINKED}) WHERE c_acctbal > 0)")},
-r AS (SELECT a + b * c_acctbal AS eta, "Set" AS y FROM ({_LINKED}) CROSS JOIN k9 WHERE c_acctbal > 0),
+WITH {_newton("c_acctbal")},
+r AS (SELECT a + b * c_acctbal AS eta, "Set" AS y FROM ({_LINKED}) CROSS JOIN k9),
 c AS (SELECT eta, CASE WHEN y = 1 THEN sqrt(2 * ln(1 + exp(-eta))) ELSE -sqrt(2 * ln(1 + exp(eta))) END AS res,
   count(*) OVER (ORDER BY eta RANGE UNBOUNDED PRECEDING) AS last, count(*) OVER () AS t FROM r)
 SELECT CAST(ceil(last * floor(sqrt(t)) / t) AS BIGINT) AS bin, count(*) AS n, round(avg(eta), 4) AS mean_x,
@@ -255,7 +257,8 @@ QUERIES = {
     "welch_anova": (welch_anova, _WELCH),
     "logit_wald": (
         logit_wald,
-        _logit_sql("c_nationkey", "nation") + " UNION ALL " + _logit_sql("c_acctbal", "c_acctbal"),
+        _logit_sql("c_nationkey", "nation") + " UNION ALL " + _logit_sql("c_acctbal", "c_acctbal")
+        + " UNION ALL SELECT v, NULL, NULL, NULL, NULL, 0 FROM (VALUES ('constant'), ('parted')) t(v)",
     ),
     "binned_residuals": (binned_residuals, _BINNED),
 }

@@ -185,6 +185,38 @@ def test_logit_matches_newton(spark):
     assert r["p"] == pytest.approx(math.erfc(abs(b[1] / se[1]) / math.sqrt(2)), rel=1e-4)
 
 
+def test_logit_reports_what_it_cannot_fit(spark):
+    df, x, y = outcome_frame(spark)
+    odd = df.withColumns({"flat": F.lit(1.5), "none": F.lit(None).cast("int"), "parted": F.col("Set") * 10})
+    got = {r["variable"]: r for r in S.logit_wald(odd, "Set", ["flat", "age", "none", "parted"]).collect()}
+    assert list(got) == ["flat", "age", "none", "parted"]
+    assert [r["converged"] for r in got.values()] == [0, 1, 0, 0]
+    assert all(got[v][c] is None for v in ("flat", "none", "parted") for c in ("intercept", "slope", "std_error", "z"))
+    one_sided = S.logit_wald(df.where("Set = 1"), "Set", ["age"]).first()
+    assert one_sided["converged"] == 0 and one_sided["slope"] is None
+
+
+def test_chi_square_of_large_counts_has_no_cross_join(spark):
+    big = 10**11
+    table = [[big, big + 40_000, big], [big + 30_000, big, big], [0, 7, 9]]
+    cells = [("h", f"r{i}", f"c{j}", n) for i, row in enumerate(table) for j, n in enumerate(row) if n]
+    t = S.chi_square(spark.createDataFrame(cells, "header string, row string, col string, n long"))
+    from fractions import Fraction
+
+    rows, cols = [sum(r) for r in table], [sum(c) for c in zip(*table)]
+    total = sum(rows)
+    exact = sum(
+        (Fraction(n) - Fraction(rows[i] * cols[j], total)) ** 2 / Fraction(rows[i] * cols[j], total)
+        for i, row in enumerate(table)
+        for j, n in enumerate(row)
+    )
+    assert t.first()["statistic"] == pytest.approx(float(exact), rel=1e-6)
+    one = S.chi_square(S.contingency(spark.range(50).selectExpr("id % 2 as a", "id % 3 as b"), "a", "b"))
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_binned_residuals_match_brute_force(spark):
     df, x, y = outcome_frame(spark)
     b, _ = newton(x, y)
@@ -194,7 +226,7 @@ def test_binned_residuals_match_brute_force(spark):
     k = int(math.sqrt(len(x)))
     last = np.array([(eta <= e).sum() for e in eta])
     bins = np.ceil(last * k / len(x)).astype(int)
-    got = {r["bin"]: r for r in S.binned_residuals(df, "Set", "age", b[0], b[1]).collect()}
+    got = {r["bin"]: r for r in S.binned_residuals(df, "Set", "age", b[0], b[1], bins=k).collect()}
     assert set(got) == set(bins)
     for bin_ in set(bins):
         inside = bins == bin_
