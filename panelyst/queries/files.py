@@ -27,14 +27,36 @@ def csv_na_scan(spark, sf):
     return readers.read_csv(spark, f"{folder}/survey", "c_custkey BIGINT, segment STRING, nation INT")
 
 
-def csv_text_ids(spark, sf):
+def _visit_sets(spark, sf):
+    """Three file sets of one folder: visits of two groups of sites, in different column orders, and other data."""
     folder = sinks.shared_folder(spark)
     c = table(spark, sf, "customer").select(
         F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("pid"), "c_nationkey", "c_acctbal"
     )
-    sinks.export_csv(c, f"{folder}/MCD_Visits")
-    sinks.export_csv(c.where("false"), f"{folder}/MCD_Labs")
-    return readers.read_csv_inferred(spark, f"{folder}/*Visits", text_cols=["pid"], pattern="*.csv")
+    sinks.export_csv(c.where("c_nationkey < 12"), f"{folder}/MCD_Visits")
+    sinks.export_csv(c.where("c_nationkey >= 12").select("c_acctbal", "pid", "c_nationkey"), f"{folder}/NORTH_Visits")
+    sinks.export_csv(c.withColumn("c_acctbal", -F.col("c_acctbal")), f"{folder}/MCD_Labs")
+    return folder
+
+
+def csv_text_ids(spark, sf):
+    paths = readers.find_files(spark, _visit_sets(spark, sf), r"_Visits$")
+    return readers.read_csv_inferred(spark, paths, text_cols=["pid"])
+
+
+def csv_found_by_name(spark, sf):
+    """The same sets with given types; the columns are asked for in a third order."""
+    paths = readers.find_files(spark, _visit_sets(spark, sf), r"^(MCD|NORTH)_V")
+    return readers.read_csv(spark, paths, "c_nationkey INT, c_acctbal DOUBLE, pid STRING")
+
+
+def csv_free_text(spark, sf):
+    """Free text with quotes, commas and line breaks, written and read back."""
+    folder = sinks.shared_folder(spark)
+    quoted = F.concat(F.lit('"quoted", '), F.col("text"), F.lit(' \\" '))
+    d = table(spark, sf, "documents").select("lang", "doc_id", F.when(F.col("doc_id") % 2 == 0, quoted).otherwise(F.col("text")).alias("text"))
+    sinks.export_csv(d, f"{folder}/texts")
+    return readers.read_csv(spark, f"{folder}/texts", "doc_id BIGINT, text STRING", multiline=True)
 
 
 def lookup_scan(spark, sf):
@@ -84,16 +106,12 @@ def save_and_load(spark, sf):
         },
         folder,
     )
-    back = readers_back(spark, folder)
+    back = sinks.load_tables(spark, folder, ["segments", "sizes"])
     return back["segments"].join(back["sizes"].where("is_overall = 0").select("grp", "heading"), "grp").select(
         "heading", "level", "n", "total"
     )
 
 
-def readers_back(spark, folder):
-    return sinks.load_tables(spark, folder, ["segments", "sizes"])
-
-
 def export_report(spark, sf):
     folder = sinks.shared_folder(spark)
     t = T.one_factor_table(participants(spark, sf), "r_name", "c_mktsegment", header="Segment")
@@ -155,6 +173,14 @@ QUERIES = {
         csv_text_ids,
         "SELECT lpad(c_custkey::VARCHAR, 8, '0') AS pid, c_nationkey, c_acctbal FROM customer",
     ),
+    "csv_found_by_name": (
+        csv_found_by_name,
+        "SELECT c_nationkey, c_acctbal, lpad(c_custkey::VARCHAR, 8, '0') AS pid FROM customer",
+    ),
+    "csv_free_text": (
+        csv_free_text,
+        """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '"quoted", ' || text || ' \\" ' ELSE text END AS text FROM documents""",
+    ),
     "lookup_scan": (
         lookup_scan,
         """SELECT c_nationkey AS site, CASE WHEN c_nationkey <> 3 THEN c_custkey::VARCHAR

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -15,55 +17,84 @@ from panelyst.operators.codebook import metadata_labels, with_labels
 NA_TOKENS = ("", "NA")
 
 
+def _reader(spark: SparkSession, multiline: bool = False) -> DataFrameReader:
+    """Fields in double quotes, a quote inside one doubled. ``multiline`` lets quoted fields hold line breaks;
+    a file is then read by one task."""
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+
+
+def find_files(spark: SparkSession, folder: str, pattern: str, suffix: str = ".csv") -> list[str]:
+    """The file sets of a folder whose names match a regular expression, in order.
+
+    A set is a file ``name.csv`` or a folder of such files; its name is the file's without the suffix or the
+    folder's. Only paths are read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    base = F.regexp_replace("path", r"/+$", "")
+    parent = F.regexp_extract(base, r"^(.*)/[^/]+$", 1)
+    is_part = F.regexp_extract(base, r"([^/]+)$", 1).startswith("part-")
+    sets = found.load(folder).select(F.when(is_part, parent).otherwise(base).alias("path")).distinct()
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), f"{re.escape(suffix)}$", "")
+    return sorted(r["path"] for r in sets.where(name.rlike(pattern)).collect())
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: StructType | str | None = None,
     na: Sequence[str] = NA_TOKENS,
-    pattern: str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """CSV with a header. ``pattern`` keeps only the matching files of a folder.
+    """CSV with a header, columns by name. Of several paths each may have an order of columns of its own.
 
     All fields are read as text, blanked where they are a missing-value token, and
     then cast to ``schema``. A field that is no such value fails the job rather
-    than turning into NULL unseen. Without a schema every column stays text,
-    which saves the extra scan that type inference needs.
+    than turning into NULL unseen, and so does a file whose header differs from that of the others
+    under its path. Without a schema every column stays text, which saves the extra scan that type
+    inference needs.
     """
-    reader = spark.read.option("header", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    if schema is None:
-        return na_strings(reader.csv(path), na)
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    text = StructType([StructField(f.name, StringType()) for f in schema.fields])
-    raw = na_strings(reader.schema(text).csv(path), na)
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    parts = []
+    for one in [path] if isinstance(path, str) else path:
+        names = _reader(spark, multiline).csv(one).columns
+        text = StructType([StructField(n, StringType()) for n in names])
+        raw = na_strings(_reader(spark, multiline).option("enforceSchema", False).schema(text).csv(one), na)
+        if schema is not None:
+            missing = [f.name for f in schema.fields if f.name not in names]
+            if missing:
+                raise ValueError(f"{one} has no columns {missing}")
+            raw = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        parts.append(raw)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=schema is None), parts)
 
 
 def read_csv_inferred(
-    spark: SparkSession, path: str | Sequence[str], text_cols: Iterable[str] = (), pattern: str | None = None
+    spark: SparkSession, path: str | Sequence[str], text_cols: Iterable[str] = (), multiline: bool = False
 ) -> DataFrame:
     """CSV with inferred types; columns named in ``text_cols`` are kept as text.
 
-    Inference scans the file once more. Leading zeros of ids survive only for the
-    text columns, which are taken from a second, uninferred schema.
+    Inference scans the files once more. Leading zeros of ids survive only for the
+    text columns, which are taken from a second, uninferred schema. Columns go by name as in :func:`read_csv`;
+    where files of several paths infer different types the wider one holds.
     """
-    reader = spark.read.option("header", True).option("nullValue", NA_TOKENS[1])
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
     keep = set(text_cols)
-    found = reader.option("inferSchema", True).csv(path).schema
-    fields = [
-        StructField(f.name, StringType() if f.name in keep else f.dataType) for f in found.fields
-    ]
-    return reader.option("inferSchema", False).schema(StructType(fields)).csv(path)
+    parts = []
+    for one in [path] if isinstance(path, str) else path:
+        reader = _reader(spark, multiline).option("nullValue", NA_TOKENS[1])
+        found = reader.option("inferSchema", True).csv(one).schema
+        fields = [
+            StructField(f.name, StringType() if f.name in keep else f.dataType) for f in found.fields
+        ]
+        plain = reader.option("inferSchema", False).option("enforceSchema", False)
+        parts.append(plain.schema(StructType(fields)).csv(one))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_lookup(spark: SparkSession, path: str, names: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
     """Headerless lookup sheet with the given column names, all text."""
     schema = StructType([StructField(n, StringType()) for n in names])
-    return spark.read.option("header", False).schema(schema).csv(path).drop(*drop)
+    return _reader(spark).option("header", False).schema(schema).csv(path).drop(*drop)
 
 
 def read_lookups(spark: SparkSession, folder: str, sheets: Sequence[str]) -> dict[str, DataFrame]:

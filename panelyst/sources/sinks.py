@@ -39,13 +39,14 @@ def load_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> None:
-    """Export a table as CSV with a header, NULL as an empty field.
+    """Export a table as CSV with a header, NULL as an empty field, quotes doubled, blanks and line breaks kept.
 
     ``single_file`` is for finished report tables, whose size depends on levels and
     groups only; the work before it stays spread out.
     """
     out = df.repartition(1) if single_file else df
-    out.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+    writer = out.write.mode(mode).option("header", True).option("emptyValue", "").option("quote", '"').option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def export_report(tables: Mapping[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:

@@ -26,13 +26,44 @@ def test_bad_number_fails_loudly(spark, tmp_path):
         readers.read_csv(spark, p, "AGE INT").collect()
 
 
-def test_pattern_and_text_ids(spark, tmp_path):
+def test_files_are_found_by_name(spark, tmp_path):
     write(tmp_path / "MCD_Lab_2.csv", "Id,V\n0007,1\n")
     write(tmp_path / "MCD_Amb_2.csv", "Id,V\n0008,2\n")
-    df = readers.read_csv_inferred(spark, str(tmp_path), ["Id"], pattern="*Lab*.csv")
-    assert [tuple(r) for r in df.collect()] == [("0007", 1)]
+    write(tmp_path / "Set_Lab" / "part-0.csv", "V,Id\n3,0009\n")
+    found = readers.find_files(spark, str(tmp_path), r"_Lab(_\d)?$")
+    assert [f.rsplit("/", 1)[1] for f in found] == ["MCD_Lab_2.csv", "Set_Lab"]
+    df = readers.read_csv_inferred(spark, found, ["Id"])
+    assert sorted(tuple(r) for r in df.select("Id", "V").collect()) == [("0007", 1), ("0009", 3)]
     assert dict(df.dtypes) == {"Id": "string", "V": "int"}
-    assert readers.read_csv(spark, str(tmp_path), pattern="*Amb*").first()["Id"] == "0008"
+    amb = readers.find_files(spark, str(tmp_path), "^MCD_Amb")
+    assert readers.read_csv(spark, amb).first()["Id"] == "0008"
+
+
+def test_columns_go_by_name(spark, tmp_path):
+    p = write(tmp_path / "s.csv", "n,id,txt\n7,9,swapped\n")
+    df = readers.read_csv(spark, p, "id STRING, txt STRING, n INT")
+    assert [tuple(r) for r in df.collect()] == [("9", "swapped", 7)]
+    with pytest.raises(ValueError, match="gone"):
+        readers.read_csv(spark, p, "id STRING, gone INT")
+
+
+def test_a_file_with_another_header_is_an_error(spark, tmp_path):
+    write(tmp_path / "d" / "part-0.csv", "a,b\n1,2\n")
+    write(tmp_path / "d" / "part-1.csv", "b,a\n2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path / "d"), "a INT, b INT").collect()
+
+
+HARD = ['say ""hi""'.replace('""', '"'), "two\nlines", "a,b", " blanks ", "back\\slash", 'end"', "\\", "'"]
+
+
+def test_free_text_comes_back(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(HARD)), "k int, t string")
+    sinks.export_csv(df, f"{tmp_path}/t")
+    back = readers.read_csv(spark, f"{tmp_path}/t", "t STRING, k INT", multiline=True)
+    assert {r["k"]: r["t"] for r in back.collect()} == dict(enumerate(HARD))
+    p = write(tmp_path / "s.csv", 'id,t\n1,"he said ""no""\nand left"\n')
+    assert [tuple(r) for r in readers.read_csv(spark, p, multiline=True).collect()] == [("1", 'he said "no"\nand left')]
 
 
 def test_lookup_without_header(spark, tmp_path):
@@ -74,18 +105,16 @@ def test_materialise_uses_the_shared_folder(spark):
     assert "/panelyst-" in path and (root is None or f"{root.rstrip('/')}/panelyst-" in path)
 
 
-def test_no_local_folder_on_a_cluster():
-    class Conf:
-        def get(self, key, default=None):
-            return default
-
-    class Cluster:
-        conf = Conf()
-        sparkContext = type("Context", (), {"master": "spark://host"})()
+def test_the_folder_does_not_depend_on_the_master():
+    class Conf(dict):
+        pass
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        sinks.shared_folder(Cluster())
+    class Session:
+        conf = Conf({"spark.sql.warehouse.dir": "hdfs://warehouse"})
 
+    assert sinks.shared_folder(Session).startswith("hdfs://warehouse/staged/panelyst-")
+    Session.conf["spark.checkpoint.dir"] = "s3://shared/"
+    assert sinks.shared_folder(Session).startswith("s3://shared/panelyst-")
 
 def test_profile(spark):
     df = spark.createDataFrame([(0, "a", 1.5), (1, "b", None), (None, "a", 2.5)], "f int, t string, v double")
