@@ -14,11 +14,10 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bo
     """One row per column: type, rows, NULLs, min, max, distinct count, 0/1 flag.
 
     One aggregate over the table. Distinct counts are HyperLogLog estimates unless
-    ``exact_distinct``, which adds a shuffle of the distinct values.
+    ``exact_distinct``, which turns the columns into rows in a second scan and shuffles their distinct values.
     """
     cols = list(cols or df.columns)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
     aggs = [F.count(F.lit(1)).alias("_rows")]
     cells = []
     for i, c in enumerate(cols):
@@ -29,7 +28,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bo
             F.count(col).alias(f"a{i}"),
             F.min(col).cast("string").alias(f"l{i}"),
             F.max(col).cast("string").alias(f"h{i}"),
-            distinct(col).alias(f"d{i}"),
+            *([] if exact_distinct else [F.approx_count_distinct(col).alias(f"d{i}")]),
             *([binary.alias(f"b{i}")] if number else []),
         ]
         is_binary = (
@@ -43,11 +42,18 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bo
                 (F.col("_rows") - F.col(f"a{i}")).alias("n_null"),
                 F.col(f"l{i}").alias("min"),
                 F.col(f"h{i}").alias("max"),
-                F.col(f"d{i}").alias("n_distinct"),
+                *([] if exact_distinct else [F.col(f"d{i}").alias("n_distinct")]),
                 is_binary.alias("is_binary"),
             )
         )
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    out = df.agg(*aggs).select(F.inline(F.array(*cells)))
+    if not exact_distinct:
+        return out
+    values = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in cols])
+    kinds = df.select(F.inline(values)).where(F.col("value").isNotNull()).distinct()
+    counts = kinds.groupBy("variable").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = ["variable", "type", "n_rows", "n_null", "min", "max", "n_distinct", "is_binary"]
+    return out.join(counts, "variable", "left").fillna(0, "n_distinct").select(*names)
 
 
 def codebook(df: DataFrame, labels: DataFrame, cols: Sequence[str] | None = None, **kw) -> DataFrame:

@@ -103,15 +103,19 @@ def _pair_sums(widths: list[int]):
     return run
 
 
-def cronbach_alpha(df: DataFrame, scales: Sequence[Scale], suffix: str = "_RC") -> DataFrame:
+def cronbach_alpha(df: DataFrame, scales: Sequence[Scale], suffix: str = "_RC", raw: bool = False) -> DataFrame:
     """Raw alpha per scale from pairwise-complete covariances, all in one pass.
 
+    With ``raw`` the items of ``df`` are cleaned here, for each scale by its own rules, so that scales which
+    treat an item differently share the pass.
+
     Hundreds of covariance aggregates side by side are too wide for generated
     code, so each task reduces its batches to pair sums and Spark adds those up: k
     squared short rows per batch and scale are all that is shuffled.
     """
     items = [i + suffix for s in scales for i in s.items]
-    columns = df.select(*[F.col(c).cast("double").alias(f"c{at}") for at, c in enumerate(items)])
+    found = [cleaned([s])[i + suffix] if raw else F.col(i + suffix) for s in scales for i in s.items]
+    columns = df.select(*[c.cast("double").alias(f"c{at}") for at, c in enumerate(found)])
     sums = (
         columns.mapInArrow(
             _pair_sums([len(s.items) for s in scales]),

@@ -7,7 +7,7 @@ their dependencies allow.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,16 +206,25 @@ def dummy_columns(prefixes: list[str]) -> dict[str, Column]:
     return out
 
 
-def derive(linked: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """All derived variables of the linked table, in three projections.
+def _needed(layers: list[dict[str, Column]], needs: Mapping[str, list[str]], wanted: set[str]) -> list[dict[str, Column]]:
+    """Of each layer the variables that are asked for or that a later one asked for builds on."""
+    known = set(wanted)
+    for name in [n for layer in reversed(layers) for n in layer]:
+        if name in known:
+            known |= set(needs.get(name, ()))
+    return [{n: c for n, c in layer.items() if n in known} for layer in layers]
+
+
+def derive(linked: DataFrame, baseline: DataFrame | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """All derived variables of the linked table, in three projections; or ``only`` those and what they build on.
 
     The table is too wide for whole-stage code, so every projection copies its
     rows; variables are therefore grouped by what they build on, not by topic.
     ``baseline`` is where the income median is taken from: it has the same incomes
     as the linked table and no joins to redo.
     """
-    source = (linked if baseline is None else baseline).select(time_and_money()["MONEY_RC_Log"].alias("m"))
     flags = box_flags()
+    have = set(linked.columns)
     from_answers = (
         recodes()
         | time_and_money()
@@ -225,9 +234,10 @@ def derive(linked: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
         | {c: F.coalesce(F.col(c), F.lit(0)) for c in K.RECODE_COLUMNS if c.startswith("outcome")}
     )
     groups = {p: [c for c in flags if c.startswith(p)] for p in ("DISC", "DRUG")}
+    middle = [p for p in K.DUMMIES if p != "MONEY"]
     from_recodes = (
-        {"MONEY_RC_Cat": recode.split_at("MONEY_RC_Log", recode.non_zero_median(source, "m"))}
-        | dummy_columns([p for p in K.DUMMIES if p != "MONEY"])
+        {"MONEY_RC_Cat": F.lit(None)}
+        | dummy_columns(middle)
         | {s.name: scales.score(s) for s in K.SCALES}
         | {f"{p}_RCR_None": recode.none_of(names) for p, names in groups.items()}
     )
@@ -235,7 +245,23 @@ def derive(linked: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
         "DISC_RCD_Anyone": recode.complement("DISC_RCR_None"),
         "DRUG_RCD_Uses": recode.complement("DRUG_RCR_None"),
     }
-    return linked.withColumns(from_answers).withColumns(from_recodes).withColumns(last)
+    layers = [from_answers, from_recodes, last]
+    if only is not None:
+        needs = {"MONEY_RC_Cat": ["MONEY_RC_Log"], "DISC_RCD_Anyone": ["DISC_RCR_None"], "DRUG_RCD_Uses": ["DRUG_RCR_None"]}
+        needs |= {f"{p}_RCR_None": names for p, names in groups.items()}
+        needs |= {s.name: [f"{i}_RC" for i in s.items] for s in K.SCALES}
+        needs |= {name: [K.DUMMIES[p].source] for p in K.DUMMIES for name in dummy_columns([p])}
+        needs |= {n: [spec.fallback_column] for n, spec in K.LADDERS.items() if spec.fallback_column}
+        layers = _needed(layers, needs, set(only))
+    if "MONEY_RC_Cat" in layers[1]:
+        source = (linked if baseline is None else baseline).select(time_and_money()["MONEY_RC_Log"].alias("m"))
+        layers[1]["MONEY_RC_Cat"] = recode.split_at("MONEY_RC_Log", recode.non_zero_median(source, "m"))
+    out = linked
+    for layer in layers:
+        out = out.withColumns(layer) if layer else out
+    if only is None:
+        return out
+    return out.select(*[c for c in K.KEYS if c in have], *only)
 
 
 def extract(study: DataFrame) -> DataFrame:
@@ -249,8 +275,8 @@ def extract(study: DataFrame) -> DataFrame:
     )
 
 
-def study_codebook(analysis: DataFrame) -> DataFrame:
+def study_codebook(analysis: DataFrame, exact_distinct: bool = False) -> DataFrame:
     labels = analysis.sparkSession.createDataFrame(
         list(K.ANALYSIS_LABELS.items()), "variable string, label string"
     )
-    return codebook(analysis, labels)
+    return codebook(analysis, labels, exact_distinct=exact_distinct)

@@ -76,9 +76,10 @@ def tech_answers(study: DataFrame) -> DataFrame:
 
 def table3(study: DataFrame) -> DataFrame:
     tech = tech_answers(study)
-    often = tables.one_factor_tables(tech, "SITE_RC", K.TABLE3_OFTEN, SITES).where(F.col("level") == K.OFTEN)
     item, header, level = K.TABLE3_INTERNET
-    internet = tables.one_factor_tables(tech, "SITE_RC", {item: header}, SITES).where(F.col("level") == level)
+    shares = tables.one_factor_tables(tech, "SITE_RC", {**K.TABLE3_OFTEN, item: header}, SITES)
+    often = shares.where((F.col("header") != header) & (F.col("level") == K.OFTEN))
+    internet = shares.where((F.col("header") == header) & (F.col("level") == level))
     return tables.report(
         {
             "Table 3": [
@@ -155,3 +156,12 @@ def attrition_categorical(study: DataFrame) -> DataFrame:
 
 def attrition_continuous(study: DataFrame) -> DataFrame:
     return stats.with_normal_p(stats.logit_wald(study, "Set", K.ATTRITION_PREDICTORS))
+
+
+def attrition_residuals(study: DataFrame, predictor: str) -> DataFrame:
+    """Binned residuals of the retention logit on one predictor, as many bins as the root of the rows; none without a fit."""
+    fit = stats.logit_wald(study, "Set", [predictor]).first()
+    rows = study.where(F.lit(bool(fit["converged"])))
+    return stats.binned_residuals(
+        rows, "Set", predictor, fit["intercept"] or 0.0, fit["slope"] or 0.0, bins=F.floor(F.sqrt("total"))
+    )

@@ -83,12 +83,13 @@ def split_valid(spark, sf):
 
 
 def rejects_not_in_valid(spark, sf):
+    """Rejected order lines whose order also has a valid line."""
     from panelyst.operators.link import key_overlap
 
     valid, rejects = C.split_valid(
-        labelled_documents(spark, sf).select("doc_id", "lang", "quality"), F.col("quality").isNull()
+        table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), F.col("l_returnflag") == "R"
     )
-    return key_overlap(valid, rejects, ["doc_id"])
+    return key_overlap(rejects, valid, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("rejected"))
 
 
 def binary_rows(spark, sf):
@@ -158,16 +159,21 @@ def drop_all_zero(spark, sf):
 
 def column_selection(spark, sf):
     c = table(spark, sf, "customer")
-    b = battery(spark, sf)
     names = [
         *K.starting_with(c, "C_N"),
         *K.matching(c, r"bal$"),
         *K.existing(c, ["c_mktsegment", "c_unknown"]),
     ]
-    assert K.between(b, "I2", "I4") == K.numbered("I", [2, 3, 4])
     return K.rename(K.key_first(c.select(*names, "c_custkey"), "c_custkey"), {"c_acctbal": "balance"})
 
 
+def drop_between(spark, sf):
+    """All items but a range of them, which is also taken on its own for a count of answers."""
+    b = battery(spark, sf)
+    inner = [F.col(c).isNotNull().cast("int") for c in K.between(b, "I2", "I4")]
+    return K.drop_between(b.withColumn("inner", sum(inner, F.lit(0))), "I2", "I4")
+
+
 def map_columns(spark, sf):
     b = battery(spark, sf)
     return K.map_columns(b.select("l_orderkey", "I1", "I2"), ["I1", "I2"], lambda c: c + 1, "_next")
@@ -257,7 +263,13 @@ QUERIES = {
         """SELECT doc_id, lang, quality, toxic, CASE WHEN quality IS NULL OR toxic = 1 THEN 'reject'
   ELSE 'valid' END AS part FROM documents LEFT JOIN labels USING (doc_id)""",
     ),
-    "rejects_not_in_valid": (rejects_not_in_valid, "SELECT doc_id FROM documents WHERE false"),
+    "rejects_not_in_valid": (rejects_not_in_valid, """SELECT l_orderkey, count(*) AS rejected FROM lineitem WHERE l_returnflag = 'R'
+  AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R') GROUP BY l_orderkey"""),
+    "drop_between": (
+        drop_between,
+        f"""SELECT l_orderkey, I1, I5, I6, I7, CAST(I2 IS NOT NULL AS INTEGER) + CAST(I3 IS NOT NULL AS INTEGER)
+  + CAST(I4 IS NOT NULL AS INTEGER) AS "inner" FROM ({BATTERY})""",
+    ),
     "binary_rows": (
         binary_rows,
         """SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)

@@ -131,10 +131,11 @@ def dates(spark, sf):
 
 
 def log_and_round(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal >= 0")
+    c = table(spark, sf, "customer")
+    owned = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
     return c.select(
         "c_custkey",
-        S.round_to(S.log_plus_one("c_acctbal"), 6).alias("log_balance"),
+        S.round_to(S.log_plus_one(owned), 6).alias("log_balance"),
         F.floor("c_acctbal").alias("whole"),
         S.ratio("c_acctbal", "c_nationkey").alias("per_nation"),
     )
@@ -214,9 +215,9 @@ SELECT c_custkey, CASE WHEN money IS NULL THEN 'Don''t know' WHEN money = 0 THEN
     ),
     "log_and_round": (
         log_and_round,
-        """SELECT c_custkey, round(ln(1 + c_acctbal), 6) AS log_balance, CAST(floor(c_acctbal) AS BIGINT) AS whole,
+        """SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN round(ln(1 + c_acctbal), 6) END AS log_balance, CAST(floor(c_acctbal) AS BIGINT) AS whole,
   CASE WHEN c_nationkey <> 0 THEN c_acctbal / c_nationkey END AS per_nation
-  FROM customer WHERE c_acctbal >= 0""",
+  FROM customer""",
     ),
     "text_functions": (
         text_functions,

@@ -67,8 +67,7 @@ _RELATED = (
 
 
 def cronbach_alpha_query(spark, sf):
-    parts = [cronbach_alpha(clean_items(_related(spark, sf), [s]), [s]) for s in _ALPHA]
-    return round_cols(parts[0].unionByName(parts[1]), 6, "alpha")
+    return round_cols(cronbach_alpha(_related(spark, sf), _ALPHA, raw=True), 6, "alpha")
 
 
 def _alpha_sql(items: tuple[str, ...], max_valid: int, label: str) -> str:

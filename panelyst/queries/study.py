@@ -11,8 +11,8 @@ from panelyst.queries import frames as X
 from panelyst.queries.base import round_cols, round_means
 from panelyst.queries.prevalence import categories_sql, items_sql
 from panelyst.queries.tables import binary_sql, factor_sql, mean_sql, median_sql
-from panelyst.queries.tests import chi2_p_sql, chi_square_sql, f_p_sql
-from panelyst.sources.sinks import shared_folder
+from panelyst.queries.tests import chi2_p_sql, chi_square_sql, f_p_sql, logit_sql, residuals_sql
+from panelyst.sources.sinks import materialise
 
 
 # --- the pipeline ----------------------------------------------------------------------
@@ -32,22 +32,10 @@ def linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return table, base
 
 
-def derived(spark: SparkSession, sf: str) -> DataFrame:
-    table, base = linked(spark, sf)
-    return D.derive(table, base)
-
-
-_STAGED: dict[tuple[str, str], str] = {}
-
-
 def study(spark: SparkSession, sf: str) -> DataFrame:
-    """The derived table, written once per application for the reports to read."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STAGED:
-        path = f"{shared_folder(spark)}/study"
-        derived(spark, sf).write.parquet(path)
-        _STAGED[key] = path
-    return spark.read.parquet(_STAGED[key])
+    """The derived table, written for the reports of one call to read."""
+    table, base = linked(spark, sf)
+    return materialise(D.derive(table, base), "study")
 
 
 def study_harmonised(spark, sf):
@@ -94,17 +82,25 @@ _SCORES = [s.name for s in K.SCALES]
 
 def _columns(names):
     def run(spark, sf):
-        return derived(spark, sf).select(*K.KEYS, *names)
+        table, base = linked(spark, sf)
+        return D.derive(table, base, only=names)
 
     return run
 
 
+def study_scales(spark, sf):
+    """Scores need the baseline answers only, so nothing is joined for them."""
+    base, _ = D.clean_baseline(X.baseline(spark, sf))
+    return D.derive(D.site_codes(D.trim_baseline(base)), only=[*_SCORES, "MENTALH4_RC"])
+
+
 def study_extract(spark, sf):
     return D.extract(study(spark, sf))
 
 
 def study_codebook(spark, sf):
-    return D.study_codebook(D.extract(study(spark, sf)))
+    book = D.study_codebook(D.extract(study(spark, sf)), exact_distinct=True)
+    return book.select("variable", "label", "n_rows", "n_null", "n_distinct", "is_binary")
 
 
 def _table(fn):
@@ -417,6 +413,24 @@ def _outer(sql: str) -> str:
 
 
 _SEARCH = "SELECT * FROM cohort"
+_ADULTS = """"AGE_RC" >= 18 AND "HE_RC_HAL" IS NOT NULL AND "HE_RC_HSE" IS NOT NULL"""
+
+
+def _book_sql(c: str) -> str:
+    label = "'" + K.ANALYSIS_LABELS[c].replace("'", "''") + "'" if c in K.ANALYSIS_LABELS else "NULL"
+    return f"""SELECT '{c}' AS variable, {label} AS label, count(*) AS n_rows, count(*) - count("{c}") AS n_null,
+  count(DISTINCT "{c}") AS n_distinct,
+  CAST(count(*) FILTER (WHERE "{c}" IN (0, 1)) = count("{c}") AND count("{c}") > 0 AS INTEGER) AS is_binary
+  FROM kept WHERE (SELECT count(*) <> count(*) FILTER (WHERE "{c}" = 0) FROM followed) HAVING count(*) > 0"""
+
+
+_CODEBOOK_SQL = f"""WITH {STUDY_SQL}, followed AS MATERIALIZED (SELECT * FROM study WHERE "Set" = 1),
+kept AS MATERIALIZED (SELECT * FROM followed WHERE {_ADULTS}) """ + " UNION ALL ".join(_book_sql(c) for c in K.ANALYSIS_COLUMNS)
+_STUDY_ROWS = "SELECT * FROM study"
+_LOGITS_SQL = f"WITH {STUDY_SQL} " + " UNION ALL ".join(
+    logit_sql(f'"{v}"', v, _STUDY_ROWS, (4, 4)) for v in K.ATTRITION_PREDICTORS
+)
+
 QUERIES = {
     "study_harmonised": (
         study_harmonised,
@@ -435,7 +449,7 @@ QUERIES = {
     "study_recodes": (_columns(_RECODED), _select([*K.KEYS, *_RECODED])),
     "study_dummies": (_columns(_DUMMY_NAMES), _select([*K.KEYS, *_DUMMY_NAMES])),
     "study_flags": (_columns(_FLAG_NAMES), _select([*K.KEYS, *_FLAG_NAMES])),
-    "study_scales": (_columns([*_SCORES, "MENTALH4_RC"]), _select([*K.KEYS, *_SCORES, "MENTALH4_RC"])),
+    "study_scales": (study_scales, _select([*K.KEYS, *_SCORES, "MENTALH4_RC"])),
     "study_outcomes": (_columns(list(K.OUTCOMES)), _select([*K.KEYS, *K.OUTCOMES])),
     "study_extract": (
         study_extract,
@@ -444,7 +458,7 @@ QUERIES = {
             """WHERE "Set" = 1 AND "AGE_RC" >= 18 AND "HE_RC_HAL" IS NOT NULL AND "HE_RC_HSE" IS NOT NULL""",
         ),
     ),
-    "study_codebook": (study_codebook, None),
+    "study_codebook": (study_codebook, _CODEBOOK_SQL),
     "study_table1": (_table(R.table1), _TABLE1_SQL),
     "study_table2": (_table(R.table2), _TABLE2_SQL),
     "study_table3": (_table(R.table3), _TABLE3_SQL),
@@ -486,9 +500,27 @@ QUERIES = {
     ),
     "study_attrition_continuous": (
         lambda spark, sf: round_cols(
-            R.attrition_continuous(study(spark, sf)), 4, "intercept", "slope", "std_error", "z", "p"
+            R.attrition_continuous(study(spark, sf)), 4, "intercept", "slope", "z", "p"
+        ).drop("std_error"),
+        _LOGITS_SQL,
+    ),
+    "study_attrition_residuals": (
+        lambda spark, sf: round_cols(
+            R.attrition_residuals(study(spark, sf), "AGE"), 4, "mean_x", "mean_residual", "band"
         ),
-        None,
+        residuals_sql("AGE", _STUDY_ROWS, STUDY_SQL),
+    ),
+    "study_search_categories_by_age": (
+        lambda spark, sf: R.search_categories(study(spark, sf), ["Age Groups"]),
+        _outer(categories_sql(_SEARCH, K.HEALTH_QUESTIONS, '"Age Groups"')),
+    ),
+    "study_platform_items_by_age": (
+        lambda spark, sf: R.platform_items(study(spark, sf), ["Age Groups"]),
+        _outer(items_sql(_SEARCH, K.COMM_QUESTIONS, '"Age Groups"', "rows", False)),
+    ),
+    "study_platform_categories": (
+        lambda spark, sf: R.platform_categories(study(spark, sf)),
+        _outer(categories_sql(_SEARCH, K.COMM_QUESTIONS)),
     ),
     "study_rejects": (
         study_rejects,

@@ -164,10 +164,10 @@ def logit_wald(spark, sf):
     )
 
 
-def _newton(x: str, steps: int = 9) -> str:
+def _newton(x: str, rows: str, steps: int = 9) -> str:
     """Newton steps of a one-predictor logit on rows grouped by x."""
     ctes = [
-        f"""g AS (SELECT CAST({x} AS DOUBLE) AS x, count(*) AS n, sum("Set") AS s FROM ({_LINKED}) GROUP BY 1)""",
+        f"""g AS (SELECT CAST({x} AS DOUBLE) AS x, count(*) AS n, sum("Set") AS s FROM ({rows}) WHERE {x} IS NOT NULL GROUP BY 1)""",
         "k0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS i0, 0.0::DOUBLE AS i1, 0.0::DOUBLE AS i2)",
     ]
     for k in range(1, steps + 1):
@@ -181,11 +181,21 @@ def _newton(x: str, steps: int = 9) -> str:
     return ",\n".join(ctes)
 
 
-def _logit_sql(x: str, name: str) -> str:
+def logit_sql(x: str, name: str, rows: str = _LINKED, digits: tuple[int, int] = (4, 7)) -> str:
     z = "(b / sqrt(i0 / (i0 * i2 - i1 * i1)))"
-    return f"""SELECT * FROM (WITH {_newton(x)}
-SELECT '{name}' AS variable, round(a, 4) AS intercept, round(b, 7) AS slope, round({z}, 4) AS z,
-  round({chi2_p_sql(f"{z} * {z}", "1")}, 4) AS p, 1 AS converged FROM k9)"""
+    return f"""SELECT * FROM (WITH {_newton(x, rows)}
+SELECT '{name}' AS variable, round(a, {digits[0]}) AS intercept, round(b, {digits[1]}) AS slope, round({z}, 4) AS z,
+  1 AS converged, round({chi2_p_sql(f"{z} * {z}", "1")}, 4) AS p FROM k9)"""
+
+
+def residuals_sql(x: str, rows: str = _LINKED, before: str = "") -> str:
+    return f"""
+WITH {before + "," if before else ""} {_newton(x, rows)},
+r AS (SELECT a + b * {x} AS eta, "Set" AS y FROM ({rows}) CROSS JOIN k9 WHERE {x} IS NOT NULL),
+c AS (SELECT eta, CASE WHEN y = 1 THEN sqrt(2 * ln(1 + exp(-eta))) ELSE -sqrt(2 * ln(1 + exp(eta))) END AS res,
+  count(*) OVER (ORDER BY eta RANGE UNBOUNDED PRECEDING) AS last, count(*) OVER () AS t FROM r)
+SELECT CAST(ceil(last * floor(sqrt(t)) / t) AS BIGINT) AS bin, count(*) AS n, round(avg(eta), 4) AS mean_x,
+  round(avg(res), 4) AS mean_residual, round(2 * stddev_samp(res) / sqrt(count(*)), 4) AS band FROM c GROUP BY 1"""
 
 
 def binned_residuals(spark, sf):
@@ -195,15 +205,6 @@ def binned_residuals(spark, sf):
     return round_cols(t, 4, "mean_x", "mean_residual", "band")
 
 
-_BINNED = f"""
-WITH {_newton("c_acctbal")},
-r AS (SELECT a + b * c_acctbal AS eta, "Set" AS y FROM ({_LINKED}) CROSS JOIN k9),
-c AS (SELECT eta, CASE WHEN y = 1 THEN sqrt(2 * ln(1 + exp(-eta))) ELSE -sqrt(2 * ln(1 + exp(eta))) END AS res,
-  count(*) OVER (ORDER BY eta RANGE UNBOUNDED PRECEDING) AS last, count(*) OVER () AS t FROM r)
-SELECT CAST(ceil(last * floor(sqrt(t)) / t) AS BIGINT) AS bin, count(*) AS n, round(avg(eta), 4) AS mean_x,
-  round(avg(res), 4) AS mean_residual, round(2 * stddev_samp(res) / sqrt(count(*)), 4) AS band FROM c GROUP BY 1"""
-
-
 QUERIES = {
     "chi_square": (
         chi_square,
@@ -257,8 +258,8 @@ QUERIES = {
     "welch_anova": (welch_anova, _WELCH),
     "logit_wald": (
         logit_wald,
-        _logit_sql("c_nationkey", "nation") + " UNION ALL " + _logit_sql("c_acctbal", "c_acctbal")
-        + " UNION ALL SELECT v, NULL, NULL, NULL, NULL, 0 FROM (VALUES ('constant'), ('parted')) t(v)",
+        logit_sql("c_nationkey", "nation") + " UNION ALL " + logit_sql("c_acctbal", "c_acctbal")
+        + " UNION ALL SELECT v, NULL, NULL, NULL, 0, NULL FROM (VALUES ('constant'), ('parted')) t(v)",
     ),
-    "binned_residuals": (binned_residuals, _BINNED),
+    "binned_residuals": (binned_residuals, residuals_sql("c_acctbal")),
 }
