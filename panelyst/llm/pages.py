@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelyst.sources.sinks import materialise
+
 FEWEST = 3
 #: Deepest place that is told apart, in structural elements.
 DEPTH = 12
@@ -85,12 +87,12 @@ class Page(NamedTuple):
     blocks: list[tuple[tuple[Element, ...], str]]  # the elements around a block of text, and the text
 
 
-def _element(tag: str, attributes: str, above: list[Element]) -> Element:
+def _element(tag: str, attributes: str, place: str, inside: bool) -> Element:
+    """An element at a place, inside an article or not."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
     classes = found.get("class", "").split()
     words = {w.lower() for name in (*classes, found.get("id", "")) for w in WORD.findall(name)}
     role = found.get("role", "").lower()
-    inside = any(e.tag in MAIN for e in above)
     outside = (
         tag in OUTSIDE_TAGS
         or (tag == "header" and not inside)
@@ -98,19 +100,26 @@ def _element(tag: str, attributes: str, above: list[Element]) -> Element:
         or (tag not in ("html", "body", *MAIN) and bool(words & OUTSIDE_WORDS))
     )
     label = ".".join((tag, *sorted(classes)))
-    place = above[-1].place if above else ""
     if tag in STRUCTURE and place.count("/") < DEPTH:
         place = f"{place}/{label}"
     return Element(tag, label, outside, place)
 
 
-def parse(html: str) -> Page:
-    """Tokens and text blocks of a page in order. Markup that is not well formed is read as browsers would."""
+#: Elements that a task remembers by tag, attributes and place.
+REMEMBERED = 50_000
+
+
+def parse(html: str, met: dict | None = None) -> Page:
+    """Tokens and text blocks of a page in order. Markup that is not well formed is read as browsers would.
+
+    ``met`` keeps elements from page to page.
+    """
+    met = {} if met is None or len(met) > REMEMBERED else met
     stack: list[Element] = []
     tokens: list[str] = []
     blocks: list[tuple[tuple[Element, ...], str]] = []
     pieces: list[str] = []
-    at = 0
+    at = articles = 0
 
     def end_block() -> None:
         if pieces:
@@ -120,15 +129,18 @@ def parse(html: str) -> Page:
             pieces.clear()
 
     def close(upto: int) -> None:
+        nonlocal articles
         end_block()
         for e in reversed(stack[upto:]):
             if e.tag in STRUCTURE:
                 tokens.append(f"{e.place}>")
+                articles -= e.tag in MAIN
         del stack[upto:]
 
     while (m := MARKUP.search(html, at)) is not None:
         if m.start() > at:
-            pieces.append(entities.unescape(html[at : m.start()]))
+            piece = html[at : m.start()]
+            pieces.append(entities.unescape(piece) if "&" in piece else piece)
         at = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -162,8 +174,13 @@ def parse(html: str) -> Page:
                 close(k)
             elif stack[k].tag in limit:
                 break
-        e = _element(tag, attributes, stack)
+        place = stack[-1].place if stack else ""
+        key = (tag, attributes, place, articles > 0)
+        e = met.get(key)
+        if e is None:
+            e = met[key] = _element(*key)
         stack.append(e)
+        articles += tag in MAIN
         if tag in STRUCTURE:
             tokens.append(f"{e.place}<")
     if at < len(html):
@@ -197,11 +214,12 @@ def vectors(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict = {}
         for batch in batches:
             sums: dict[tuple[str, str], list[int]] = {}
             for url, html, number in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "number")), strict=True):
                 counts: dict[str, int] = {"": 1}
-                for token in page_tokens(parse(html or "")):
+                for token in page_tokens(parse(html or "", met)):
                     counts[token] = counts.get(token, 0) + 1
                 for token, n in counts.items():
                     for h in (host(url), ALL):
@@ -277,7 +295,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(url_col).cast("string").alias("url"),
         F.col(html_col).cast("string").alias("html"),
     )
-    found = templates(vectors(rows))
+    found = materialise(templates(materialise(vectors(rows), "vectors")), "templates")
     common = found.where(F.col("host") == ALL).select("places").first()
     fallback = list(common[0]) if common else []
 
@@ -287,6 +305,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([*batch.columns, hosts], [*batch.schema.names, "host"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict = {}
         for batch in batches:
             texts = []
             held: tuple[list[str], frozenset[str]] = ([], frozenset())
@@ -294,7 +313,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 places = fallback if places is None else places
                 if places != held[0]:
                     held = (places, frozenset(places))
-                texts.append(main_text(parse(html or ""), held[1]))
+                texts.append(main_text(parse(html or "", met), held[1]))
             out = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), out, pc.utf8_length(out).cast(pa.int64())],
@@ -303,5 +322,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     schema = T.StructType([*rows.schema.fields, T.StructField("host", T.StringType())])
     own = found.where((F.col("pages") >= FEWEST) & (F.col("host") != ALL)).select("host", "places")
-    met = rows.mapInArrow(name, schema).join(own, "host", "left")
-    return met.select("page_id", "url", "html", "places").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    joined = rows.mapInArrow(name, schema).join(own, "host", "left")
+    return joined.select("page_id", "url", "html", "places").mapInArrow(run, "page_id long, url string, text string, n_chars long")
