@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -62,7 +63,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="bench")
+    staging = tempfile.TemporaryDirectory(prefix="bench-")  # goes with the process
+    spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8, "bench", staging.name)
     queries = all_queries()
     seconds: dict[str, float] = {}
     for name in names:

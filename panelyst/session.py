@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "panelyst") -> SparkSession:
-    spark = (
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "panelyst", staging: str | None = None
+) -> SparkSession:
+    """A session on this machine. ``staging`` is the folder for staged tables; who names it clears it."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -15,7 +18,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if staging:
+        builder = builder.config("spark.checkpoint.dir", staging)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -11,8 +11,9 @@ from panelyst.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("*", shuffle_partitions=4, app="panelyst-tests")
+def spark(tmp_path_factory):
+    staging = str(tmp_path_factory.mktemp("staging"))
+    session = local_session("*", shuffle_partitions=4, app="panelyst-tests", staging=staging)
     yield session
     session.stop()
 
