@@ -28,7 +28,7 @@ WIDTH = 16
 FILTERS = 12
 SPANS = (1, 2, 3)
 #: Labelled rows of each class, and bytes of a text in the sample that the model is fitted on.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 65_536
+SAMPLE_ROWS, SAMPLE_BYTES = 1200, 32_768
 UPDATES, FEWEST_EPOCHS, MOST_EPOCHS, BATCH = 500, 4, 30, 32
 #: Calibration texts of each class that a language needs for a threshold of its own.
 CALIBRATION_TEXTS = 8

@@ -95,8 +95,7 @@ def test_without_labels_nothing_is_toxic(spark, frame):
     assert toxicity.without_toxic(frame([(1, "idiot")]), none).count() == 1
 
 
-def test_gradients_of_the_network():
-    """One update on one text moves its score towards its mark."""
+def test_the_network_learns_a_word():
     texts = pa.array(["good words here", "bad words there", "", "good day", "bad day"] * 8)
     y = np.array([0, 1, 0, 0, 1] * 8)
     buckets, begin, _ = toxicity.words(texts)
@@ -109,7 +108,7 @@ def test_words_share_prefixes():
     buckets, begin, language_of = toxicity.words(pa.array(["abcdefgh abcdefxy", "the end of it", "der Tag und", None, "zz"]))
     assert begin.tolist() == [0, 2, 6, 9, 9, 10]
     assert buckets[1][0] == buckets[1][1] and buckets[2][0] == buckets[2][1] and buckets[0][0] != buckets[0][1]
-    assert language_of.tolist() == [0 + 0, 0, 2, 4, 4] or language_of.tolist()[1:] == [0, 2, 4, 4]
+    assert language_of.tolist() == [4, 0, 2, 4, 4]
 
 
 def test_threshold_is_the_middle_of_the_gap():
