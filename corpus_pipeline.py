@@ -24,8 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that stand elsewhere too are cut out everywhere; every document stays."""
-    cut = suffixes.without_repeats(docs)
+    """Passages of over 50 words that stand elsewhere too are cut out everywhere; every document stays."""
+    cut = suffixes.without_repeats(docs, suffixes.WORDS, words=True)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 

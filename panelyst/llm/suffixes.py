@@ -14,6 +14,9 @@ dealt out, so that a pass costs far less than a row for each byte:
   bytes common to them; cells whose core is alone leave, cells that agree in all their bytes are noted.
 * Last digit. Of the cells left, every window is compared in full.
 
+A window may also be of words: a text is then the sequence of its words, each by 64 bits of hash, and all that is
+said of bytes above holds for words.
+
 Texts stay where they are; a row is known by its file and place in it (see ``places``).
 """
 
@@ -34,6 +37,9 @@ from panelyst.sources.sinks import materialise
 LENGTH = 400
 GRAM = 64
 CELL = 16
+#: The least passage of over 50 words, and the string a window of words is filed under.
+WORDS = 51
+WORD_GRAM = 12
 #: Windows of a text that are looked at together; bounds the memory a very long text takes.
 CHUNK = 1 << 20
 INVERSE = pow(textops.BASE, -1, 1 << 64)
@@ -78,12 +84,21 @@ def runs(data: np.ndarray, length: int, gram: int, powers: Powers) -> tuple[np.n
     return grams[x], textops.mix(hashed(first, last + length) + textops.mix(shape)), x, first, last
 
 
-def _find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _symbols(texts: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes, or the hashes of all words, one after another, and where each text begins."""
+    data, offsets = textops.text_bytes(texts)
+    if not words:
+        return data, offsets
+    hashes, _, begin = textops.words(data, offsets, fold=False)
+    return hashes, begin
+
+
+def _find_runs(texts: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             for part in textops.slices(batch, "text", CHUNK):
-                data, offsets = textops.text_bytes(part.column("text"))
+                data, offsets = _symbols(part.column("text"), words)
                 found, places = [], []
                 for i in np.flatnonzero(np.diff(offsets) >= length):
                     text = data[offsets[i] : offsets[i + 1]]
@@ -111,16 +126,18 @@ def _find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("file", "row", "text").mapInArrow(run, RUNS)
 
 
-def _contexts(texts: DataFrame, path: str, length: int) -> DataFrame:
-    """Runs with their bytes, from the first byte of their first window to the last of their last."""
+def _contexts(texts: DataFrame, path: str, length: int, words: bool) -> DataFrame:
+    """Runs with their bytes, from the first byte of their first window to the last of their last; or with the
+    hashes of their words, eight bytes each."""
+    unit = 8 if words else 1
     columns = ["row", "id", "gram", "x", "lo", "hi"]
 
     def each(part: pa.RecordBatch, side: dict, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         text = part.column("text")
         for i in np.flatnonzero(end > begin):
-            data = text[int(i)].as_py().encode()
+            data = _symbols(text.slice(i, 1), words)[0].tobytes() if words else text[int(i)].as_py().encode()
             s = slice(begin[i], end[i])
-            bytes_ = [data[x - hi : x - lo + length] for x, lo, hi in zip(side["x"][s], side["lo"][s], side["hi"][s], strict=True)]
+            bytes_ = [data[(x - hi) * unit : (x - lo + length) * unit] for x, lo, hi in zip(side["x"][s], side["lo"][s], side["hi"][s], strict=True)]
             n = end[i] - begin[i]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -140,15 +157,20 @@ def _two(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
 
 
-def _cells(runs_: DataFrame, length: int) -> DataFrame:
+def _part(at: Column, n: Column, unit: int) -> Column:
+    """``n`` bytes or words of a run from place ``at`` on, counted from 0."""
+    return F.substring("bytes", at * unit + 1, n * unit)
+
+
+def _cells(runs_: DataFrame, length: int, unit: int) -> DataFrame:
     """(id, cell, a, b, core, whole): the cells of each run; a to b are the offsets of the run that it has."""
     cell = F.explode(F.sequence(F.floor(F.col("lo") / CELL).cast("int"), F.floor(F.col("hi") / CELL).cast("int")))
     cut = runs_.withColumn("cell", cell)
     low = F.col("cell") * CELL
     a, b = F.greatest("lo", low), F.least("hi", low + (CELL - 1))
-    # offset o begins at byte hi - o of the run; substring counts from 1
-    core = F.substring("bytes", F.col("hi") - low + 1, F.lit(length - CELL + 1))
-    whole = F.substring("bytes", F.col("hi") - b + 1, b - a + length)
+    # offset o begins at byte or word hi - o of the run
+    core = _part(F.col("hi") - low, F.lit(length - CELL + 1), unit)
+    whole = _part(F.col("hi") - b, b - a + length, unit)
     return cut.select(
         "id",
         "cell",
@@ -159,13 +181,15 @@ def _cells(runs_: DataFrame, length: int) -> DataFrame:
     )
 
 
-def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, words: bool = False) -> DataFrame:
     """(file, row, start, end) of byte ranges all of whose windows of ``length`` bytes begin elsewhere as well.
+    With ``words`` all of these count words.
 
     ``texts`` is what ``located`` returns with a column ``text``. Ranges may overlap or repeat; together they
     cover every byte of every repeated window.
     """
-    found = _find_runs(texts, length, gram)
+    unit = 8 if words else 1
+    found = _find_runs(texts, length, gram, words)
     shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     first = materialise(found.join(shared, "gram"), "runs")
     kinds = materialise(
@@ -181,10 +205,10 @@ def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     open_runs = kinds.join(several, "gram").select("gram", "one.*").withColumn("id", F.monotonically_increasing_id())
     side = by_file(open_runs, "open")
-    context = materialise(_contexts(texts, side, length), "contexts")
+    context = materialise(_contexts(texts, side, length, words), "contexts")
     places = context.select("id", "file", "row", "x")
 
-    cells = materialise(_cells(context, length), "cells")
+    cells = materialise(_cells(context, length, unit), "cells")
     wholes = materialise(
         cells.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "cell", "a", "b")).alias("one")),
         "wholes",
@@ -195,7 +219,7 @@ def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     windows = materialise(
         open_cells.join(context, "id")
         .withColumn("a", F.explode(F.sequence("a", "b")))
-        .select("id", "a", _two(F.col("gram"), F.col("a"), F.substring("bytes", F.col("hi") - F.col("a") + 1, F.lit(length))).alias("window")),
+        .select("id", "a", _two(F.col("gram"), F.col("a"), _part(F.col("hi") - F.col("a"), F.lit(length), unit)).alias("window")),
         "windows",
     )
     twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
@@ -262,11 +286,18 @@ def remove_repeats(
     return scan_with(texts, spans, ["row", "start", "end"], each, schema)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end."""
+    kept = np.concatenate([[False], ~textops.SEPARATOR[data], [False]])
+    return np.flatnonzero(kept[1:] & ~kept[:-1]), np.flatnonzero(kept[:-1] & ~kept[1:])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: bool = False) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text_col``; all columns stay, and every row.
 
     A removed span that begins or ends inside a character leaves that character whole, so texts stay valid. A
-    NULL text stays NULL.
+    NULL text stays NULL. With ``words``, ``length`` counts words, whatever white space is between them, and spans
+    go from the first byte of their first word to the last of their last.
     """
     names = docs.columns
     place = names.index(text_col)
@@ -274,7 +305,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     plain = plain.withColumn("text", F.col("text").cast("string"))
     texts = located(plain, [F.col(c) for c in plain.columns], False)
     filled = texts.withColumn("text", F.coalesce("text", F.lit("")))
-    spans = by_file(duplicate_spans(filled, length), "spans")
+    spans = by_file(duplicate_spans(filled, length, WORD_GRAM if words else GRAM, words), "spans")
     kept_columns = plain.columns
 
     def each(part: pa.RecordBatch, side: dict, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -282,6 +313,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
         for i in np.flatnonzero(end > begin):
             data = column[i].encode()
             a, b = merged(side["start"][begin[i] : end[i]], side["end"][begin[i] : end[i]])
+            if words:
+                first, last = word_edges(np.frombuffer(data, np.uint8))
+                a, b = first[a], last[b - 1]
             raw = np.frombuffer(data + b"a", np.uint8)
             tail = (raw & 0xC0) == 0x80  # inside a character
             while tail[a].any():
