@@ -20,6 +20,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from os.path import commonprefix
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -78,7 +79,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Element(NamedTuple):
     tag: str
     label: str
-    outside: bool
+    outside: bool  # by its tag or role
+    named: int  # 2 if a class or id is one of OUTSIDE_WORDS, 1 if one is made with such a word, else 0
     place: str  # labels of the structural elements down to this one
 
 
@@ -91,18 +93,21 @@ def _element(tag: str, attributes: str, place: str, inside: bool) -> Element:
     """An element at a place, inside an article or not."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
     classes = found.get("class", "").split()
-    words = {w.lower() for name in (*classes, found.get("id", "")) for w in WORD.findall(name)}
+    names = (*classes, found.get("id", ""))
+    words = {w.lower() for name in names for w in WORD.findall(name)}
+    named = 0
+    if tag not in ("html", "body", *MAIN) and words & OUTSIDE_WORDS:
+        named = 2 if any(name.lower() in OUTSIDE_WORDS for name in names) else 1
     role = found.get("role", "").lower()
     outside = (
         tag in OUTSIDE_TAGS
         or (tag == "header" and not inside)
         or role in OUTSIDE_ROLES
-        or (tag not in ("html", "body", *MAIN) and bool(words & OUTSIDE_WORDS))
     )
     label = ".".join((tag, *sorted(classes)))
     if tag in STRUCTURE and place.count("/") < DEPTH:
         place = f"{place}/{label}"
-    return Element(tag, label, outside, place)
+    return Element(tag, label, outside, named, place)
 
 
 #: Elements that a task remembers by tag, attributes and place.
@@ -270,17 +275,44 @@ def templates(found: DataFrame) -> DataFrame:
     )
 
 
+def _holders(page: Page, places: frozenset[str]) -> tuple[Element, ...]:
+    """The elements around every article of the page that the template has, from the outermost in."""
+    heads = []
+    for around, _ in page.blocks:
+        at = next((k for k, e in enumerate(around) if e.tag in MAIN and e.place in places), None)
+        if at is not None:
+            heads.append(around[:at])
+    return tuple(commonprefix(heads)) if heads else ()
+
+
 def main_text(page: Page, places: frozenset[str]) -> str:
-    """The blocks of the slots that make up the main text, joined by line feeds."""
-    inner = [(around, text) for around, text in page.blocks if not any(e.outside for e in around)]
-    for known in (places, None):
-        # the article of the template; else one that this page alone has
-        chosen = [
-            text for around, text in inner if any(e.tag in MAIN and (known is None or e.place in known) for e in around)
+    """The blocks of the slots that make up the main text, joined by line feeds.
+
+    A class such as has-sidebar on an element around the template's article tells of the layout and drops nothing;
+    one that is such a word alone does so only where nothing else is left of the page.
+    """
+    near = [(around, text) for around, text in page.blocks if not any(e.outside for e in around)]
+    inner = [(around, text) for around, text in near if not any(e.named for e in around)]
+
+    def articles(blocks: list, known: frozenset[str] | None) -> list[str]:
+        return [text for around, text in blocks if any(e.tag in MAIN and (known is None or e.place in known) for e in around)]
+
+    def held(most: int) -> list[str]:
+        n = len(holders)
+        clear = [
+            (around, text)
+            for around, text in near
+            if around[:n] == holders and all(e.named <= most for e in around[:n]) and not any(e.named for e in around[n:])
         ]
-        if chosen:
-            return "\n".join(chosen)
-    return "\n".join(text for around, text in inner if text_token(around, text) not in places)
+        return articles(clear, places)
+
+    # the article of the template; else one that this page alone has
+    chosen = articles(inner, places)
+    holders = () if chosen else _holders(page, places)
+    chosen = chosen or (held(1) if holders else []) or articles(inner, None)
+    if not chosen:
+        chosen = [text for around, text in inner if text_token(around, text) not in places]
+    return "\n".join(chosen or (held(2) if holders else []))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
