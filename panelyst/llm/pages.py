@@ -3,13 +3,15 @@
 A token is an opening or closing tag with its place in the page (the structural elements around it, with their
 classes). Of every host and token the vector of occurrences over the host's pages is kept as a linear
 fingerprint: the sum, over all pages, of the occurrences times a random number of the page. Tokens with equal
-fingerprints occur equally often on every page and form an equivalence class. A class on at least half of the
-pages is large enough to be template; it is valid if its tokens come in pairs of opening and closing tag, so
-that its elements nest. The valid classes of a host, nested by their places, are its template; between its
+fingerprints occur equally often on every page and form an equivalence class, wherever they stand. A class on at
+least half of the pages is large enough to be template if it has a pair of opening and closing tag; the page itself
+is such a pair. The elements of these classes, nested by their places, are the template of a host; between its
 tokens lie the slots. Slots of menus, headers, adverts and the like go, and of the rest those inside the
-template's article make up the main text. Where pages have no article, blocks of text are tokens too, and text
-that is itself template is left out of the slots. A host with fewer than FEWEST pages has no vectors to compare
-and takes the template of all pages together.
+template's article make up the main text. Where pages have no article, blocks of text are tokens too. Text is
+template if it lies inside an element of its own class, and is left out of the slots; text that as many pages have,
+but others than have the elements around it, is not. Copies of a page on a host count as one page. A host with
+fewer than FEWEST distinct pages has no vectors to compare and takes the template of all pages together; where
+those are too few as well, no text is template.
 
 Fingerprints are summed like counts, so a host that holds a third of all pages is no large group.
 """
@@ -212,26 +214,53 @@ def page_tokens(page: Page) -> list[str]:
     return page.tokens + [text_token(around, text) for around, text in page.blocks]
 
 
-def vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, mark): occurrences of each token on a host, summed per batch, then overall.
+def page_counts(pages: DataFrame) -> DataFrame:
+    """(host, h1, h2, tokens, counts): the occurrences of each token on each distinct page of a host.
 
-    The token "" stands for the pages themselves, the host ALL for all pages.
+    The token "" stands for the page itself. Equal pages are told by 128 bits of hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict = {}
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
-            for url, html, number in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "number")), strict=True):
-                counts: dict[str, int] = {"": 1}
-                for token in page_tokens(parse(html or "", met)):
+            out: dict[tuple[str, int, int], dict[str, int]] = {}
+            for url, html, h1, h2 in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "h1", "h2")), strict=True):
+                key = (host(url), h1, h2)
+                if key in out:
+                    continue
+                counts = out[key] = {"": 1}
+                for token in page_tokens(parse(html, met)):
                     counts[token] = counts.get(token, 0) + 1
-                for token, n in counts.items():
-                    for h in (host(url), ALL):
-                        s = sums.setdefault((h, token), [0, 0, 0])
-                        s[0] += 1
-                        s[1] += n
-                        s[2] += n * (number % PRIME)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in out], pa.string()),
+                    pa.array([k[1] for k in out], pa.int64()),
+                    pa.array([k[2] for k in out], pa.int64()),
+                    pa.array([list(c) for c in out.values()], pa.list_(pa.string())),
+                    pa.array([list(c.values()) for c in out.values()], pa.list_(pa.int64())),
+                ],
+                ["host", "h1", "h2", "tokens", "counts"],
+            )
+
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("url", html.alias("html"), F.xxhash64(html).alias("h1"), F.xxhash64(F.lit(1), html).alias("h2"))
+    schema = "host string, h1 long, h2 long, tokens array<string>, counts array<long>"
+    return rows.mapInArrow(run, schema).dropDuplicates(["host", "h1", "h2"])
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    """(host, token, pages, total, mark) of distinct pages, summed per batch, then overall."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[str, str], list[int]] = {}
+            columns = (batch.column(c).to_pylist() for c in ("host", "h1", "tokens", "counts"))
+            for h, number, tokens, counts in zip(*columns, strict=True):
+                for token, n in zip(tokens, counts, strict=True):
+                    s = sums.setdefault((h, token), [0, 0, 0])
+                    s[0] += 1
+                    s[1] += n
+                    s[2] += n * (number % PRIME)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([h for h, _ in sums], pa.string()),
@@ -243,33 +272,43 @@ def vectors(pages: DataFrame) -> DataFrame:
                 ["host", "token", "pages", "total", "mark"],
             )
 
-    rows = pages.select("url", "html", F.xxhash64("page_id", "url", "html").alias("number"))
-    parts = rows.mapInArrow(run, "host string, token string, pages long, total long, mark long")
+    parts = counted.mapInArrow(run, "host string, token string, pages long, total long, mark long")
     mark = (F.sum(F.col("mark").cast("decimal(38,0)")) % F.lit(PRIME).cast("decimal(38,0)")).cast("long")
     return parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), mark.alias("mark"))
 
 
+def vectors(pages: DataFrame) -> DataFrame:
+    """(host, token, pages, total, mark): occurrences of each token over the distinct pages of a host.
+
+    The token "" stands for the pages themselves, the host ALL for all pages.
+    """
+    counted = materialise(page_counts(pages), "counted")
+    everywhere = counted.dropDuplicates(["h1", "h2"]).withColumn("host", F.lit(ALL))
+    return _summed(counted).unionByName(_summed(everywhere))
+
+
 def templates(found: DataFrame) -> DataFrame:
-    """(host, pages, places): the elements of each host's valid classes, by place.
+    """(host, pages, places): the elements of each host's valid classes, by place, and the text inside them.
 
-    A class has the same host, pages, total and mark. It is on at least half of the host's pages; an element
-    whose opening and closing token are not in one class is left out of it. A block of text is its own place.
+    A class has the same host, pages, total and mark. It is on at least half of the host's pages and has an element
+    with both its tokens. A block of text is its own place.
     """
     sizes = found.where("token = ''").select("host", F.col("pages").alias("host_pages"))
-    large = found.where("token <> ''").join(sizes, "host").where("2 * pages >= host_pages")
+    large = found.join(sizes, "host").where("2 * pages >= host_pages")
     is_text = F.col("token").startswith("=")
-    split = large.withColumns(
-        {
-            "place": F.when(is_text, F.col("token")).otherwise(F.expr("left(token, length(token) - 1)")),
-            "opens": F.col("token").endswith("<"),
-        }
-    )
-    paired = (
-        split.groupBy("host", "host_pages", "pages", "total", "mark", "place")
-        .agg(F.count_distinct("opens").alias("sides"))
-        .where("sides = 2 or place like '=%'")
+    tag = F.when(~is_text, F.col("token"))
+    classes = large.groupBy("host", "pages", "total", "mark").agg(
+        F.collect_set(tag).alias("tags"), F.collect_set(F.when(is_text, F.col("token"))).alias("texts")
     )
-    places = paired.groupBy("host").agg(F.collect_set("place").alias("places"))
+    opened = F.expr("transform(filter(tags, t -> endswith(t, '<')), t -> left(t, length(t) - 1))")
+    closed = F.expr("transform(filter(tags, t -> endswith(t, '>')), t -> left(t, length(t) - 1))")
+    root = F.when(F.array_contains("tags", ""), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    valid = classes.withColumn("elements", F.concat(F.array_intersect(opened, closed), root)).where("size(elements) > 0")
+    # the place of a text stands between its two signs; the hash has 32 places
+    around = "substring(t, 2, length(t) - 34)"
+    nested = F.expr(f"filter(texts, t -> exists(elements, e -> e = '' or {around} = e or startswith({around}, e || '/')))")
+    members = valid.select("host", F.explode(F.concat(F.expr("filter(elements, e -> e <> '')"), nested)).alias("place"))
+    places = members.groupBy("host").agg(F.collect_set("place").alias("places"))
     return sizes.join(places, "host", "left").select(
         "host", F.col("host_pages").alias("pages"), F.coalesce("places", F.array().cast("array<string>")).alias("places")
     )
@@ -328,8 +367,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(html_col).cast("string").alias("html"),
     )
     found = materialise(templates(materialise(vectors(rows), "vectors")), "templates")
-    common = found.where(F.col("host") == ALL).select("places").first()
-    fallback = list(common[0]) if common else []
+    common = found.where(F.col("host") == ALL).select("places", "pages").first()
+    fallback = [p for p in common[0] if common[1] >= FEWEST or not p.startswith("=")] if common else []
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
