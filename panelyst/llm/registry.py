@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyst.llm import decontaminate, language, minhash, mixing, pages, quality, suffixes, tokens, toxicity, warc
+from panelyst.llm import decontaminate, language, minhash, mixing, packing, pages, quality, suffixes, tokens, toxicity, warc
 from panelyst.sources.sinks import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -124,4 +133,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_mixing": (op8_mixing, None),
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_packing": (op11_packing, None),
 }
