@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyst.llm import decontaminate, language, minhash, mixing, packing, pages, quality, suffixes, tokens, toxicity, warc
+from panelyst.llm import decontaminate, divergence, language, minhash, mixing, packing, pages, quality, suffixes, tokens, toxicity, warc
 from panelyst.sources.sinks import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,45 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents
+), t as (
+  select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), k as (
+  select lang, term, count(*) as n_lang from t group by lang, term having count(distinct r) >= 10
+), v as (select lang, count(*) as v, sum(n_lang) as n_all from k group by lang),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by lang, source, term),
+n as (select lang, source, sum(n) as total from c group by lang, source),
+p as (
+  select lang, source, term, coalesce(n, 0) as n,
+    1 + (cast(1000000000 as hugeint) * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v) as p,
+    1 + (cast(1000000000 as hugeint) * (n_lang + 2)) // (n_all + 2 * v) as q
+  from g join k using (lang) join v using (lang) left join n using (lang, source) left join c using (lang, source, term)
+), sums as (
+  select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value
+  from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by 1, 2, 3
+), found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranked where part = 'pair' or rank <= 10
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -134,4 +173,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
     "op11_packing": (op11_packing, None),
+    "op12_source_divergence": (op12_source_divergence, OP12_SQL),
 }
