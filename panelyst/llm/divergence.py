@@ -104,13 +104,6 @@ def count_terms(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tup
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _strings(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> pa.Array:
-    end = np.cumsum(length)
-    total = int(end[-1]) if len(end) else 0
-    flat = data[np.repeat(starts - end + length, length) + np.arange(total)]
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, end)), pa.py_buffer(flat)).cast(pa.string())
-
-
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, df): occurrences and documents of each term, in parts that are yet to be added up.
 
@@ -131,7 +124,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 data = LOWER[data]
                 starts, length, of, n, df = count_terms(data, offsets, group)
                 row = pa.array(first[of])
-                columns = [part.column("lang").take(row), part.column("source").take(row), _strings(data, starts, length), pa.array(n), pa.array(df)]
+                columns = [part.column("lang").take(row), part.column("source").take(row), textops.strings(data, starts, length), pa.array(n), pa.array(df)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "df"])
 
     return docs.mapInArrow(run, "lang string, source string, term string, n long, df long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyst.llm import decontaminate, divergence, language, minhash, mixing, packing, pages, quality, suffixes, tokens, toxicity, warc
+from panelyst.llm import decontaminate, divergence, language, minhash, mixing, packing, pages, quality, spelling, suffixes, tokens, toxicity, warc
 from panelyst.sources.sinks import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +161,10 @@ from ranked where part = 'pair' or rank <= 10
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -174,4 +178,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_toxicity": (op10_toxicity, None),
     "op11_packing": (op11_packing, None),
     "op12_source_divergence": (op12_source_divergence, OP12_SQL),
+    "op13_spelling_variants": (op13_spelling_variants, None),
 }

@@ -134,3 +134,11 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
     hashes, _, begin = words(data, offsets, fold=True)
     flat, at = shingles(hashes, begin, size)
     return [np.unique(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def strings(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The strings that begin at ``starts`` and have ``length`` bytes."""
+    end = np.cumsum(length)
+    total = int(end[-1]) if len(end) else 0
+    flat = data[np.repeat(starts - end + length, length) + np.arange(total)]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, end)), pa.py_buffer(flat)).cast(pa.string())
