@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Mapping
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,18 +31,25 @@ from pyspark.sql import functions as F
 from panelyst.llm import textops
 from panelyst.sources.sinks import materialise
 
-#: Chunks whose ids a task remembers at a time.
-REMEMBERED = 1 << 19
+#: Chunks whose ids a task remembers at a time, and chunks that are encoded as one text.
+REMEMBERED, TOGETHER = 1 << 19, 1000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
+#: ASCII letters and digits (1), and marks (2) that no contraction or added token has.
+KIND = np.zeros(256, np.uint8)
+KIND[[c for c in range(128) if chr(c).isalnum()]] = 1
+KIND[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = 2
+
+
 class Encoder:
     """Ids of whole texts; what stands between white space is encoded once and remembered.
 
     The tokenizer must treat a text as its chunks between ASCII white space, one after another, as those do that
-    drop white space. Chunks are known by a 64-bit hash, of lower-case letters if the tokenizer lowers them.
+    drop white space. Where it parts letters from marks, so do chunks. They are known by a 64-bit hash, of lower-case
+    letters if the tokenizer lowers them.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -51,7 +59,14 @@ class Encoder:
         self.model.no_padding()
         self.model.no_truncation()
         self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        before = self.model.pre_tokenizer
+        self.parts = before is not None and len(before.pre_tokenize_str("ab,1-cd")) == 5
         self.lowers = self.model.normalizer is not None and self.model.normalizer.normalize_str("AZ") == "az"
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix and self.parts:
+            self.ends = np.zeros(self.model.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -61,15 +76,29 @@ class Encoder:
         self.ids = np.empty(0, np.uint32)
 
     def _learn(self, fresh: np.ndarray, chunks: list[str]) -> None:
-        found = [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))
-        known = np.concatenate([self.known, fresh])
+        plain = np.fromiter((self.ends is not None and c.isascii() and c.isalpha() for c in chunks), bool, len(chunks))
+        words = [c for c, p in zip(chunks, plain.tolist(), strict=True) if p]
+        flat, length = self._words(words)
+        found = [e.ids for e in self.model.encode_batch_fast([c for c, p in zip(chunks, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+        length = np.append(length, np.fromiter(map(len, found), np.int64, len(found)))
+        self.ids = np.concatenate([self.ids, flat, np.fromiter(chain.from_iterable(found), np.uint32)])
+        known = np.concatenate([self.known, fresh[plain], fresh[~plain]])
         entry = np.concatenate([self.entry, len(self.at) - 1 + np.arange(len(fresh))])
         order = np.argsort(known)
         self.known, self.entry = known[order], entry[order]
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(length)])
-        self.ids = np.concatenate([self.ids, flat])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of ASCII letters one after another, and how many each has: many words make one text."""
+        texts = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in found] or [np.empty(0, np.uint32)])
+        if not len(words):
+            return flat, np.empty(0, np.int64)
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != len(words):
+            raise ValueError("the tokenizer does not end each word with a token that ends a word")
+        return flat, np.diff(last, prepend=-1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where those of each begin (one entry more than texts)."""
@@ -77,19 +106,25 @@ class Encoder:
         raw = data.tobytes()
         # added tokens are found before letters are lowered
         fold = self.lowers and not any(t.lower() in raw.lower() for t in self.special)
-        hashes, starts, begin = textops.words(data, offsets, fold)
+        space = textops.SEPARATOR[data]
+        first = np.append(True, space[:-1])[: len(data)]
+        if self.parts:
+            first[1:] |= KIND[data[1:]] + KIND[data[:-1]] == 3
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(first & ~space)
+        begin = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        hashes = textops.segment_hash((textops.FOLD if fold else textops.KEEP_CASE)[data], starts)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self._forget()
         fresh = ~np.isin(distinct, self.known, assume_unique=True)
         if fresh.any():
-            gap = np.append(np.flatnonzero(textops.SEPARATOR[data]), len(data))
-            first = starts[where[fresh]]
-            stop = gap[np.searchsorted(gap, first)]
-            stop = np.minimum(stop, offsets[np.searchsorted(offsets, first, side="right")])
-            self._learn(distinct[fresh], [raw[a:b].decode("utf-8") for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
+            end = np.append(np.flatnonzero(first | space), len(data))
+            at = starts[where[fresh]]
+            stop = end[np.searchsorted(end, at, side="right")]
+            self._learn(distinct[fresh], [raw[a:b].decode("utf-8") for a, b in zip(at.tolist(), stop.tolist(), strict=True)])
         entry = self.entry[np.searchsorted(self.known, distinct)][inverse]
         length = self.at[entry + 1] - self.at[entry]
         end = np.cumsum(length)

@@ -30,8 +30,8 @@ def source():
 def random_texts(seed, n, most=200):
     rng = random.Random(seed)
     letters = " \n\t\x0b\x0c\r\x85\xa0 abcdethéñÉİßΣς漢😀é<>|'s'll0\x00²"
-    marks = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "I'LL ", "<|ENDOFTEXT|>", " 12 ", "﻿", "́", " ́"]
-    pick = lambda: rng.choice(marks) if rng.random() < 0.05 else rng.choice(letters)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "I'LL ", "<|ENDOFTEXT|>", " 12 ", "﻿", "́", " ́", "a,", ".b", "'s,", ",'s", "1.", "=", "̸", "a_b", "é,", "-é"]
+    pick = lambda: rng.choice(marks) if rng.random() < 0.2 else rng.choice(letters)
     return ["".join(pick() for _ in range(rng.randint(0, most))) for _ in range(n)]
 
 
