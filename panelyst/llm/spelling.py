@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from panelyst.llm import textops
 from panelyst.sources.sinks import materialise
 
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 21
 #: A word loses a letter where this divides the checksum.
 ONE_IN = 97
 #: Longest word in bytes whose checksums are carried on for a batch at once.
