@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyst.functions.nulls import all_of, any_of, as_col, if_else, indicator, is_in, matches
-from panelyst.operators.quantiles import exact_quantiles
+from panelyst.operators.quantiles import median
 
 
 def recode(c: Column | str, mapping: Mapping) -> Column:
@@ -84,7 +84,7 @@ SPLIT_LABELS = ("Zero", "Low", "High", "Don't know")
 
 def non_zero_median(df: DataFrame, value: str) -> Column:
     """Exact median of the non-zero values, as a scalar subquery."""
-    return exact_quantiles(df.where(F.col(value) != 0), value, [0.5]).select("q1").scalar()
+    return median(df.where(F.col(value) != 0), value).select("q1").scalar()
 
 
 def split_at(c: Column | str, cut: Column, labels: Sequence[str] = SPLIT_LABELS) -> Column:

@@ -215,6 +215,8 @@ _LOGIT = StructType(
 )
 #: Newton steps at most, and the change of both coefficients, on a standardised predictor, that ends them.
 NEWTON_STEPS, NEWTON_CHANGE = 30, 1e-9
+#: Bins that the values of a predictor are put in before a fit.
+BINS = 4096
 
 
 def grouped_outcomes(df: DataFrame, outcome: str, x: str) -> DataFrame:
@@ -242,31 +244,75 @@ def outcomes_by_value(df: DataFrame, outcome: str, predictors: Sequence[str]) ->
     )
 
 
+def _value_bins(pairs: DataFrame) -> DataFrame:
+    """Rows, successes and mean value of each bin of equal width of each predictor, with the range of its values."""
+    shape = pairs.groupBy("variable").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    width = (F.col("high") - F.col("low")) / BINS
+    place = F.least(F.floor(F.try_divide(F.col("x") - F.col("low"), width)), F.lit(BINS - 1))
+    n = F.col("n").cast("double")
+    binned = pairs.join(shape, "variable").groupBy("variable", F.coalesce(place, F.lit(0)).alias("bin"))
+    return binned.agg(
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        (F.sum(F.col("x") * n) / F.sum(n)).alias("x"),
+        F.count(F.lit(1)).alias("values"),
+        F.max("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+
+
+def _step(i0: float, i1: float, i2: float, u0: float, u1: float) -> tuple[float, float] | None:
+    """The Newton step of sums of information and score; None where they do not fix both coefficients."""
+    det = i0 * i2 - i1 * i1
+    return ((i2 * u0 - i1 * u1) / det, (i0 * u1 - i1 * u0) / det) if det > 1e-12 * i0 * i2 else None
+
+
+def _fit_bins(bins: list, mean: float, half: float) -> tuple[float, float] | None:
+    """Coefficients of the logit on the bins of one predictor, standardised; None if there are none."""
+    import numpy as np
+
+    n, s, x = (np.array([b[c] for b in bins], float) for c in ("n", "s", "x"))
+    z = (x - mean) / half
+    a = b = 0.0
+    for _ in range(NEWTON_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(a + b * z, -700, 700)))
+        w, off = n * p * (1 - p), s - n * p
+        step = _step(*(float(e.sum()) for e in (w, w * z, w * z * z, off, off * z)))
+        if step is None:
+            return None
+        a, b = a + step[0], b + step[1]
+        if max(map(abs, step)) < NEWTON_CHANGE:
+            break
+    return a, b
+
+
 def logit_wald(df: DataFrame, outcome: str, predictors: Sequence[str]) -> DataFrame:
     """One-predictor logistic regressions with Wald z: one row per predictor, in the order given.
 
-    All predictors are fitted together by Newton steps, each of them one aggregate of five sums per predictor
-    over the staged (predictor, value) counts; only those sums reach the driver. ``converged`` is 0 where there
-    is no estimate, and the statistics are NULL there: a predictor that is constant, always missing or parts the
-    outcomes perfectly, or an outcome that is always the same.
+    The counts of (predictor, value) are staged once and put into bins. Newton steps on the bins, at most ``BINS``
+    a predictor, are taken where they are; a pass over all values, all predictors together, then makes the fit exact,
+    since a Newton step squares what is left of the error. It is repeated until the step is small enough for that.
+    ``converged`` is 0 where there is no estimate, and the statistics are NULL there: a predictor that is constant,
+    always missing or parts the outcomes perfectly, or an outcome that is always the same.
     """
     pairs = materialise(outcomes_by_value(df, outcome, predictors), "outcomes")
-    n = F.col("n").cast("double")
-    shape = pairs.groupBy("variable").agg(
-        F.sum("n").alias("n"),
-        F.sum("s").alias("s"),
-        (F.sum(F.col("x") * n) / F.sum(n)).alias("mean"),
-        F.min("x").alias("low"),
-        F.max("x").alias("high"),
-    )
-    scale = {
-        r["variable"]: (r["mean"], (r["high"] - r["low"]) / 2)
-        for r in shape.collect()
-        if r["high"] > r["low"] and 0 < r["s"] < r["n"]
-    }
-    beta = {v: (0.0, 0.0) for v in scale}
+    bins: dict[str, list] = {}
+    for r in _value_bins(pairs).collect():  # up to BINS rows per predictor
+        bins.setdefault(r["variable"], []).append(r)
+    scale: dict[str, tuple[float, float]] = {}
+    beta: dict[str, tuple[float, float]] = {}
+    for v, found in bins.items():
+        n, s = sum(r["n"] for r in found), sum(r["s"] for r in found)
+        low, high = found[0]["low"], found[0]["high"]
+        if high > low and 0 < s < n:
+            scale[v] = (sum(r["x"] * r["n"] for r in found) / n, (high - low) / 2)
+            start = _fit_bins(found, *scale[v])
+            # bins that part the outcomes do so only if the values do
+            if start is not None:
+                beta[v] = start
     spread: dict[str, float] = {}
-    moving = set(scale)
+    moving = set(beta)
+    n = F.col("n").cast("double")
     for _ in range(NEWTON_STEPS):
         if not moving:
             break
@@ -282,16 +328,17 @@ def logit_wald(df: DataFrame, outcome: str, predictors: Sequence[str]) -> DataFr
             .groupBy("variable")
             .agg(*[F.sum(e) for e in (w, w * F.col("z"), w * F.col("z") * F.col("z"), off, off * F.col("z"))])
         )
-        for v, i0, i1, i2, u0, u1 in sums.collect():  # one row per predictor
-            det = i0 * i2 - i1 * i1
-            if not det > 1e-12 * i0 * i2:
+        for v, *found in sums.collect():  # one row per predictor
+            step = _step(*found)
+            if step is None:
                 moving.discard(v)
                 del beta[v]
                 continue
-            step = ((i2 * u0 - i1 * u1) / det, (i0 * u1 - i1 * u0) / det)
             beta[v] = (beta[v][0] + step[0], beta[v][1] + step[1])
-            if max(map(abs, step)) < NEWTON_CHANGE:
-                spread[v] = (i0 / det) ** 0.5 / scale[v][1]
+            # the next step would be about the square of this one
+            if max(map(abs, step)) < NEWTON_CHANGE**0.5:
+                i0, i1, i2 = found[:3]
+                spread[v] = (i0 / (i0 * i2 - i1 * i1)) ** 0.5 / scale[v][1]
                 moving.discard(v)
     out = []
     for v in predictors:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from panelyst.functions.nulls import all_in, is_in
 from panelyst.functions.scalars import count_text, ratio
 from panelyst.operators.clean import SPECIAL_LEVELS
-from panelyst.operators.quantiles import exact_quantiles
+from panelyst.operators.quantiles import quantiles_of_many
 
 OTHER = "Other"
 
@@ -330,8 +330,8 @@ def continuous_tables(
 ) -> DataFrame:
     """Mean and SD, or median and quartiles, per group and overall.
 
-    ``range_min`` and ``range_max`` are over everyone, on every row. Mean tables of
-    many variables share one scan; each median needs its own.
+    ``range_min`` and ``range_max`` are over everyone, on every row. The variables
+    share one scan.
     """
     if stat not in ("mean", "median"):
         raise ValueError(f"no such summary: {stat!r}; 'mean' and 'median' are known")
@@ -353,32 +353,22 @@ def continuous_tables(
             "variable", "grp", "is_overall", "n", "mean", "sd", "range_min", "range_max"
         )
     else:
-        parts = []
-        for v in labels:
-            q = exact_quantiles(
-                df.select(F.col(group).cast("string").alias("grp"), v),
-                v,
-                [0.0, 0.25, 0.5, 0.75, 1.0],
-                ["grp"],
-                overall=True,
-            ).where((F.col("is_overall") == 1) | F.col("grp").isNotNull())
-            # Over the finished rows, one per group.
-            rows = W.partitionBy("variable")
-            everyone = F.col("is_overall") == 1
-            parts.append(
-                q.withColumn("variable", F.lit(v)).select(
-                    "variable",
-                    "grp",
-                    "is_overall",
-                    "n",
-                    F.col("q3").alias("median"),
-                    F.col("q2").alias("q25"),
-                    F.col("q4").alias("q75"),
-                    F.max(F.when(everyone, F.col("q1"))).over(rows).alias("range_min"),
-                    F.max(F.when(everyone, F.col("q5"))).over(rows).alias("range_max"),
-                )
-            )
-        table = reduce(DataFrame.unionByName, parts)
+        named = df.select(F.col(group).cast("string").alias("grp"), *labels)
+        found = quantiles_of_many(named, list(labels), [0.0, 0.25, 0.5, 0.75, 1.0], ["grp"], overall=True)
+        # Over the finished rows, one per variable and group.
+        rows = W.partitionBy("variable")
+        everyone = F.col("is_overall") == 1
+        table = found.where(everyone | F.col("grp").isNotNull()).select(
+            "variable",
+            "grp",
+            "is_overall",
+            "n",
+            F.col("q3").alias("median"),
+            F.col("q2").alias("q25"),
+            F.col("q4").alias("q75"),
+            F.max(F.when(everyone, F.col("q1"))).over(rows).alias("range_min"),
+            F.max(F.when(everyone, F.col("q5"))).over(rows).alias("range_max"),
+        )
     label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     return table.withColumn("header", F.element_at(label, F.col("variable")))
 

@@ -7,7 +7,7 @@ their dependencies allow.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from panelyst.functions import scalars as S
 from panelyst.operators import clean, columns, link, recode, scales
 from panelyst.operators.codebook import analysis_extract, codebook
 from panelyst.plans import catalog as K
+from panelyst.plans import needs
 
 
 # --- charts ---------------------------------------------------------------------
@@ -57,10 +58,23 @@ def visits(amb: DataFrame, xwalk: DataFrame) -> DataFrame:
 
 
 # --- waves ----------------------------------------------------------------------
-def clean_baseline(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid baseline rows, scrubbed and without empty columns; and the rejects."""
+def _only(df: DataFrame, needed: set[str] | None) -> DataFrame:
+    """The keys and those columns that are needed."""
+    return df if needed is None else df.select([c for c in df.columns if c in needed or c in K.KEYS])
+
+
+def clean_baseline(raw: DataFrame, needed: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid baseline rows, scrubbed and without empty columns; and the rejects.
+
+    With ``needed`` those columns stay and no others, empty or not, and no job is run to find the empty ones.
+    """
     valid, rejects = clean.split_valid(raw, F.col("MTUEX1").isNull())
-    valid = columns.drop_all_null(clean.token_to_null(valid))
+    if needed is None:
+        valid = columns.drop_all_null(clean.token_to_null(valid))
+    else:
+        valid = clean.token_to_null(_only(valid, needed))
+    if "AGE" not in valid.columns:
+        return valid, rejects
     wrong_age = (F.col("SITE1") == 10) & (F.col("PID") == "0020") & (F.col("AGE") == -1)
     return clean.correct_where(valid, "AGE", 19, wrong_age), rejects
 
@@ -119,26 +133,38 @@ def link_study(
     xwalk: DataFrame,
     sheets: Mapping[str, DataFrame],
     validate: bool = True,
+    needed: set[str] | None = None,
 ) -> DataFrame:
     """Both waves, chart facts and adjudicated texts in one row per participant.
 
-    Adjudicated texts and visits only exist for participants with a follow-up.
+    Adjudicated texts and visits only exist for participants with a follow-up. With ``needed`` (see
+    ``needs.closure``) only those columns are there, and extracts that hold none of them are not joined.
     """
-    first, second = site_codes(trim_baseline(baseline)), site_codes(followup)
-    answers = second.select(*K.KEYS, *columns.starting_with(second, "S56"))
+
+    def asked(name: str) -> bool:
+        return needed is None or name in needed
+
+    whole = site_codes(trim_baseline(baseline))
+    first, second = _only(whole, needed), site_codes(followup)
+    answers = _only(second.select(*K.KEYS, *columns.starting_with(second, "S56")), needed)
     linked = link.link_waves(first, answers, K.KEYS, validate=validate)
-    linked = link.attach(linked, diagnosis_year(history, xwalk), K.KEYS)
-    linked = link.attach(linked, first_lab(labs, xwalk), K.KEYS)
-    index = first.select(*K.KEYS, S.parse_date("TODAY").alias("TODAY"))
-    visited = link.visit_in_window(
-        index, visits(amb, xwalk), K.KEYS, "TODAY", "ServiceDate", out="CAREHV06_MCD"
-    )
-    linked = link.attach(linked, visited, K.KEYS)
+    if asked("HIVDiagnosisYear_MCD"):
+        linked = link.attach(linked, diagnosis_year(history, xwalk), K.KEYS)
+    if asked("ViralSupp_MCD"):
+        linked = link.attach(linked, first_lab(labs, xwalk), K.KEYS)
+    if asked("CAREHV06_MCD"):
+        index = whole.select(*K.KEYS, S.parse_date("TODAY").alias("TODAY"))
+        visited = link.visit_in_window(
+            index, visits(amb, xwalk), K.KEYS, "TODAY", "ServiceDate", out="CAREHV06_MCD"
+        )
+        linked = link.attach(linked, visited, K.KEYS)
     for sheet in sheets.values():
-        linked = link.attach(linked, sheet.select(*K.KEYS, *columns.existing(sheet, K.RECODE_COLUMNS)), K.KEYS)
+        texts = [c for c in columns.existing(sheet, K.RECODE_COLUMNS) if asked(c)]
+        if texts:
+            linked = link.attach(linked, sheet.select(*K.KEYS, *texts), K.KEYS)
     followed = F.col("Set") == 1
-    only_followed = [*columns.existing(linked, K.RECODE_COLUMNS), "CAREHV06_MCD"]
-    return linked.withColumns({c: F.when(followed, F.col(c)) for c in only_followed})
+    only_followed = columns.existing(linked, [*K.RECODE_COLUMNS, "CAREHV06_MCD"])
+    return linked.withColumns({c: F.when(followed, F.col(c)) for c in only_followed}) if only_followed else linked
 
 
 # --- derived variables ------------------------------------------------------------
@@ -153,12 +179,17 @@ def _ladder(spec: K.Ladder) -> Column:
     return recode.ladder(rules, fallback)
 
 
-def recodes() -> dict[str, Column]:
-    out = {"SITE_RC": recode.recode("SITE1", K.SITE_LABELS)}
+def _all(name: str) -> bool:
+    return True
+
+
+def recodes(asked: Callable[[str], bool] = _all) -> dict[str, Column]:
+    out = {"SITE_RC": recode.recode("SITE1", K.SITE_LABELS)} if asked("SITE_RC") else {}
     for name, spec in K.RECODES.items():
-        label = recode.recode(spec.source, spec.levels)
-        out[name] = recode.override(spec.override, label) if spec.override else label
-    return out | {name: _ladder(spec) for name, spec in K.LADDERS.items()}
+        if asked(name):
+            label = recode.recode(spec.source, spec.levels)
+            out[name] = recode.override(spec.override, label) if spec.override else label
+    return out | {name: _ladder(spec) for name, spec in K.LADDERS.items() if asked(name)}
 
 
 def time_and_money() -> dict[str, Column]:
@@ -175,10 +206,12 @@ def time_and_money() -> dict[str, Column]:
     }
 
 
-def box_flags() -> dict[str, Column]:
+def box_flags(asked: Callable[[str], bool] = _all) -> dict[str, Column]:
     """Disclosure and drug flags."""
     out = {}
     for name, spec in K.BOX_FLAGS.items():
+        if not asked(name):
+            continue
         if spec.all_known:
             out[name] = N.indicator(N.any_equal(spec.boxes) | N.matches(spec.text, spec.pattern))
         else:
@@ -190,69 +223,65 @@ def box_flags() -> dict[str, Column]:
     return out
 
 
-def outcomes() -> dict[str, Column]:
+def outcomes(asked: Callable[[str], bool] = _all) -> dict[str, Column]:
     out = {}
     for name, (items, text) in K.OUTCOMES.items():
-        hit = N.any_equal(items)
-        out[name] = N.indicator(hit | (F.coalesce(F.col(text), F.lit(0)) == 1) if text else hit)
+        if asked(name):
+            hit = N.any_equal(items)
+            out[name] = N.indicator(hit | (F.coalesce(F.col(text), F.lit(0)) == 1) if text else hit)
     return out
 
 
-def dummy_columns(prefixes: list[str]) -> dict[str, Column]:
+def clean_answers(asked: Callable[[str], bool] = _all) -> dict[str, Column]:
+    """The cleaned items of all scales."""
+    found = [*K.SINGLE_ITEMS, *K.SCALES]
+    return scales.cleaned([s for s in found if any(asked(f"{i}_RC") for i in s.items)])
+
+
+def dummy_columns(prefixes: list[str], asked: Callable[[str], bool] = _all) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for prefix in prefixes:
         spec = K.DUMMIES[prefix]
-        out |= recode.dummies(spec.source, prefix, spec.levels, spec.reference)
+        if any(map(asked, needs.dummy_names(prefix))):
+            out |= recode.dummies(spec.source, prefix, spec.levels, spec.reference)
     return out
 
 
-def _needed(layers: list[dict[str, Column]], needs: Mapping[str, list[str]], wanted: set[str]) -> list[dict[str, Column]]:
-    """Of each layer the variables that are asked for or that a later one asked for builds on."""
-    known = set(wanted)
-    for name in [n for layer in reversed(layers) for n in layer]:
-        if name in known:
-            known |= set(needs.get(name, ()))
-    return [{n: c for n, c in layer.items() if n in known} for layer in layers]
-
-
 def derive(linked: DataFrame, baseline: DataFrame | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """All derived variables of the linked table, in three projections; or ``only`` those and what they build on.
 
     The table is too wide for whole-stage code, so every projection copies its
     rows; variables are therefore grouped by what they build on, not by topic.
     ``baseline`` is where the income median is taken from: it has the same incomes
-    as the linked table and no joins to redo.
+    as the linked table and no joins to redo. ``only`` may name answers and facts too; a name that is neither
+    there nor derived is left out.
     """
-    flags = box_flags()
     have = set(linked.columns)
+    known = None if only is None else needs.closure(only)
+
+    def asked(name: str) -> bool:
+        return known is None or name in known
+
+    texts = [c for c in K.RECODE_COLUMNS if c.startswith("outcome") and asked(c) and (only is None or c in have)]
     from_answers = (
-        recodes()
+        recodes(asked)
         | time_and_money()
-        | flags
-        | outcomes()
-        | scales.cleaned([*K.SINGLE_ITEMS, *K.SCALES])
-        | {c: F.coalesce(F.col(c), F.lit(0)) for c in K.RECODE_COLUMNS if c.startswith("outcome")}
+        | box_flags(asked)
+        | outcomes(asked)
+        | clean_answers(asked)
+        | {c: F.coalesce(F.col(c), F.lit(0)) for c in texts}
     )
-    groups = {p: [c for c in flags if c.startswith(p)] for p in ("DISC", "DRUG")}
-    middle = [p for p in K.DUMMIES if p != "MONEY"]
     from_recodes = (
         {"MONEY_RC_Cat": F.lit(None)}
-        | dummy_columns(middle)
-        | {s.name: scales.score(s) for s in K.SCALES}
-        | {f"{p}_RCR_None": recode.none_of(names) for p, names in groups.items()}
+        | dummy_columns([p for p in K.DUMMIES if p != "MONEY"], asked)
+        | {s.name: scales.score(s) for s in K.SCALES if asked(s.name)}
+        | {f"{p}_RCR_None": recode.none_of(names) for p, names in needs.flag_groups().items() if asked(f"{p}_RCR_None")}
     )
-    last = dummy_columns(["MONEY"]) | {
+    last = dummy_columns(["MONEY"], asked) | {
         "DISC_RCD_Anyone": recode.complement("DISC_RCR_None"),
         "DRUG_RCD_Uses": recode.complement("DRUG_RCR_None"),
     }
-    layers = [from_answers, from_recodes, last]
-    if only is not None:
-        needs = {"MONEY_RC_Cat": ["MONEY_RC_Log"], "DISC_RCD_Anyone": ["DISC_RCR_None"], "DRUG_RCD_Uses": ["DRUG_RCR_None"]}
-        needs |= {f"{p}_RCR_None": names for p, names in groups.items()}
-        needs |= {s.name: [f"{i}_RC" for i in s.items] for s in K.SCALES}
-        needs |= {name: [K.DUMMIES[p].source] for p in K.DUMMIES for name in dummy_columns([p])}
-        needs |= {n: [spec.fallback_column] for n, spec in K.LADDERS.items() if spec.fallback_column}
-        layers = _needed(layers, needs, set(only))
+    layers = [{n: c for n, c in layer.items() if asked(n)} for layer in (from_answers, from_recodes, last)]
     if "MONEY_RC_Cat" in layers[1]:
         source = (linked if baseline is None else baseline).select(time_and_money()["MONEY_RC_Log"].alias("m"))
         layers[1]["MONEY_RC_Cat"] = recode.split_at("MONEY_RC_Log", recode.non_zero_median(source, "m"))
@@ -261,7 +290,8 @@ def derive(linked: DataFrame, baseline: DataFrame | None = None, only: Sequence[
         out = out.withColumns(layer) if layer else out
     if only is None:
         return out
-    return out.select(*[c for c in K.KEYS if c in have], *only)
+    names = dict.fromkeys([*[c for c in K.KEYS if c in have], *only])
+    return out.select(*columns.existing(out, list(names)))
 
 
 def extract(study: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Each function reads the derived table once per kind of summary; write that table
 with ``sources.sinks.materialise`` first when several reports are wanted.
+``READS`` names the variables each report looks at: link and derive those (``needs.closure``), not all.
 """
 
 from __future__ import annotations
@@ -17,6 +18,39 @@ from panelyst.plans import catalog as K
 
 SITES = list(K.SITE_LABELS.values())
 
+_COHORT = ["Set", "AGE", "HE_RC_HAL", "HE_RC_HSE"]
+#: Labels that reports make themselves, and what from.
+_MADE = {"DISC_RC": ["DISCA"], "DRUG_RCD_None": ["DRUG1LM", "DRUG2LK"], "INJECTL_RC": ["INJECTL"]}
+#: Search items that a free text may set right: item, text, pattern, value.
+_SET_RIGHT = (
+    ("S56_25L", "S56_25S", "NONE", 0),
+    ("S56_26N", "S56_26S", "NONE|NOTHING|HIV", 0),
+    ("S56_26E", "S56_26S", "HIV", 1),
+)
+
+
+def _looks_at(*names: str) -> list[str]:
+    return list(dict.fromkeys([*_COHORT, *[x for n in names for x in _MADE.get(n, [n])]]))
+
+
+_SEARCHED = _looks_at(*[q.variable for q in K.HEALTH_QUESTIONS], *[x for rule in _SET_RIGHT for x in rule[:2]])
+_TALKED = _looks_at(*[q.variable for q in K.COMM_QUESTIONS])
+READS: dict[str, list[str]] = {
+    "table1": _looks_at("SITE_RC", "MONEY_RC", *K.TABLE1_FACTORS),
+    "table2": _looks_at("SITE_RC", "INJECTL_RC", *K.TABLE2_FACTORS, *K.TABLE2_DRUGS, *K.TABLE2_SCALES),
+    "table3": _looks_at("SITE_RC", "S56_11", *K.TABLE3_SCALES, *K.TABLE3_DEVICES, *K.TABLE3_OFTEN, K.TABLE3_INTERNET[0]),
+    "site_chi_squares": _looks_at("SITE_RC", *K.TABLE1_FACTORS, *K.TABLE2_FACTORS, *K.CHI_SQUARE_EXTRA),
+    "site_anovas": _looks_at("SITE1", *K.ANOVA_VARIABLES),
+    "search_items": _SEARCHED,
+    "search_categories": _SEARCHED,
+    "platform_items": _TALKED,
+    "platform_categories": _TALKED,
+    "reliabilities": [f"{i}_RC" for s in K.SCALES for i in s.items],
+    "attrition_categorical": ["Set", *K.ATTRITION_FACTORS],
+    "attrition_continuous": ["Set", *K.ATTRITION_PREDICTORS],
+    "extract": list(dict.fromkeys([*K.ANALYSIS_COLUMNS, "Set", "AGE_RC", "HE_RC_HAL", "HE_RC_HSE"])),
+}
+
 
 def cohort(study: DataFrame, age: str = "AGE") -> DataFrame:
     """Followed-up adults with both engagement scores, with their age group."""
@@ -25,13 +59,15 @@ def cohort(study: DataFrame, age: str = "AGE") -> DataFrame:
 
 
 def participant_answers(study: DataFrame) -> DataFrame:
-    """The cohort with the answers of tables 1 and 2 as labels."""
-    out = {c: recode.recode(c, levels) for c, levels in K.REPORT_RECODES.items()}
-    out["DISC_RC"] = F.when(F.col("DISCA") == 0, "Disclosed").when(F.col("DISCA") != 0, "Did not disclose")
-    out["DRUG_RCD_None"] = indicator((F.col("DRUG1LM") == 1) & (F.col("DRUG2LK") == 1))
-    out["INJECTL_RC"] = F.when(F.col("INJECTL") == 1, "Injected drugs").when(
-        F.col("INJECTL") == 0, "Did not inject drugs"
-    )
+    """The cohort with the answers of tables 1 and 2 as labels, as far as the answers are there."""
+    have = set(study.columns)
+    out = {c: recode.recode(c, levels) for c, levels in K.REPORT_RECODES.items() if c in have}
+    made = {
+        "DISC_RC": F.when(F.col("DISCA") == 0, "Disclosed").when(F.col("DISCA") != 0, "Did not disclose"),
+        "DRUG_RCD_None": indicator((F.col("DRUG1LM") == 1) & (F.col("DRUG2LK") == 1)),
+        "INJECTL_RC": F.when(F.col("INJECTL") == 1, "Injected drugs").when(F.col("INJECTL") == 0, "Did not inject drugs"),
+    }
+    out |= {name: c for name, c in made.items() if have.issuperset(_MADE[name])}
     return cohort(study).withColumns(out)
 
 
@@ -119,11 +155,7 @@ def site_anovas(study: DataFrame) -> DataFrame:
 def search_answers(study: DataFrame) -> DataFrame:
     """The cohort with the search items set right by their free texts."""
     rows = cohort(study)
-    for item, text, pattern, value in (
-        ("S56_25L", "S56_25S", "NONE", 0),
-        ("S56_26N", "S56_26S", "NONE|NOTHING|HIV", 0),
-        ("S56_26E", "S56_26S", "HIV", 1),
-    ):
+    for item, text, pattern, value in _SET_RIGHT:
         rows = clean.override_from_text(rows, item, text, pattern, value)
     return rows
 

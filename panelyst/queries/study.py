@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelyst.plans import catalog as K
 from panelyst.plans import derive as D
 from panelyst.plans import reports as R
+from panelyst.plans.needs import closure
 from panelyst.queries import frames as X
 from panelyst.queries.base import round_cols, round_means
 from panelyst.queries.prevalence import categories_sql, items_sql
@@ -16,8 +18,10 @@ from panelyst.sources.sinks import materialise
 
 
 # --- the pipeline ----------------------------------------------------------------------
-def linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    base, _ = D.clean_baseline(X.baseline(spark, sf))
+def linked(spark: SparkSession, sf: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The linked table and the clean baseline; with ``names`` only what those are made from."""
+    needed = None if names is None else closure(names)
+    base, _ = D.clean_baseline(X.baseline(spark, sf), None if needed is None else {*needed, "TODAY"})
     follow, _ = D.clean_followup(X.followup(spark, sf))
     table = D.link_study(
         base,
@@ -28,14 +32,25 @@ def linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         X.crosswalk(spark, sf),
         X.sheets(spark, sf),
         validate=False,
+        needed=needed,
     )
     return table, base
 
 
-def study(spark: SparkSession, sf: str) -> DataFrame:
-    """The derived table, written for the reports of one call to read."""
-    table, base = linked(spark, sf)
-    return materialise(D.derive(table, base), "study")
+def study(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
+    """The derived table with all variables, or with ``names`` and nothing they don't need."""
+    table, base = linked(spark, sf, names)
+    return D.derive(table, base, only=names)
+
+
+def _report(name: str, build, often: bool = False):
+    """A report on the variables it reads; they are written first where it reads them ``often``."""
+
+    def run(spark, sf):
+        rows = study(spark, sf, R.READS[name])
+        return build(materialise(rows, name) if often else rows)
+
+    return run
 
 
 def study_harmonised(spark, sf):
@@ -82,8 +97,7 @@ _SCORES = [s.name for s in K.SCALES]
 
 def _columns(names):
     def run(spark, sf):
-        table, base = linked(spark, sf)
-        return D.derive(table, base, only=names)
+        return study(spark, sf, names)
 
     return run
 
@@ -94,18 +108,16 @@ def study_scales(spark, sf):
     return D.derive(D.site_codes(D.trim_baseline(base)), only=[*_SCORES, "MENTALH4_RC"])
 
 
-def study_extract(spark, sf):
-    return D.extract(study(spark, sf))
-
-
-def study_codebook(spark, sf):
-    book = D.study_codebook(D.extract(study(spark, sf)), exact_distinct=True)
-    return book.select("variable", "label", "n_rows", "n_null", "n_distinct", "is_binary")
+def _codebook(rows):
+    book = D.study_codebook(D.extract(rows), exact_distinct=True)
+    # logarithms of two engines may differ in their last digit
+    ends = {c: F.when(F.col("type") == "double", F.round(F.col(c).cast("double"), 6).cast("string")).otherwise(F.col(c)) for c in ("min", "max")}
+    return book.withColumns(ends)
 
 
-def _table(fn):
-    def run(spark, sf):
-        t = fn(study(spark, sf))
+def _table(build):
+    def run(rows):
+        t = build(rows)
         means = [c for c in ("mean", "sd") if c in t.columns]
         quartiles = [c for c in ("median", "q25", "q75") if c in t.columns]
         return round_cols(round_means(t, *means), 4, *quartiles).select(sorted(t.columns))
@@ -416,10 +428,18 @@ _SEARCH = "SELECT * FROM cohort"
 _ADULTS = """"AGE_RC" >= 18 AND "HE_RC_HAL" IS NOT NULL AND "HE_RC_HSE" IS NOT NULL"""
 
 
+_TYPE = "CASE typeof(any_value(\"{c}\")) WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END"
+
+
+def _quoted(c: str) -> str:
+    return f'"{c}"'
+
+
 def _book_sql(c: str) -> str:
     label = "'" + K.ANALYSIS_LABELS[c].replace("'", "''") + "'" if c in K.ANALYSIS_LABELS else "NULL"
     return f"""SELECT '{c}' AS variable, {label} AS label, count(*) AS n_rows, count(*) - count("{c}") AS n_null,
-  count(DISTINCT "{c}") AS n_distinct,
+  count(DISTINCT "{c}") AS n_distinct, {_TYPE.format(c=c)} AS type,
+  {", ".join(f'CAST({f"round({end}({_quoted(c)}), 6)" if c.endswith("_Log") else f"{end}({_quoted(c)})"} AS VARCHAR) AS {end}' for end in ("min", "max"))},
   CAST(count(*) FILTER (WHERE "{c}" IN (0, 1)) = count("{c}") AND count("{c}") > 0 AS INTEGER) AS is_binary
   FROM kept WHERE (SELECT count(*) <> count(*) FILTER (WHERE "{c}" = 0) FROM followed) HAVING count(*) > 0"""
 
@@ -428,7 +448,7 @@ _CODEBOOK_SQL = f"""WITH {STUDY_SQL}, followed AS MATERIALIZED (SELECT * FROM st
 kept AS MATERIALIZED (SELECT * FROM followed WHERE {_ADULTS}) """ + " UNION ALL ".join(_book_sql(c) for c in K.ANALYSIS_COLUMNS)
 _STUDY_ROWS = "SELECT * FROM study"
 _LOGITS_SQL = f"WITH {STUDY_SQL} " + " UNION ALL ".join(
-    logit_sql(f'"{v}"', v, _STUDY_ROWS, (4, 4)) for v in K.ATTRITION_PREDICTORS
+    logit_sql(f'"{v}"', v, _STUDY_ROWS, (4, 4, 6)) for v in K.ATTRITION_PREDICTORS
 )
 
 QUERIES = {
@@ -452,76 +472,80 @@ QUERIES = {
     "study_scales": (study_scales, _select([*K.KEYS, *_SCORES, "MENTALH4_RC"])),
     "study_outcomes": (_columns(list(K.OUTCOMES)), _select([*K.KEYS, *K.OUTCOMES])),
     "study_extract": (
-        study_extract,
+        _report("extract", D.extract),
         _select(
             K.ANALYSIS_COLUMNS,
             """WHERE "Set" = 1 AND "AGE_RC" >= 18 AND "HE_RC_HAL" IS NOT NULL AND "HE_RC_HSE" IS NOT NULL""",
         ),
     ),
-    "study_codebook": (study_codebook, _CODEBOOK_SQL),
-    "study_table1": (_table(R.table1), _TABLE1_SQL),
-    "study_table2": (_table(R.table2), _TABLE2_SQL),
-    "study_table3": (_table(R.table3), _TABLE3_SQL),
+    "study_codebook": (_report("extract", _codebook, often=True), _CODEBOOK_SQL),
+    "study_table1": (_report("table1", _table(R.table1), often=True), _TABLE1_SQL),
+    "study_table2": (_report("table2", _table(R.table2), often=True), _TABLE2_SQL),
+    "study_table3": (_report("table3", _table(R.table3), often=True), _TABLE3_SQL),
     "study_site_chi_squares": (
-        lambda spark, sf: round_cols(R.site_chi_squares(study(spark, sf)), 6, "statistic", "p"),
+        _report("site_chi_squares", lambda rows: round_cols(R.site_chi_squares(rows), 6, "statistic", "p"), often=True),
         _CHI_SQL,
     ),
     "study_site_anovas": (
-        lambda spark, sf: round_cols(R.site_anovas(study(spark, sf)), 4, "f", "df2", "p"),
+        _report("site_anovas", lambda rows: round_cols(R.site_anovas(rows), 4, "f", "df2", "p"), often=True),
         _ANOVA_SQL,
     ),
     "study_search_items": (
-        lambda spark, sf: R.search_items(study(spark, sf)),
+        _report("search_items", R.search_items),
         _outer(items_sql(_SEARCH, K.HEALTH_QUESTIONS)),
     ),
     "study_search_items_by_age": (
-        lambda spark, sf: R.search_items(study(spark, sf), ["Age Groups"]),
+        _report("search_items", lambda rows: R.search_items(rows, ["Age Groups"])),
         _outer(items_sql(_SEARCH, K.HEALTH_QUESTIONS, '"Age Groups"')),
     ),
     "study_search_categories": (
-        lambda spark, sf: R.search_categories(study(spark, sf)),
+        _report("search_categories", R.search_categories),
         _outer(categories_sql(_SEARCH, K.HEALTH_QUESTIONS)),
     ),
+    "study_search_categories_by_age": (
+        _report("search_categories", lambda rows: R.search_categories(rows, ["Age Groups"])),
+        _outer(categories_sql(_SEARCH, K.HEALTH_QUESTIONS, '"Age Groups"')),
+    ),
     "study_platform_items": (
-        lambda spark, sf: R.platform_items(study(spark, sf)),
+        _report("platform_items", R.platform_items),
         _outer(items_sql(_SEARCH, K.COMM_QUESTIONS, None, "rows", False)),
     ),
+    "study_platform_items_by_age": (
+        _report("platform_items", lambda rows: R.platform_items(rows, ["Age Groups"])),
+        _outer(items_sql(_SEARCH, K.COMM_QUESTIONS, '"Age Groups"', "rows", False)),
+    ),
+    "study_platform_categories": (
+        _report("platform_categories", R.platform_categories),
+        _outer(categories_sql(_SEARCH, K.COMM_QUESTIONS)),
+    ),
     "study_platform_categories_by_age": (
-        lambda spark, sf: R.platform_categories(study(spark, sf), ["Age Groups"]),
+        _report("platform_categories", lambda rows: R.platform_categories(rows, ["Age Groups"])),
         _outer(categories_sql(_SEARCH, K.COMM_QUESTIONS, '"Age Groups"')),
     ),
     "study_reliabilities": (
-        lambda spark, sf: round_cols(R.reliabilities(study(spark, sf)), 4, "alpha"),
+        _report("reliabilities", lambda rows: round_cols(R.reliabilities(rows), 4, "alpha")),
         _alpha_sql(),
     ),
     "study_attrition_categorical": (
-        lambda spark, sf: round_cols(R.attrition_categorical(study(spark, sf)), 6, "statistic", "p"),
+        _report("attrition_categorical", lambda rows: round_cols(R.attrition_categorical(rows), 6, "statistic", "p"), often=True),
         _ATTRITION_SQL,
     ),
     "study_attrition_continuous": (
-        lambda spark, sf: round_cols(
-            R.attrition_continuous(study(spark, sf)), 4, "intercept", "slope", "z", "p"
-        ).drop("std_error"),
+        _report(
+            "attrition_continuous",
+            lambda rows: round_cols(
+                round_cols(R.attrition_continuous(rows), 4, "intercept", "slope", "z", "p"), 6, "std_error"
+            ),
+        ),
         _LOGITS_SQL,
     ),
     "study_attrition_residuals": (
-        lambda spark, sf: round_cols(
-            R.attrition_residuals(study(spark, sf), "AGE"), 4, "mean_x", "mean_residual", "band"
+        _report(
+            "attrition_continuous",
+            lambda rows: round_cols(R.attrition_residuals(rows, "AGE"), 4, "mean_x", "mean_residual", "band"),
         ),
         residuals_sql("AGE", _STUDY_ROWS, STUDY_SQL),
     ),
-    "study_search_categories_by_age": (
-        lambda spark, sf: R.search_categories(study(spark, sf), ["Age Groups"]),
-        _outer(categories_sql(_SEARCH, K.HEALTH_QUESTIONS, '"Age Groups"')),
-    ),
-    "study_platform_items_by_age": (
-        lambda spark, sf: R.platform_items(study(spark, sf), ["Age Groups"]),
-        _outer(items_sql(_SEARCH, K.COMM_QUESTIONS, '"Age Groups"', "rows", False)),
-    ),
-    "study_platform_categories": (
-        lambda spark, sf: R.platform_categories(study(spark, sf)),
-        _outer(categories_sql(_SEARCH, K.COMM_QUESTIONS)),
-    ),
     "study_rejects": (
         study_rejects,
         f"""SELECT SITE1, PID, "S56_1", "S56_2S" FROM (

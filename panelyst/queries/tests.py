@@ -158,6 +158,7 @@ def logit_wald(spark, sf):
         "variable",
         F.round("intercept", 4).alias("intercept"),
         F.round("slope", 7).alias("slope"),
+        F.round("std_error", 9).alias("std_error"),
         F.round("z", 4).alias("z"),
         F.round("p", 4).alias("p"),
         "converged",
@@ -181,10 +182,12 @@ def _newton(x: str, rows: str, steps: int = 9) -> str:
     return ",\n".join(ctes)
 
 
-def logit_sql(x: str, name: str, rows: str = _LINKED, digits: tuple[int, int] = (4, 7)) -> str:
-    z = "(b / sqrt(i0 / (i0 * i2 - i1 * i1)))"
+def logit_sql(x: str, name: str, rows: str = _LINKED, digits: tuple[int, int, int] = (4, 7, 9)) -> str:
+    error = "sqrt(i0 / (i0 * i2 - i1 * i1))"
+    z = f"(b / {error})"
     return f"""SELECT * FROM (WITH {_newton(x, rows)}
-SELECT '{name}' AS variable, round(a, {digits[0]}) AS intercept, round(b, {digits[1]}) AS slope, round({z}, 4) AS z,
+SELECT '{name}' AS variable, round(a, {digits[0]}) AS intercept, round(b, {digits[1]}) AS slope,
+  round({error}, {digits[2]}) AS std_error, round({z}, 4) AS z,
   1 AS converged, round({chi2_p_sql(f"{z} * {z}", "1")}, 4) AS p FROM k9)"""
 
 
@@ -259,7 +262,7 @@ QUERIES = {
     "logit_wald": (
         logit_wald,
         logit_sql("c_nationkey", "nation") + " UNION ALL " + logit_sql("c_acctbal", "c_acctbal")
-        + " UNION ALL SELECT v, NULL, NULL, NULL, 0, NULL FROM (VALUES ('constant'), ('parted')) t(v)",
+        + " UNION ALL SELECT v, NULL, NULL, NULL, NULL, 0, NULL FROM (VALUES ('constant'), ('parted')) t(v)",
     ),
     "binned_residuals": (binned_residuals, residuals_sql("c_acctbal")),
 }

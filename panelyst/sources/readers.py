@@ -6,21 +6,33 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from panelyst.operators.clean import na_strings
 from panelyst.operators.codebook import metadata_labels, with_labels
+from panelyst.sources import multiline as M
 
 # The texts that mean "missing" in a survey file.
 NA_TOKENS = ("", "NA")
 
 
-def _reader(spark: SparkSession, multiline: bool = False) -> DataFrameReader:
-    """Fields in double quotes, a quote inside one doubled. ``multiline`` lets quoted fields hold line breaks;
-    a file is then read by one task."""
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+_QUOTES = {"quote": '"', "escape": '"'}
+
+
+def _reader(spark: SparkSession) -> DataFrameReader:
+    """Fields in double quotes, a quote inside one doubled."""
+    return spark.read.option("header", True).options(**_QUOTES)
+
+
+def _texts(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """All fields as text. ``multiline`` lets quoted fields hold line breaks; files are split either way."""
+    names = _reader(spark).option("multiLine", multiline).csv(path).columns
+    if multiline:
+        return M.parsed(M.records(spark, path), names, _QUOTES)
+    text = StructType([StructField(n, StringType()) for n in names])
+    return _reader(spark).option("enforceSchema", False).schema(text).csv(path)
 
 
 def find_files(spark: SparkSession, folder: str, pattern: str, suffix: str = ".csv") -> list[str]:
@@ -57,11 +69,9 @@ def read_csv(
         schema = StructType.fromDDL(schema)
     parts = []
     for one in [path] if isinstance(path, str) else path:
-        names = _reader(spark, multiline).csv(one).columns
-        text = StructType([StructField(n, StringType()) for n in names])
-        raw = na_strings(_reader(spark, multiline).option("enforceSchema", False).schema(text).csv(one), na)
+        raw = na_strings(_texts(spark, one, multiline), na)
         if schema is not None:
-            missing = [f.name for f in schema.fields if f.name not in names]
+            missing = [f.name for f in schema.fields if f.name not in raw.columns]
             if missing:
                 raise ValueError(f"{one} has no columns {missing}")
             raw = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -69,26 +79,59 @@ def read_csv(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=schema is None), parts)
 
 
+#: What a text can be read as, the narrowest type first, each with the pattern of its texts.
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity"
+_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_KINDS = {
+    "int": "[+-]?[0-9]+",
+    "bigint": "[+-]?[0-9]+",
+    "double": _NUMBER,
+    "date": _DAY,
+    "timestamp": _DAY + r"([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?",
+    "boolean": "(?i)true|false",
+}
+
+
+def _readings(c: str) -> Column:
+    """The types a text can be read as, one bit each; NULL for NULL."""
+    out = F.lit(0)
+    for bit, (kind, pattern) in enumerate(_KINDS.items()):
+        fits = F.col(c).rlike(f"^({pattern})$") & F.col(c).try_cast(kind).isNotNull()
+        out = out + F.when(fits, 1 << bit).otherwise(0)
+    return F.when(F.col(c).isNotNull(), out)
+
+
+def inferred_types(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
+    """The narrowest type that all texts of each column can be read as, from one scan.
+
+    Types form a lattice: int, bigint and double widen in this order, date widens to timestamp, and all else meets
+    in string. A row leaves the types its text can have and rows are folded by AND, in any order and across
+    files. A column without a value is a string.
+    """
+    if not cols:
+        return {}
+    left = df.agg(*[F.bit_and(_readings(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        able = [kind for bit, kind in enumerate(_KINDS) if (left[f"m{i}"] or 0) >> bit & 1]
+        out[c] = able[0] if able else "string"
+    return out
+
+
 def read_csv_inferred(
     spark: SparkSession, path: str | Sequence[str], text_cols: Iterable[str] = (), multiline: bool = False
 ) -> DataFrame:
     """CSV with inferred types; columns named in ``text_cols`` are kept as text.
 
-    Inference scans the files once more. Leading zeros of ids survive only for the
-    text columns, which are taken from a second, uninferred schema. Columns go by name as in :func:`read_csv`;
-    where files of several paths infer different types the wider one holds.
+    One more scan of all paths together finds the types, see :func:`inferred_types`. Leading zeros of ids survive
+    only for the text columns. Columns go by name as in :func:`read_csv`; a column that a path lacks is NULL there.
     """
     keep = set(text_cols)
-    parts = []
-    for one in [path] if isinstance(path, str) else path:
-        reader = _reader(spark, multiline).option("nullValue", NA_TOKENS[1])
-        found = reader.option("inferSchema", True).csv(one).schema
-        fields = [
-            StructField(f.name, StringType() if f.name in keep else f.dataType) for f in found.fields
-        ]
-        plain = reader.option("inferSchema", False).option("enforceSchema", False)
-        parts.append(plain.schema(StructType(fields)).csv(one))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    paths = [path] if isinstance(path, str) else path
+    parts = [na_strings(_texts(spark, one, multiline), NA_TOKENS[1:]) for one in paths]
+    texts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    types = inferred_types(texts, [c for c in texts.columns if c not in keep])
+    return texts.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in texts.columns])
 
 
 def read_lookup(spark: SparkSession, path: str, names: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:

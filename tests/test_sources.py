@@ -66,6 +66,73 @@ def test_free_text_comes_back(spark, tmp_path):
     assert [tuple(r) for r in readers.read_csv(spark, p, multiline=True).collect()] == [("1", 'he said "no"\nand left')]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut into splits of a few dozen bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def free_texts(n):
+    """Texts whose quotes, breaks and commas fall on all places of a split."""
+    parts = ['"', "\n", ",", "a", " ", '""', "é", "\n\n", "x" * 40, "\\", "end\n"]
+    out, state = [], 1
+    for k in range(n):
+        text = ""
+        for _ in range(k % 9):
+            state = (state * 1103515245 + 12345) % 2**31
+            text += parts[state % len(parts)]
+        out.append(text)
+    return [*out, "line\n" * 60, '"' * 50, "last"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_file_with_breaks_is_read_by_many_tasks(spark, tmp_path, small_splits, end):
+    texts = free_texts(300)
+    lines = ["k,t", *(f'{k},"{t.replace(chr(34), chr(34) * 2)}"' for k, t in enumerate(texts))]
+    path = tmp_path / "s.csv"
+    path.write_bytes((end.join(lines).replace("\n", end).replace("\r\r", "\r") + end).encode())
+    df = readers.read_csv(spark, str(path), "k INT, t STRING", multiline=True)
+    assert df.rdd.getNumPartitions() > 50
+    want = {k: t or "" for k, t in enumerate(texts)}
+    assert {r["k"]: r["t"] or "" for r in df.collect()} == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    at_once = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(str(path))
+    assert {int(r["k"]): r["t"] or "" for r in at_once.collect()} == want
+
+
+def test_several_files_with_breaks(spark, tmp_path, small_splits):
+    write(tmp_path / "d" / "a.csv", 'k,"t"\n1,"one\n\ntwo"\n\n2,x\n')
+    write(tmp_path / "d" / "b.csv", 'k,t\n3,"' + "long\n" * 100 + '"')
+    write(tmp_path / "d" / "c.csv", "k,t\n")
+    df = readers.read_csv(spark, str(tmp_path / "d"), multiline=True)
+    assert {tuple(r) for r in df.collect()} == {("1", "one\n\ntwo"), ("2", "x"), ("3", "long\n" * 100)}
+    write(tmp_path / "e" / "a.csv", "k,t\n1,2\n")
+    write(tmp_path / "e" / "b.csv", "t,k\n2,1\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path / "e"), multiline=True).collect()
+    p = write(tmp_path / "odd.csv", 'k,t\n1,"never closed\n2,x\n')
+    with pytest.raises(ValueError, match="quotes"):
+        readers.read_csv(spark, p, multiline=True)
+
+
+def test_types_are_folded_over_all_paths(spark, tmp_path):
+    one = write(tmp_path / "a.csv", "i,l,d,day,t,b,s,n,mix,id\n1,1,1,2020-01-02,2020-01-02,true,x,NA,1,007\n-2,,2,,,False,,,,008\n")
+    two = write(tmp_path / "b.csv", "l,i,d,t,day,b,s,mix,id,extra\n5000000000,3,.5e3,2020-01-02 03:04:05,2021-12-31,TRUE,1,2020-01-02,009,7\n")
+    df = readers.read_csv_inferred(spark, [one, two], ["id"])
+    assert dict(df.dtypes) == {
+        "i": "int", "l": "bigint", "d": "double", "day": "date", "t": "timestamp", "b": "boolean", "s": "string",
+        "n": "string", "mix": "string", "id": "string", "extra": "int",
+    }
+    got = {r["id"]: r for r in df.collect()}
+    assert got["009"]["d"] == 500.0 and got["009"]["l"] == 5_000_000_000 and got["007"]["extra"] is None
+    assert got["008"]["i"] == -2 and got["008"]["b"] is False and got["007"]["n"] is None
+    assert readers.inferred_types(df, []) == {}
+
+
 def test_lookup_without_header(spark, tmp_path):
     p = write(tmp_path / "x.csv", "11,P1,no\n12,P2,yes\n")
     df = readers.read_lookup(spark, p, ["SiteSpecificID", "PID", "Withdrawn"], drop=["Withdrawn"])
@@ -126,6 +193,25 @@ def test_profile(spark):
     assert book == {"f": "Flag", "t": None, "v": None}
 
 
+def test_distinct_counts_by_bitmaps(spark):
+    """Narrow, wide and sparse whole numbers, negative ones, all NULL, text and fractions."""
+    n = 300_000
+    df = spark.range(n).selectExpr(
+        "CAST(id % 7 AS INT) - 3 AS code", "id * 5 AS wide", "(id % 1000) * 9007199254740 AS sparse",
+        "CAST(IF(id % 2 = 0, NULL, id % 40000 - 20000) AS SMALLINT) AS negative", "CAST(NULL AS BIGINT) AS none",
+        "CAST(id % 11 AS STRING) AS t", "id % 13 / 2 AS v", "CAST(id % 3 AS TINYINT) AS b",
+    )
+    want = {c: df.select(c).distinct().where(f"{c} IS NOT NULL").count() for c in df.columns}
+    got = {r["variable"]: r for r in B.profile(df, exact_distinct=True).collect()}
+    assert {c: r["n_distinct"] for c, r in got.items()} == want
+    assert (got["negative"]["min"], got["negative"]["type"], got["wide"]["max"]) == ("-19999", "smallint", str(5 * (n - 1)))
+    near = {r["variable"]: r["n_distinct"] for r in B.profile(df).collect()}
+    assert all(abs(near[c] - want[c]) <= 0.03 * want[c] for c in want)
+    parts = [B.distinct_sketches(df.where(f"wide % 10 = {k}"), ["wide", "t"]) for k in (0, 5)]
+    merged = {r["variable"]: r["n_distinct"] for r in B.merged_distinct(parts[0].unionByName(parts[1])).collect()}
+    assert abs(merged["wide"] - n) <= 0.03 * n and merged["t"] == 11
+
+
 def test_extract_drops_columns_before_the_age_rule(spark):
     # The flag is 1 only on a minor's row: it stays, though all kept rows have 0.
     df = spark.createDataFrame([(1, 17, 1, 5, 0), (1, 20, 0, 5, 0), (1, 30, 0, None, 0), (0, 40, 1, 5, 0)], "s int, age int, flag int, h int, z int")

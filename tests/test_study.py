@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def study(spark):
-    return Q.study(spark, SF)
+    return materialise(Q.study(spark, SF))
 
 
 def test_catalog_is_consistent():
@@ -74,6 +76,41 @@ def test_search_texts_override_items(study):
     assert rows.where("S56_26S LIKE '%HIV%' AND (S56_26N <> 0 OR S56_26E <> 1)").count() == 0
 
 
+def test_reports_see_what_they_read_and_no_more(spark):
+    """Each report works on its own variables, and its plan holds no answer that none of them is made from."""
+    from panelyst.plans.needs import closure
+
+    builders = {name: getattr(R, name) for name in R.READS if name != "extract"}
+    raw = {*Q.X.BASELINE, *Q.X.FOLLOWUP, *Q.X.VERSIONED, *Q.X.SHEETS}
+    for name, build in builders.items():
+        rows = Q.study(spark, SF, R.READS[name])
+        assert set(rows.columns) <= {*R.READS[name], *K.KEYS}, name
+        (build(rows) if name != "attrition_continuous" else rows).schema  # all columns the report names are there
+        needed = closure(R.READS[name])
+        # names that validity and the questionnaire's version are told by
+        needed |= {"MTUEX1", "S56_1", "S56_2S", K.SEARCH_FREQUENCY, *K.HARMONISED.values(), *K.SEARCH_ITEMS}
+        held = {w for w in re.findall(r"(\w+)#\d+", rows._jdf.queryExecution().optimizedPlan().toString())}
+        assert not (held & raw) - needed - {f"S56_24{x}" for x in ("U", "X", "XV", "")} - set(K.EXTRA_SEARCH_ITEMS), name
+        if name == "search_items":
+            assert "HIVDiagnosisYear" not in held and "ServiceDate" not in held and "DISCRECODE" not in held
+
+
+def test_variables_name_all_they_are_made_from(spark, study):
+    """A table of what the catalog says a variable reads is enough to derive it."""
+    from panelyst.plans import needs
+
+    made = needs.reads()
+    everything = Q.linked(spark, SF)[0]
+    kinds = {f.name: f.dataType.simpleString() for f in everything.schema.fields}
+    derived = [c for c in study.columns if c not in kinds]
+    assert set(derived) == set(made) - set(kinds)
+    for name in [*derived[::9], *K.LADDERS, "MONEY_RC_Cat", "DISC_RCD_Anyone"]:
+        raw = [c for c in needs.closure([name]) if c not in made]
+        assert set(raw) <= set(kinds), name
+        table = spark.createDataFrame([], ", ".join(f"`{c}` {kinds[c]}" for c in raw))
+        assert D.derive(table, table, only=[name]).columns[-1] == name
+
+
 BASE = "SITE1 int, PID string, TODAY string, DOB string, MTUEX1 int, AGE int, empty int, note string"
 
 
