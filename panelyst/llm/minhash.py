@@ -299,5 +299,6 @@ def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     alone = found.where(F.col("root").isNull()).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
     kept = chosen.unionByName(alone.distinct())
     marked = docs.withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
-    same = (F.col("__hash") == F.col("kept_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("kept_id"))
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")
+    same = (F.col("d.__hash") == F.col("k.kept_hash")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.kept_id"))
+    stays = marked.alias("d").join(kept.alias("k"), same, "left_semi")
+    return stays.dropDuplicates([id_col, "__hash"]).drop("__hash")

@@ -25,7 +25,9 @@ from panelyst.sources.sinks import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents settled in one group; the fan-in of the reduction tree.
 BUCKET = 2048
-ROUNDED = "doc_id long, sid long, size long, tie long, whole int, part double, level int, settled boolean"
+#: Equal rows that are numbered in one run.
+RUN = 1 << 16
+ROUNDED = "doc_id long, sid long, size long, tie long, nth long, whole int, part double, level int, settled boolean"
 
 
 def word_count(text: Column) -> Column:
@@ -131,7 +133,7 @@ def _round_level(rows: DataFrame, buckets: DataFrame, level: int, seed: int) ->
     """One level of the tree: rows (ROUNDED without settled) in buckets of their source."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        group = group.sort_values(["size", "tie", "nth", "doc_id"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         part, held = settle(group["size"].to_numpy(np.float64), group["part"].to_numpy(np.float64), rng)
         if group["buckets"][0] == 1:
@@ -139,14 +141,26 @@ def _round_level(rows: DataFrame, buckets: DataFrame, level: int, seed: int) ->
         group["part"] = part
         group["settled"] = np.arange(len(group)) != (-1 if held is None else held)
         group["level"] = level
-        return group[["doc_id", "sid", "size", "tie", "whole", "part", "level", "settled"]].astype({"doc_id": "Int64"})
+        return group[["doc_id", "sid", "size", "tie", "nth", "whole", "part", "level", "settled"]].astype({"doc_id": "Int64"})
 
     spread = rows.join(buckets, "sid").withColumn(
-        "bucket", F.pmod(F.xxhash64("tie", F.lit(level)), F.greatest(F.col("buckets"), F.lit(1)))
+        "bucket", F.pmod(F.xxhash64("tie", "nth", F.lit(level)), F.greatest(F.col("buckets"), F.lit(1)))
     )
     return spread.groupBy("sid", "bucket").applyInPandas(run, ROUNDED)
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows with ``nth``, the number of a row among its equals, so that equal rows part as others do.
+
+    Equal rows are counted and made again in runs, which are dealt out; so no task holds all of them.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("equal"))
+    runs = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("equal") - 1) / RUN))).alias("run"))
+    runs = runs.repartition("tie", "run")
+    last = F.least(F.col("equal"), (F.col("run") + 1) * RUN) - 1
+    return runs.select(*rows.columns, F.explode(F.sequence(F.col("run") * RUN, last)).alias("nth"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -155,24 +169,25 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    tie: Column | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, tie.
 
     A NULL text has no words; NULL sources form one source, the last. A document without words is taken the
     whole part of its share, which adds nothing. Ids may be NULL or repeat: rows are told apart by their text as
     well, and equal rows may each get their own number of copies. The draws depend on ``seed``, the ids and the
-    texts only. An empty table gives an empty result. ``tie`` is the hash of id, source and text.
+    texts only. An empty table gives an empty result. ``tie`` tells rows apart, by default a hash of id, source and text.
     """
     spark = docs.sparkSession
-    rows = materialise(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col)).alias("tie"),
-        ),
-        "sizes",
+    if tie is None:
+        tie = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col))
+    told = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+        tie.alias("tie"),
     )
+    rows = materialise(_told_apart(told), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     targets = materialise(source_targets(sizes, weights, most), "targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -182,6 +197,7 @@ def mix(
         "sid",
         "size",
         "tie",
+        "nth",
         F.floor(share).cast("int").alias("whole"),
         (share - F.floor(share)).alias("part"),
     )

@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from panelyst.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string"
@@ -115,3 +117,17 @@ def test_landing_brings_the_sum_nearer():
     size, part = np.array([100.0, 40, 30, 10]), np.array([0.4, 0.0, 0.0, 1.0])
     out = mixing.land(size, part, 0)
     assert set(out) <= {0.0, 1.0} and abs((out * size).sum() - 50) <= 10
+
+
+def test_equal_rows_part_into_buckets(spark, monkeypatch):
+    """A row that repeats more often than a bucket holds is settled in many buckets, and runs keep its number."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(5, "a", "same words here")] * 40 + [(None, None, None)] * 3 + [(k, "b", "w " * k) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    told = mixing._told_apart(df.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("tie")))
+    assert told.count() == len(rows) and told.distinct().count() == len(rows)
+    monkeypatch.setattr(mixing, "BUCKET", 8)
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows)
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str)
