@@ -90,3 +90,19 @@ def test_stages_take_odd_rows(spark, frame):
         out = stage(spark, df, SF)
         assert out.columns[: len(df.columns)] == df.columns and out.count() <= len(odd)
         assert stage(spark, df.where("false"), SF).count() == 0
+
+
+def test_stages_take_columns_of_their_own_names(spark, frame):
+    """Columns named as those that stages use inside stay, and rows that differ in one of them alone are told apart."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, leak_id long, kept_id long, tie long, sid long"
+    text = "some words of a text that stands here but once and for all"
+    odd = [(1, text, "en", "a", 1, 5, 6, 7, 8, 9), (1, text, "de", "a", 1, 5, 6, 7, 8, 9), (2, None, None, None, None, None, None, None, None, None)]
+    odd += [(3, "another text of some words that has nothing in common with it", "en", "b", 2, 1, 1, 1, 1, k) for k in (0, 0, 1)]
+    df = frame(odd, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        assert sorted(out.columns) == sorted(df.columns), name
+        got = [tuple(r) for r in out.select("doc_id", "lang", "leak_id", "kept_id", "tie", "sid").collect()]
+        assert set(got) <= {(r[0], r[2], *r[6:10]) for r in odd}, name
+    mixed = corpus_pipeline.mix_sources(spark, df, SF).select("doc_id", "lang", "sid", "copies").collect()
+    assert len({tuple(r)[:3] for r in mixed}) == len(mixed) and sum(r["copies"] for r in mixed) >= 4
