@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from panelyst.functions.nulls import agg_any, as_col
@@ -31,12 +31,19 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Raise if a key repeats (one aggregate job), else return the table."""
-    bad = duplicate_keys(df, keys).limit(1).collect()
-    if bad:
-        raise ValueError(f"keys {list(keys)} are not unique, for example {bad[0].asDict()}")
-    return df
+def require_unique(df: DataFrame, keys: Sequence[str], watch: Observation | None = None) -> DataFrame:
+    """The table, checked while it is read: the run that meets a key a second time fails.
+
+    With ``watch`` it does not fail; ``watch.get["repeated"]`` tells after the run how many rows share their key. The
+    check sorts by the keys, as a join on them does anyway, and runs no job of its own.
+    """
+    same = Window.partitionBy(*keys)
+    counted = df.withColumn("_same", F.count(F.lit(1)).over(same))
+    if watch is not None:
+        return counted.observe(watch, F.count_if(F.col("_same") > 1).alias("repeated")).drop("_same")
+    named = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]))
+    refusal = F.raise_error(F.concat(F.lit(f"keys {list(keys)} are not unique, for example "), named))
+    return counted.where(F.when(F.col("_same") > 1, refusal.cast("boolean")).otherwise(True)).drop("_same")
 
 
 def link_waves(
@@ -50,10 +57,10 @@ def link_waves(
     """Baseline rows with their follow-up answers and a 1/0 retention flag.
 
     One left join stands for the retained and the lost rows together. Follow-up
-    keys must be unique, or rows would multiply; ``validate`` checks that.
+    keys must be unique, or rows would multiply; ``validate`` checks that in the same run.
     """
     if validate:
-        require_unique(followup, keys)
+        followup = require_unique(followup, keys)
     extra = [c for c in followup.columns if c not in baseline.columns]
     right = followup.select(*keys, *extra).withColumn("_hit", F.lit(1))
     joined = baseline.join(right, _on(baseline, right, keys, null_safe), "left")

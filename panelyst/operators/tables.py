@@ -23,8 +23,13 @@ from panelyst.functions.nulls import all_in, is_in
 from panelyst.functions.scalars import count_text, ratio
 from panelyst.operators.clean import SPECIAL_LEVELS
 from panelyst.operators.quantiles import quantiles_of_many
+from panelyst.sources.sinks import materialise
 
 OTHER = "Other"
+#: Buckets that the levels of a free text are put in to bound their counts.
+BUCKETS = 1 << 16
+#: Levels of a header that meet its groups in one part of the grid.
+LEVELS_IN_PART = 256
 
 
 def level_counts(
@@ -86,6 +91,61 @@ def lump_map(counts: DataFrame, n: int, keep: Sequence[str] = (), other: str = O
     return F.when(kept, F.col("level")).otherwise(other)
 
 
+def heavy_levels(rows: DataFrame, n: int, level: str = "level") -> list[tuple[str, int]]:
+    """The n most frequent levels with their counts, ties by name, without a shuffle of all levels.
+
+    The rows are counted by a hash bucket of their level, which no level in it can exceed. The levels in the fullest
+    buckets are counted exactly; the n-th best of them bounds from below what a level must have. Where other
+    buckets reach that bound, their levels are counted exactly too. So the result is exact, and of many levels
+    only those are shuffled that share a bucket with a frequent one.
+    """
+    bucket = F.pmod(F.xxhash64(level), F.lit(BUCKETS)).cast("int")
+    sums = materialise(rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "buckets")
+    order = (F.desc("n"), F.asc(level))
+    fullest = [r["bucket"] for r in sums.orderBy(F.desc("n"), "bucket").limit(4 * n).collect()]
+    found = rows.where(bucket.isin(fullest)).groupBy(level).agg(F.count(F.lit(1)).alias("n"))
+    found = materialise(found, "levels")
+    best = found.orderBy(*order).limit(n).collect()
+    bound = best[-1]["n"] if len(best) == n else 0
+    reaching = sums.where((F.col("n") >= bound) & ~F.col("bucket").isin(fullest)).select("bucket")
+    if not reaching.isEmpty():
+        others = rows.withColumn("bucket", bucket).join(reaching, "bucket", "left_semi")
+        counted = others.groupBy(level).agg(F.count(F.lit(1)).alias("n"))
+        best = found.unionByName(counted).orderBy(*order).limit(n).collect()
+    return [(r[level], r["n"]) for r in best]
+
+
+def lumped_text(
+    df: DataFrame, factor: str, n: int, keep: Sequence[str] = (), exclude: Sequence[str] = SPECIAL_LEVELS, other: str = OTHER
+) -> Column:
+    """A factor with all but its top n levels and ``keep`` turned into ``other``, for factors of very many levels.
+
+    As :func:`lump_map`, nothing is lumped unless more than n + 1 levels, ``keep`` aside, remain; special levels stay.
+    """
+    text = F.col(factor).cast("string")
+    aside = [*keep, *exclude]
+    rows = df.select(text.alias("level")).where(F.col("level").isNotNull() & ~F.col("level").isin(aside))
+    best = heavy_levels(rows, n + 2)
+    if len(best) < n + 2:
+        return text
+    return F.when(text.isNull() | text.isin([*aside, *[name for name, _ in best[:n]]]), text).otherwise(other)
+
+
+def _grid(levels: DataFrame, columns: DataFrame) -> DataFrame:
+    """Each level beside each group of its header.
+
+    A header's levels are dealt out in parts of about ``LEVELS_IN_PART``, and its groups go to each of them, so that
+    a header with many of both is not the work of one task.
+    """
+    # the counts are asked for so that all branches need the same columns and share one exchange
+    size = levels.groupBy("header").agg(F.ceil(F.count("level_n") / LEVELS_IN_PART).alias("parts"))
+    part = F.pmod(F.xxhash64("level"), F.col("parts")).alias("part")
+    tasks = int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = levels.join(size, "header").select(*levels.columns, part).repartition(tasks, "header", "part")
+    everywhere = columns.join(size, "header").select(*columns.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(everywhere, ["header", "part"]).drop("part")
+
+
 def _fill_cells(counts: DataFrame, headers: Sequence[str], groups: Sequence[str] | None) -> DataFrame:
     """Zero-filled (header, level, grp) cells with group totals and shares, as rows throughout.
 
@@ -107,7 +167,7 @@ def _fill_cells(counts: DataFrame, headers: Sequence[str], groups: Sequence[str]
     wanted = seen.withColumn("header", F.explode(F.array(*[F.lit(h) for h in headers])))
     columns = wanted.join(per_group, ["header", "g"], "left")
     cells = (
-        levels.join(columns, "header")
+        _grid(levels, columns)
         .join(counts, ["header", "level", "g"], "left")
         .select("header", "level", "level_n", "g", "n", "total", F.lit(0).alias("is_overall"))
     )
@@ -153,11 +213,17 @@ def one_factor_table(
     keep: Sequence[str] = (),
     groups: Sequence[str] | None = None,
     exclude: Sequence[str] = SPECIAL_LEVELS,
+    free_text: bool = False,
 ) -> DataFrame:
     """Frequency block of one factor, optionally lumped to its top n levels.
 
-    ``keep`` protects levels from lumping and has no effect without ``n``.
+    ``keep`` protects levels from lumping and has no effect without ``n``. ``free_text`` says that the factor has
+    very many levels: it is then lumped before it is counted, at the price of two more scans, see
+    :func:`heavy_levels`. The result is the same.
     """
+    if n is not None and free_text:
+        df, n = df.withColumn("_lumped", lumped_text(df, factor, n, keep, exclude)), None
+        header, factor = header or factor, "_lumped"
     counts = level_counts(df, group, {factor: header or factor}, exclude)
     if n is not None:
         counts = (

@@ -36,14 +36,14 @@ _FOLLOW = """SELECT c_nationkey AS site, c_custkey::VARCHAR AS pid, n_orders, to
 
 
 def link_waves(spark, sf):
-    return L.link_waves(_baseline(spark, sf), _followup(spark, sf), KEYS, validate=False)
+    return L.link_waves(_baseline(spark, sf), _followup(spark, sf), KEYS)
 
 
 def link_waves_null_keys(spark, sf):
     blank = F.when(F.col("site") != 5, F.col("site"))
     base = _baseline(spark, sf).withColumn("site", blank)
     follow = _followup(spark, sf).withColumn("site", blank)
-    return L.link_waves(base, follow, KEYS, validate=False, null_safe=True)
+    return L.link_waves(base, follow, KEYS, null_safe=True)
 
 
 def retained_rows(spark, sf):

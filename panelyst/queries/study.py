@@ -31,7 +31,6 @@ def linked(spark: SparkSession, sf: str, names: list[str] | None = None) -> tupl
         X.ambulatory(spark, sf),
         X.crosswalk(spark, sf),
         X.sheets(spark, sf),
-        validate=False,
         needed=needed,
     )
     return table, base

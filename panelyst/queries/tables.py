@@ -69,6 +69,12 @@ def one_factor_lump(spark, sf):
     return T.one_factor_table(p, "p_type", "p_brand", header="Brand", n=5, keep=["Brand#6", "Brand#24"])
 
 
+def one_factor_free_text(spark, sf):
+    """A factor of very many levels: lumped before it is counted."""
+    o = table(spark, sf, "orders")
+    return T.one_factor_table(o, "o_orderpriority", "o_custkey", header="Customer", n=5, keep=["7"], free_text=True)
+
+
 def one_factor_lump_n_plus_one(spark, sf):
     p = participants(spark, sf)
     return T.one_factor_table(p, "r_name", "c_mktsegment", header="Segment", n=4)
@@ -320,6 +326,10 @@ QUERIES = {
         one_factor_lump,
         _LUMP,
     ),
+    "one_factor_free_text": (
+        one_factor_free_text,
+        factor_sql("SELECT o_orderpriority AS grp, o_custkey::VARCHAR AS level FROM orders", "Customer", 5, ("7",)),
+    ),
     "level_order": (level_order, _order_sql(_LUMP, _NAMED, ("Brand#6", "Brand#24"), True)),
     "level_order_unlumped": (
         level_order_unlumped,

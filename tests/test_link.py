@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from panelyst.operators import link as L
@@ -28,8 +29,22 @@ def test_link_partitions_the_baseline(spark, rows):
 
 def test_duplicate_followup_is_refused(spark):
     base, follow = waves(spark)
-    with pytest.raises(ValueError, match="not unique"):
-        L.link_waves(base, follow.union(follow), KEYS)
+    with pytest.raises(Exception, match="not unique, for example"):
+        L.link_waves(base, follow.union(follow), KEYS).collect()
+
+
+def test_keys_are_checked_in_the_run_itself(spark):
+    """No job before the run, and with an observation the repeated rows are told after it."""
+    base, follow = waves(spark)
+    spark.sparkContext.setJobGroup("checked", "link")
+    linked = L.link_waves(base, follow, KEYS)
+    tracker = spark.sparkContext.statusTracker()
+    assert len(tracker.getJobIdsForGroup("checked")) == 0
+    spark.sparkContext.setJobGroup("other", "other")
+    assert linked.count() == 3
+    watch = Observation("keys")
+    assert L.require_unique(follow.union(follow.where("pid = 'a'")), KEYS, watch).count() == 3
+    assert watch.get == {"repeated": 2}
 
 
 def test_null_keys(spark):

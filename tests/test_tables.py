@@ -194,3 +194,42 @@ def test_formatting_and_wide(people):
 def test_group_sizes(people):
     got = {r["heading"] for r in T.group_sizes(people, "site").collect()}
     assert got == {"Overall (N=7)", "A (N=3)", "B (N=3)"}
+
+
+def counted_levels(spark, kind):
+    if kind == "tail":  # a few frequent levels before very many rare ones
+        level = "CASE WHEN id % 3 = 0 THEN concat('often', CAST(id % 12 AS STRING)) ELSE concat('t', CAST(id AS STRING)) END"
+    else:  # all alike: names decide
+        level = "concat('t', CAST(id % 2000 AS STRING))"
+    return spark.range(20_000).selectExpr(f"{level} AS level", "CAST(id % 3 AS STRING) AS g")
+
+
+@pytest.mark.parametrize("kind", ["tail", "flat"])
+@pytest.mark.parametrize("buckets", [4, 1 << 16])
+def test_frequent_levels_are_exact(spark, monkeypatch, kind, buckets):
+    monkeypatch.setattr(T, "BUCKETS", buckets)
+    rows = counted_levels(spark, kind)
+    want = [(r["level"], r["n"]) for r in rows.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "level").limit(7).collect()]
+    assert T.heavy_levels(rows, 7) == want
+    assert T.heavy_levels(rows.where("false"), 7) == []
+    assert len(T.heavy_levels(rows.where("level IN ('t1', 't2')"), 7)) <= 2
+
+
+@pytest.mark.parametrize("n", [3, 6000])
+def test_lumping_a_free_text_first_changes_nothing(spark, rows, n):
+    df = counted_levels(spark, "tail").where("level LIKE 'often%' OR length(level) < 4").union(spark.createDataFrame([("Missing", "1"), (None, "1"), ("Other", "2")], "level string, g string"))
+    plain = T.one_factor_table(df, "g", "level", "L", n=n, keep=["t1"])
+    early = T.one_factor_table(df, "g", "level", "L", n=n, keep=["t1"], free_text=True)
+    assert rows(early, *plain.columns) == rows(plain)
+
+
+def test_a_grid_of_one_header_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(T, "LEVELS_IN_PART", 8)
+    monkeypatch.setattr(spark.conf, "get", lambda name, *a, get=spark.conf.get: "16" if name == "spark.sql.shuffle.partitions" else get(name, *a))
+    levels = spark.range(400).selectExpr("'h' AS header", "CAST(id AS STRING) AS level", "id AS level_n")
+    groups = spark.range(300).selectExpr("'h' AS header", "struct(CAST(id AS STRING) AS grp) AS g", "id AS total")
+    grid = T._grid(levels, groups)
+    by_task = [r["count"] for r in grid.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(by_task) == 400 * 300 and len(by_task) >= 8 and max(by_task) < 0.3 * sum(by_task)
+    assert grid.distinct().count() == 400 * 300
+
