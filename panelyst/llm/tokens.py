@@ -3,12 +3,15 @@
 A batch of texts is cut into pre-tokens (a run of spaces with what follows it, up to the next space). All
 pre-tokens not met before stand in one ragged array of symbols. In every pass each pre-token's pair of lowest
 rank is merged at all its places at once; a pre-token without a mergeable pair leaves with its symbols counted.
+A pass over a very long pre-token would look at all of it for the few places of one rank. Long ones therefore
+keep the places of every rank at hand and go through the ranks from the lowest up, looking at these places only.
 
 The vocabulary comes from a sentencepiece model; the library that encodes is used in tests only.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,6 +27,8 @@ SPACE = "▁"
 NO_RANK = np.int64(1) << 40
 #: Pre-tokens whose counts a task remembers at a time.
 REMEMBERED = 1 << 20
+#: Characters from which a pre-token is merged rank by rank instead of pass by pass; the counts are the same.
+LONG = 192
 
 
 class Vocabulary(NamedTuple):
@@ -37,6 +42,7 @@ class Vocabulary(NamedTuple):
     alone: np.ndarray  # of each rank: merge one place a pass, since a better pair may appear beside it
     unknown: int
     width: int
+    longest: int  # characters of the longest piece
 
 
 def load_vocabulary(model_file: str) -> Vocabulary:
@@ -76,6 +82,7 @@ def load_vocabulary(model_file: str) -> Vocabulary:
         alone,
         n,
         width,
+        max(map(len, ids), default=1),
     )
 
 
@@ -119,6 +126,82 @@ def count_symbols(points: np.ndarray, starts: np.ndarray, v: Vocabulary) -> np.n
     return out
 
 
+def count_symbols_long(points: np.ndarray, starts: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """As :func:`count_symbols`, with work in proportion to the merges whatever the length of a pre-token.
+
+    The places of the lowest rank are merged at once. Where that puts a better pair beside a place, the places
+    that follow near by wait until it is merged: no merge reaches further than the longest piece.
+    """
+    n, m = len(starts), len(points)
+    seq = np.repeat(np.arange(n), np.diff(np.append(starts, m)))
+    # a symbol without pairs stands between pre-tokens, before the first and after the last
+    at = np.arange(m) + seq + 1
+    wall = v.width - 1
+    sym = np.full(m + n + 1, wall, np.int64)
+    sym[at] = _symbols(points, v)
+    after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+    after[-1] = len(sym) - 1
+    alive = np.ones(len(sym), bool)
+    known = np.full(len(sym), NO_RANK)  # rank of the pair that begins here
+    waiting: dict[int, list[np.ndarray]] = {}
+    order: list[int] = []
+
+    def pieces(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left * v.width + right
+        where = np.minimum(np.searchsorted(v.pairs, key), len(v.pairs) - 1)
+        piece = np.where(v.pairs[where] == key, v.merged[where], -1)
+        return piece, np.where(piece >= 0, v.rank[piece], NO_RANK)
+
+    def note(places: np.ndarray) -> None:
+        rank = pieces(sym[places], sym[after[places]])[1]
+        known[places] = rank
+        places, rank = places[rank < NO_RANK], rank[rank < NO_RANK]
+        if not len(places):
+            return
+        by = np.argsort(rank, kind="stable")
+        places, rank = places[by], rank[by]
+        cuts = np.flatnonzero(np.diff(rank)) + 1
+        for r, group in zip(rank[np.append(0, cuts)].tolist(), np.split(places, cuts), strict=True):
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(order, r)
+            waiting[r].append(group)
+
+    note(at)
+    while order:
+        r = heapq.heappop(order)
+        hit = np.unique(np.concatenate(waiting.pop(r)))
+        hit = hit[alive[hit] & (known[hit] == r)]
+        if not len(hit):
+            continue
+        run_at = np.flatnonzero(np.append(True, after[hit[:-1]] != hit[1:]))
+        even = (np.arange(len(hit)) - np.repeat(run_at, np.diff(np.append(run_at, len(hit))))) % 2 == 0
+        every, hit = hit, hit[even]
+        piece = pieces(sym[hit], sym[after[hit]])[0]
+        if v.alone[piece].any():
+            left, right = sym[before[hit]], sym[after[after[hit]]]
+            left[1:] = np.where(after[after[hit[:-1]]] == hit[1:], piece[:-1], left[1:])
+            better = (pieces(left, piece)[1] < r) | (pieces(piece, right)[1] < r)
+            if better.any():
+                near = np.append(True, np.diff(hit) > 2 * v.longest + 2)
+                first = np.flatnonzero(near)
+                earlier = np.cumsum(better) - better
+                late = earlier > np.repeat(earlier[first], np.diff(np.append(first, len(hit))))
+                if late.any():
+                    waiting[r] = [every]
+                    heapq.heappush(order, r)
+                    hit, piece = hit[~late], piece[~late]
+        gone = after[hit]
+        sym[hit] = piece
+        alive[gone] = False
+        after[hit] = after[gone]
+        before[after[hit]] = hit
+        note(np.unique(np.concatenate([hit, before[hit]])))
+    left = at[alive[at]]
+    weight = np.where(sym[left] > v.unknown, sym[left] - v.unknown, 1)
+    return np.bincount(seq[alive[at]], weight, n).astype(np.int64)
+
+
 class Counter:
     """Counts tokens batch by batch and remembers the counts of pre-tokens met before."""
 
@@ -167,14 +250,23 @@ class Counter:
         points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
         points[points == 32] = ord(SPACE)
         characters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        return count_symbols(points, characters[at[:-1]], self.v)
+        begin, size = characters[at[:-1]], np.diff(characters[at])
+        long = size > LONG
+        if not long.any():
+            return count_symbols(points, begin, self.v)
+        out = np.empty(len(which), np.int64)
+        inside = np.repeat(long, size)
+        for some, counted, of in ((long, count_symbols_long, inside), (~long, count_symbols, ~inside)):
+            if some.any():
+                out[some] = counted(points[of], np.cumsum(size[some]) - size[some], self.v)
+        return out
 
 
 def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """One row per row of ``df``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     A NULL or empty text has no bytes and no tokens. Rows that repeat are counted each; ids may be NULL. Other
-    columns of ``df`` are not looked at. No shuffle: a map over the scan.
+    columns of ``df`` are not looked at. An empty table gives no rows. No shuffle: a map over the scan.
     """
     vocabulary = df.sparkSession.sparkContext.broadcast(tuple(load_vocabulary(model_file)))
 
