@@ -1,19 +1,30 @@
 """Main text of web pages by templates deduced from equivalence classes of tokens.
 
 A token is an opening or closing tag with its place in the page (the structural elements around it, with their
-classes). Of every host and token the vector of occurrences over the host's pages is kept as a linear
-fingerprint: the sum, over all pages, of the occurrences times a random number of the page. Tokens with equal
-fingerprints occur equally often on every page and form an equivalence class, wherever they stand. A class on at
-least half of the pages is large enough to be template if it has a pair of opening and closing tag; the page itself
-is such a pair. The elements of these classes, nested by their places, are the template of a host; between its
-tokens lie the slots. Slots of menus, headers, adverts and the like go, and of the rest those inside the
-template's article make up the main text. Where pages have no article, blocks of text are tokens too. Text is
-template if it lies inside an element of its own class, and is left out of the slots; text that as many pages have,
-but others than have the elements around it, is not. Copies of a page on a host count as one page. A host with
-fewer than FEWEST distinct pages has no vectors to compare and takes the template of all pages together; where
-those are too few as well, no text is template.
-
-Fingerprints are summed like counts, so a host that holds a third of all pages is no large group.
+classes), or a block of text at its place. Of every host and token the vector of occurrences over the host's pages
+is kept as a linear fingerprint: the sum, over all pages, of the occurrences times a random number of the page.
+Tokens with equal fingerprints occur equally often on every page and form an equivalence class, wherever they stand.
+A class on at least half of the pages is large enough to be template if it has a pair of opening and closing tag; the
+page itself is such a pair. The elements of these classes, nested by their places, are the template of a host;
+between its tokens lie the slots. Copies of a page on a host count as one page.
+
+What the slots hold decides about them:
+
+* Text is template if it lies inside an element of its own class, and goes; text that as many pages have, but others
+  than have the elements around it, stays. So does what stands right in the main slot of an article.
+* The main slot is the one with the most text of the template's article, of its main part where no article is, or of
+  the page.
+* A slot in which most text comes back on other pages holds adverts or notices and goes. A slot that pages have
+  several times, after the end of their main slot, holds comments or teasers and goes. Neither is judged where the
+  text of the main slot comes back as well, as on a host of near-copies.
+* Elements that are not part of the template belong to the slot around them.
+
+Tags and roles made for it (nav, footer, aside, form, ...) mark what is outside. English class names serve where the
+slots do not tell: outside the article any such word counts, inside it a class or id that is such a word as a whole.
+
+A host with fewer than FEWEST distinct pages has no vectors to compare and takes the template of all pages together;
+where those are too few as well, no text is template. Fingerprints and amounts of text are summed like counts, so a
+host that holds a third of all pages is no large group.
 """
 
 from __future__ import annotations
@@ -34,7 +45,7 @@ from pyspark.sql import types as T
 from panelyst.sources.sinks import materialise
 
 FEWEST = 3
-#: Deepest place that is told apart, in structural elements.
+#: Structural elements of a place that are written out; of more, those further out are told by their hash.
 DEPTH = 12
 PRIME = (1 << 61) - 1
 ALL = "*"
@@ -107,7 +118,9 @@ def _element(tag: str, attributes: str, place: str, inside: bool) -> Element:
         or role in OUTSIDE_ROLES
     )
     label = ".".join((tag, *sorted(classes)))
-    if tag in STRUCTURE and place.count("/") < DEPTH:
+    if tag in STRUCTURE:
+        if place.count("/") >= DEPTH:
+            place = "/" + hashlib.md5(place.encode("utf-8", "replace")).hexdigest()
         place = f"{place}/{label}"
     return Element(tag, label, outside, named, place)
 
@@ -207,11 +220,15 @@ def text_token(around: tuple[Element, ...], text: str) -> str:
     return f"={place}={hashlib.md5(text.encode('utf-8', 'replace')).hexdigest()}"
 
 
-def page_tokens(page: Page) -> list[str]:
-    """The tags of a page, and its blocks of text if it has no article."""
-    if any(e.tag in MAIN for around, _ in page.blocks for e in around):
-        return page.tokens
-    return page.tokens + [text_token(around, text) for around, text in page.blocks]
+def page_tokens(page: Page) -> dict[str, int]:
+    """How often each tag and block of text occurs, and ``#place``: the characters of text right at a place."""
+    counts: dict[str, int] = {}
+    for token in page.tokens:
+        counts[token] = counts.get(token, 0) + 1
+    for around, text in page.blocks:
+        for token, n in ((text_token(around, text), 1), (f"#{around[-1].place if around else ''}", len(text))):
+            counts[token] = counts.get(token, 0) + n
+    return counts
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
@@ -228,9 +245,7 @@ def page_counts(pages: DataFrame) -> DataFrame:
                 key = (host(url), h1, h2)
                 if key in out:
                     continue
-                counts = out[key] = {"": 1}
-                for token in page_tokens(parse(html, met)):
-                    counts[token] = counts.get(token, 0) + 1
+                out[key] = {"": 1, **page_tokens(parse(html, met))}
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in out], pa.string()),
@@ -288,13 +303,13 @@ def vectors(pages: DataFrame) -> DataFrame:
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """(host, pages, places): the elements of each host's valid classes, by place, and the text inside them.
+    """(host, pages, places, slots): the elements of each host's valid classes, by place, and the text inside them.
 
     A class has the same host, pages, total and mark. It is on at least half of the host's pages and has an element
-    with both its tokens. A block of text is its own place.
+    with both its tokens. A block of text is its own place. For ``slots`` see :func:`judged_slots`.
     """
     sizes = found.where("token = ''").select("host", F.col("pages").alias("host_pages"))
-    large = found.join(sizes, "host").where("2 * pages >= host_pages")
+    large = found.join(sizes, "host").where("2 * pages >= host_pages and not startswith(token, '#')")
     is_text = F.col("token").startswith("=")
     tag = F.when(~is_text, F.col("token"))
     classes = large.groupBy("host", "pages", "total", "mark").agg(
@@ -309,49 +324,121 @@ def templates(found: DataFrame) -> DataFrame:
     nested = F.expr(f"filter(texts, t -> exists(elements, e -> e = '' or {around} = e or startswith({around}, e || '/')))")
     members = valid.select("host", F.explode(F.concat(F.expr("filter(elements, e -> e <> '')"), nested)).alias("place"))
     places = members.groupBy("host").agg(F.collect_set("place").alias("places"))
-    return sizes.join(places, "host", "left").select(
-        "host", F.col("host_pages").alias("pages"), F.coalesce("places", F.array().cast("array<string>")).alias("places")
+    none = F.array().cast("array<string>")
+    return sizes.join(places, "host", "left").join(judged_slots(found, sizes), "host", "left").select(
+        "host",
+        F.col("host_pages").alias("pages"),
+        F.coalesce("places", none).alias("places"),
+        F.coalesce("slots", none).alias("slots"),
     )
 
 
-def _holders(page: Page, places: frozenset[str]) -> tuple[Element, ...]:
-    """The elements around every article of the page that the template has, from the outermost in."""
-    heads = []
-    for around, _ in page.blocks:
-        at = next((k for k, e in enumerate(around) if e.tag in MAIN and e.place in places), None)
-        if at is not None:
-            heads.append(around[:at])
-    return tuple(commonprefix(heads)) if heads else ()
+def judged_slots(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, slots): the main slot of a host as ``@place``, and the slots that are judged by what they hold.
 
+    ``-place`` holds text that comes back on other pages, ``~place`` comes several times a page. Both are of places
+    with a class on at least half of the pages, neither around nor at the main slot. ``=place`` says that the main
+    slot's own text comes back; then nothing else is judged.
+    """
+    kind = F.substring("token", 1, 1)
+    place = (
+        F.when(kind == "#", F.expr("substring(token, 2)"))
+        .when(kind == "=", F.expr("substring(token, 2, length(token) - 34)"))
+        .when(F.col("token").endswith("<"), F.expr("left(token, length(token) - 1)"))
+    )
+    sums = (
+        found.select("host", place.alias("place"), kind.alias("kind"), "pages", "total")
+        .where("place is not null")
+        .groupBy("host", "place")
+        .agg(
+            F.sum(F.when(F.col("kind") == "#", F.col("total"))).alias("chars"),
+            F.sum(F.when(F.col("kind") == "=", F.col("total"))).alias("texts"),
+            F.sum(F.when((F.col("kind") == "=") & (F.col("pages") > 1), F.col("total"))).alias("again"),
+            F.sum(F.when(F.col("kind") == "/", F.col("pages"))).alias("pages"),
+            F.sum(F.when(F.col("kind") == "/", F.col("total"))).alias("times"),
+        )
+    )
+    outside = rf"/({'|'.join(sorted(OUTSIDE_TAGS | {'header'}))})([./]|$)"
+    nearest = F.when(F.col("place").rlike(r"/article([./]|$)"), 2).when(F.col("place").rlike(r"/main([./]|$)"), 1).otherwise(0)
+    slots = sums.join(sizes, "host").where("2 * pages >= host_pages")
+    main = (
+        slots.where((F.col("chars") > 0) & ~F.col("place").rlike(outside))
+        .groupBy("host")
+        .agg(F.max(F.struct(nearest, "chars", "place", (2 * F.col("again") > F.col("texts")).alias("again"))).alias("main"))
+        .select("host", F.col("main.place").alias("main"), F.coalesce("main.again", F.lit(False)).alias("copied"))
+    )
+    label = F.element_at(F.split("place", "/"), -1)
+    other = slots.join(main, "host").where(
+        ~F.col("copied") & ~F.expr("startswith(main || '/', place || '/')") & label.rlike(r"^(div|section|article|ins|li)\.")
+    )
+    judged = other.select(
+        "host",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when((2 * F.col("again") > F.col("texts")) & (F.col("texts") >= FEWEST), F.concat(F.lit("-"), "place")),
+                    F.when(2 * F.col("times") >= 3 * F.col("pages"), F.concat(F.lit("~"), "place")),
+                )
+            )
+        ).alias("slot"),
+    )
+    own = main.select("host", F.concat(F.lit("@"), "main").alias("slot"))
+    copied = main.where("copied").select("host", F.concat(F.lit("="), "main").alias("slot"))
+    return judged.unionByName(own).unionByName(copied).groupBy("host").agg(F.collect_set("slot").alias("slots"))
 
-def main_text(page: Page, places: frozenset[str]) -> str:
-    """The blocks of the slots that make up the main text, joined by line feeds.
 
-    A class such as has-sidebar on an element around the template's article tells of the layout and drops nothing;
-    one that is such a word alone does so only where nothing else is left of the page.
-    """
-    near = [(around, text) for around, text in page.blocks if not any(e.outside for e in around)]
-    inner = [(around, text) for around, text in near if not any(e.named for e in around)]
+Blocks = list[tuple[tuple[Element, ...], str]]
 
-    def articles(blocks: list, known: frozenset[str] | None) -> list[str]:
-        return [text for around, text in blocks if any(e.tag in MAIN and (known is None or e.place in known) for e in around)]
 
-    def held(most: int) -> list[str]:
-        n = len(holders)
-        clear = [
-            (around, text)
-            for around, text in near
-            if around[:n] == holders and all(e.named <= most for e in around[:n]) and not any(e.named for e in around[n:])
-        ]
-        return articles(clear, places)
+def _article(blocks: Blocks, places: frozenset[str]) -> tuple[list[tuple[tuple[Element, ...], str, int]], bool]:
+    """The blocks inside the article or, without one, the main part, each with the elements around that; if it is sure.
 
-    # the article of the template; else one that this page alone has
-    chosen = articles(inner, places)
-    holders = () if chosen else _holders(page, places)
-    chosen = chosen or (held(1) if holders else []) or articles(inner, None)
-    if not chosen:
-        chosen = [text for around, text in inner if text_token(around, text) not in places]
-    return "\n".join(chosen or (held(2) if holders else []))
+    One of the template goes before one that this page alone has. A class such as has-sidebar around all of them tells
+    of the layout; of several, those go first whose other elements have no name of what is outside.
+    """
+    for known, tag in ((True, "article"), (True, "main"), (False, "article"), (False, "main")):
+        inside = []
+        for around, text in blocks:
+            at = next((k for k, e in enumerate(around) if e.tag == tag and (not known or e.place in places)), None)
+            if at is not None:
+                inside.append((around, text, at))
+        if inside:
+            shared = len(commonprefix([around[:at] for around, _, at in inside]))
+            for most in (0, 1, 2):
+                clear = [b for b in inside if all(e.named <= most for e in b[0][shared : b[2]])]
+                if clear:
+                    named = max((e.named for e in clear[0][0][:shared]), default=0)
+                    # inside an element named as outside, or one that only this page has and is named so
+                    return clear, named < 2 and (known or most == 0)
+    return [], False
+
+
+def main_text(page: Page, places: frozenset[str], slots: frozenset[str] = frozenset()) -> str:
+    """The blocks of the slots that make up the main text, joined by line feeds."""
+    near = [(around, text) for around, text in page.blocks if not any(e.outside for e in around)]
+    chosen, sure = _article(near, places)
+    main = next((s[1:] for s in slots if s[0] == "@"), None)
+    copied = f"={main}" in slots
+
+    def goes(around: tuple[Element, ...], text: str, at: int, past: bool) -> bool:
+        place = around[-1].place if around else ""
+        own = at >= 0 and (copied or place == main)  # the main slot of an article is left whole
+        if not own and text_token(around, text) in places:
+            return True
+        for k, e in enumerate(around[at + 1 :], at + 1):
+            if main is not None and f"{main}/".startswith(f"{e.place}/"):
+                continue  # around the main slot
+            if e.named == 2 or f"-{e.place}" in slots or (past and f"~{e.place}" in slots):
+                return True
+            if e.tag == "article" and around[at].tag == "article":
+                return True  # an article in an article is a comment on it
+        return False
+
+    if not sure:  # no article: what has no name of what is outside
+        chosen = [(around, text, -1) for around, text in near if not any(e.named for e in around)] or chosen
+    last = max((k for k, (around, _, _) in enumerate(chosen) if around and around[-1].place == main), default=len(chosen))
+    kept = [text for k, (around, text, at) in enumerate(chosen) if not goes(around, text, at, k > last)]
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -367,8 +454,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(html_col).cast("string").alias("html"),
     )
     found = materialise(templates(materialise(vectors(rows), "vectors")), "templates")
-    common = found.where(F.col("host") == ALL).select("places", "pages").first()
-    fallback = [p for p in common[0] if common[1] >= FEWEST or not p.startswith("=")] if common else []
+    common = found.where(F.col("host") == ALL).select("places", "slots", "pages").first()  # as large as half of the pages have it
+    fallback = ([], [])
+    if common:
+        many = common[2] >= FEWEST
+        fallback = [p for p in common[0] if many or not p.startswith("=")], common[1] if many else []
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,12 +469,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         met: dict = {}
         for batch in batches:
             texts = []
-            held: tuple[list[str], frozenset[str]] = ([], frozenset())
-            for html, places in zip(batch.column("html").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                places = fallback if places is None else places
-                if places != held[0]:
-                    held = (places, frozenset(places))
-                texts.append(main_text(parse(html or "", met), held[1]))
+            given, held = None, (frozenset(), frozenset())
+            for html, *own in zip(*(batch.column(c).to_pylist() for c in ("html", "places", "slots")), strict=True):
+                template = fallback if own[0] is None else own
+                if template != given:
+                    given, held = template, tuple(map(frozenset, template))
+                texts.append(main_text(parse(html or "", met), *held))
             out = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), out, pc.utf8_length(out).cast(pa.int64())],
@@ -392,6 +482,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             )
 
     schema = T.StructType([*rows.schema.fields, T.StructField("host", T.StringType())])
-    own = found.where((F.col("pages") >= FEWEST) & (F.col("host") != ALL)).select("host", "places")
+    own = found.where((F.col("pages") >= FEWEST) & (F.col("host") != ALL)).select("host", "places", "slots")
     joined = rows.mapInArrow(name, schema).join(own, "host", "left")
-    return joined.select("page_id", "url", "html", "places").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "places", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")

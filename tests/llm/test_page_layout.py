@@ -14,8 +14,10 @@ def rows_of(frame, html, n=4):
 
 
 def text_of(html):
+    """With the template of a host whose pages all are like this one: its elements, and the text of its buttons."""
     page = pages.parse(html)
-    return pages.main_text(page, frozenset(t[:-1] for t in page.tokens))
+    texts = (pages.text_token(around, text) for around, text in page.blocks if text == "share")
+    return pages.main_text(page, frozenset((*(t[:-1] for t in page.tokens), *texts)))
 
 
 @pytest.mark.parametrize("name", ["site has-sidebar", "no-sidebar", "with-banner", "menu-open", "social-science", "banner"])
