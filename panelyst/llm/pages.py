@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from base64 import urlsafe_b64encode
 from collections.abc import Iterator
 from os.path import commonprefix
 from typing import NamedTuple
@@ -45,6 +46,8 @@ from pyspark.sql import types as T
 from panelyst.sources.sinks import materialise
 
 FEWEST = 3
+#: Parts that the rows of a host are dealt to where they meet its number of pages.
+PARTS = 32
 #: Structural elements of a place that are written out; of more, those further out are told by their hash.
 DEPTH = 12
 PRIME = (1 << 61) - 1
@@ -217,7 +220,8 @@ def host(url: str | None) -> str:
 
 def text_token(around: tuple[Element, ...], text: str) -> str:
     place = around[-1].place if around else ""
-    return f"={place}={hashlib.md5(text.encode('utf-8', 'replace')).hexdigest()}"
+    mark = urlsafe_b64encode(hashlib.md5(text.encode("utf-8", "replace")).digest()[:12]).decode()
+    return f"={place}={mark}"
 
 
 def page_tokens(page: Page) -> dict[str, int]:
@@ -263,8 +267,11 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema).dropDuplicates(["host", "h1", "h2"])
 
 
-def _summed(counted: DataFrame) -> DataFrame:
-    """(host, token, pages, total, mark) of distinct pages, summed per batch, then overall."""
+def _summed(counted: DataFrame, frequent: frozenset[str] | None = None) -> DataFrame:
+    """(host, token, pages, total, mark) of distinct pages, summed per batch, then overall.
+
+    With ``frequent`` only those blocks of text whose hash ends so.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,6 +279,8 @@ def _summed(counted: DataFrame) -> DataFrame:
             columns = (batch.column(c).to_pylist() for c in ("host", "h1", "tokens", "counts"))
             for h, number, tokens, counts in zip(*columns, strict=True):
                 for token, n in zip(tokens, counts, strict=True):
+                    if frequent is not None and token[:1] == "=" and token[-2:] not in frequent:
+                        continue
                     s = sums.setdefault((h, token), [0, 0, 0])
                     s[0] += 1
                     s[1] += n
@@ -295,11 +304,24 @@ def _summed(counted: DataFrame) -> DataFrame:
 def vectors(pages: DataFrame) -> DataFrame:
     """(host, token, pages, total, mark): occurrences of each token over the distinct pages of a host.
 
-    The token "" stands for the pages themselves, the host ALL for all pages.
+    The token "" stands for the pages themselves, the host ALL for all pages. Of ALL, blocks of text that fewer than
+    half of the pages have are of no use and need not be there: blocks are counted by the last two of 64 signs
+    of their hash first, and where such a group is on fewer pages than that, so is each block in it.
     """
     counted = materialise(page_counts(pages), "counted")
-    everywhere = counted.dropDuplicates(["h1", "h2"]).withColumn("host", F.lit(ALL))
-    return _summed(counted).unionByName(_summed(everywhere))
+    everywhere = materialise(counted.dropDuplicates(["h1", "h2"]).withColumn("host", F.lit(ALL)), "everywhere")
+    n = everywhere.count()
+    token = F.explode(F.filter("tokens", lambda t: t.startswith("="))).alias("token")
+    groups = everywhere.select(token).groupBy(F.right("token", F.lit(2)).alias("end")).count()
+    frequent = frozenset(r["end"] for r in groups.where(2 * F.col("count") >= n).collect())  # 4,096 groups at most
+    return _summed(counted).unionByName(_summed(everywhere, frequent))
+
+
+def _beside_size(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """The rows with their host's ``host_pages``; the rows of a host are dealt out by ``key``, its size goes to each part."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    everywhere = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    return dealt.join(everywhere, ["host", "part"]).drop("part")
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -309,7 +331,7 @@ def templates(found: DataFrame) -> DataFrame:
     with both its tokens. A block of text is its own place. For ``slots`` see :func:`judged_slots`.
     """
     sizes = found.where("token = ''").select("host", F.col("pages").alias("host_pages"))
-    large = found.join(sizes, "host").where("2 * pages >= host_pages and not startswith(token, '#')")
+    large = _beside_size(found, sizes, "token").where("2 * pages >= host_pages and not startswith(token, '#')")
     is_text = F.col("token").startswith("=")
     tag = F.when(~is_text, F.col("token"))
     classes = large.groupBy("host", "pages", "total", "mark").agg(
@@ -319,8 +341,8 @@ def templates(found: DataFrame) -> DataFrame:
     closed = F.expr("transform(filter(tags, t -> endswith(t, '>')), t -> left(t, length(t) - 1))")
     root = F.when(F.array_contains("tags", ""), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     valid = classes.withColumn("elements", F.concat(F.array_intersect(opened, closed), root)).where("size(elements) > 0")
-    # the place of a text stands between its two signs; the hash has 32 places
-    around = "substring(t, 2, length(t) - 34)"
+    # the place of a text stands between its two signs; the hash has 16 places
+    around = "substring(t, 2, length(t) - 18)"
     nested = F.expr(f"filter(texts, t -> exists(elements, e -> e = '' or {around} = e or startswith({around}, e || '/')))")
     members = valid.select("host", F.explode(F.concat(F.expr("filter(elements, e -> e <> '')"), nested)).alias("place"))
     places = members.groupBy("host").agg(F.collect_set("place").alias("places"))
@@ -341,9 +363,10 @@ def judged_slots(found: DataFrame, sizes: DataFrame) -> DataFrame:
     slot's own text comes back; then nothing else is judged.
     """
     kind = F.substring("token", 1, 1)
+    again = (F.col("host") != ALL) & (2 * F.col("again") > F.col("texts"))
     place = (
         F.when(kind == "#", F.expr("substring(token, 2)"))
-        .when(kind == "=", F.expr("substring(token, 2, length(token) - 34)"))
+        .when(kind == "=", F.expr("substring(token, 2, length(token) - 18)"))
         .when(F.col("token").endswith("<"), F.expr("left(token, length(token) - 1)"))
     )
     sums = (
@@ -360,11 +383,11 @@ def judged_slots(found: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     outside = rf"/({'|'.join(sorted(OUTSIDE_TAGS | {'header'}))})([./]|$)"
     nearest = F.when(F.col("place").rlike(r"/article([./]|$)"), 2).when(F.col("place").rlike(r"/main([./]|$)"), 1).otherwise(0)
-    slots = sums.join(sizes, "host").where("2 * pages >= host_pages")
+    slots = _beside_size(sums, sizes, "place").where("2 * pages >= host_pages")
     main = (
         slots.where((F.col("chars") > 0) & ~F.col("place").rlike(outside))
         .groupBy("host")
-        .agg(F.max(F.struct(nearest, "chars", "place", (2 * F.col("again") > F.col("texts")).alias("again"))).alias("main"))
+        .agg(F.max(F.struct(nearest, "chars", "place", again.alias("again"))).alias("main"))
         .select("host", F.col("main.place").alias("main"), F.coalesce("main.again", F.lit(False)).alias("copied"))
     )
     label = F.element_at(F.split("place", "/"), -1)
@@ -376,7 +399,7 @@ def judged_slots(found: DataFrame, sizes: DataFrame) -> DataFrame:
         F.explode(
             F.array_compact(
                 F.array(
-                    F.when((2 * F.col("again") > F.col("texts")) & (F.col("texts") >= FEWEST), F.concat(F.lit("-"), "place")),
+                    F.when(again & (F.col("texts") >= FEWEST), F.concat(F.lit("-"), "place")),
                     F.when(2 * F.col("times") >= 3 * F.col("pages"), F.concat(F.lit("~"), "place")),
                 )
             )

@@ -94,7 +94,7 @@ def test_classes_agree_with_brute_force(frame):
         texts = set()
         for t, v in large.items():
             if t.startswith("="):
-                around = t[1:-33]
+                around = t[1:-17]
                 inside = [e for e in elements if f"{around}/".startswith(f"{e}/") and large[f"{e}<"] == v]
                 if inside or v == (1,) * len(distinct):
                     texts.add(t)
