@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyst.llm import textops
-from panelyst.llm.samples import bounded_sample, sample_texts
+from panelyst.llm.samples import sample_texts
 
 BUCKETS = 1 << 14
 LONGEST = 4
-LANDMARKS = 160
-#: Rows of each language, languages, and bytes of a text in the sample that the model is fitted on.
-SAMPLE_ROWS, SAMPLE_LANGUAGES, SAMPLE_BYTES = 400, 64, 32_768
+#: Landmarks of all languages together, and of each where languages are many.
+LANDMARKS, FEWEST_LANDMARKS = 160, 2
+#: Rows of each language and bytes of a text in the sample that the model is fitted on; see samples for the bound on
+#: all rows, which every language shares, and for languages with longer texts only.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 32_768
 #: Texts whose presence vectors are held at a time.
 ROWS = 128
 RIDGE = 1e-2
@@ -75,7 +77,7 @@ def fit(texts: pa.Array, languages: list[str]) -> Model:
     known = sorted(set(languages))
     y = np.where(np.array(languages)[:, None] == np.array(known)[None], 1.0, -1.0)
     # landmarks: as many of each language, spread evenly over its texts
-    each = max(LANDMARKS // len(known), 1)
+    each = max(LANDMARKS // len(known), FEWEST_LANDMARKS)
     chosen = []
     for k in range(len(known)):
         own = np.flatnonzero(y[:, k] > 0)
@@ -118,7 +120,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Held out are the rows whose crc32 of the id, as text, leaves 2 when divided by 4; the model is fitted on a
     bounded sample of the others that have a language and a text with a letter. A row without an id is not
     held out and not learnt from. A NULL text or one without a letter is ``und`` with score 0, and so is every
-    text if there is nothing to learn from. Predictions look at the text only.
+    text if there is nothing to learn from. Predictions look at the text only. All languages are learnt, however many
+    there are. Rows that repeat are learnt once and predicted each; an empty table gives an empty result.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     rows = docs.select(
@@ -130,11 +133,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.col("doc_id").isNotNull()
         & ~F.col("held_out")
         & F.col("lang").isNotNull()
-        & (F.octet_length("text") <= SAMPLE_BYTES)
         & F.col("text").rlike(r"\p{L}")
     )
-    picked = bounded_sample(usable.select("doc_id", F.col("lang").alias("stratum")), SAMPLE_ROWS, SAMPLE_LANGUAGES)
-    sample = sample_texts(usable, picked, "string", SAMPLE_BYTES)
+    sample = sample_texts(usable.select("doc_id", F.col("lang").alias("stratum"), "text"), SAMPLE_ROWS, SAMPLE_BYTES, "string")
     model = None
     if len(sample):
         fitted = fit(sample.column("text").combine_chunks(), sample.column("stratum").to_pylist())

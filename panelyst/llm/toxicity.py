@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyst.llm import textops
-from panelyst.llm.samples import bounded_sample, sample_texts
+from panelyst.llm.samples import sample_texts
 
 BUCKETS = 1 << 15
 PREFIXES = (0, 4, 6)  # bytes; 0 is the whole word
 WIDTH = 16
 FILTERS = 12
 SPANS = (1, 2, 3)
-#: Labelled rows of each class, and bytes of a text in the sample that the model is fitted on.
+#: Labelled rows of each class, and bytes of a text in the sample that the model is fitted on; see samples.
 SAMPLE_ROWS, SAMPLE_BYTES = 1200, 32_768
 UPDATES, FEWEST_EPOCHS, MOST_EPOCHS, BATCH = 500, 4, 30, 32
 #: Calibration texts of each class that a language needs for a threshold of its own.
@@ -287,7 +287,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.max("stratum").alias("stratum"))
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = sample_texts(rows, bounded_sample(marks, SAMPLE_ROWS), "int", SAMPLE_BYTES)
+    rows = rows.where("doc_id is not null and text is not null")
+    sample = sample_texts(rows, SAMPLE_ROWS, SAMPLE_BYTES, "int", marks)
     y = np.array(sample.column("stratum").to_pylist(), np.int64)
     return fit(sample.column("text").combine_chunks(), y) if {0, 1} <= set(y.tolist()) else None
 

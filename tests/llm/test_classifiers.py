@@ -116,9 +116,48 @@ def test_threshold_is_the_middle_of_the_gap():
 
 
 def test_bounded_sample(spark):
-    rows = [(k, "a" if k % 10 else "b") for k in range(5000)]
-    df = spark.createDataFrame(rows, "doc_id long, stratum string")
-    picked = samples.bounded_sample(df, 100)
-    assert picked == samples.bounded_sample(df.repartition(7), 100)
-    assert sum(s == "a" for _, s in picked) == 100 and 90 <= sum(s == "b" for _, s in picked) <= 100
-    assert samples.bounded_sample(df.where("false"), 100) == []
+    rows = [(k, "a" if k % 10 else "b", f"text {k}") for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, stratum string, text string")
+    picked = samples.bounded_sample(samples.candidates(df, 100), 100)
+    assert picked == samples.bounded_sample(samples.candidates(df.repartition(7), 100), 100)
+    assert sum(s == "a" for _, s, _ in picked) == 100 and 90 <= sum(s == "b" for _, s, _ in picked) <= 100
+    assert samples.bounded_sample(samples.candidates(df.where("false"), 100), 100) == []
+
+
+def test_all_strata_share_the_bound_on_rows(spark):
+    rows = [(k, f"s{k % 70}", "t") for k in range(7000)]
+    found = samples.candidates(spark.createDataFrame(rows, "doc_id long, stratum string, text string"), 100)
+    picked = samples.bounded_sample(found, 100, most_rows=700)
+    assert len({s for _, s, _ in picked}) == 70 and 600 <= len(picked) <= 700
+
+
+def test_one_row_of_an_id_and_long_texts_where_there_are_no_others(spark):
+    rows = [(1, "a", f"text {k % 40}") for k in range(3000)] + [(k, "a", "other") for k in range(2, 12)]
+    rows += [(k, "b", "x" * (200 + k)) for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, stratum string, text string").repartition(5)
+    got = samples.sample_texts(df, 50, 100, "string").to_pylist()
+    assert sorted(r["doc_id"] for r in got if r["stratum"] == "a") == list(range(1, 12))
+    long = [r for r in got if r["stratum"] == "b"]
+    assert len(long) == samples.FEWEST and 100 in {r["doc_id"] for r in long} and all(len(r["text"]) > 200 for r in long)
+
+
+def test_seventy_languages_are_learnt(frame):
+    rng = random.Random(7)
+    tongues = {f"l{k}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)] for k in range(70)}
+    rows = [(k, " ".join(rng.choices(tongues[f"l{k % 70}"], k=30)), f"l{k % 70}") for k in range(2100)]
+    out = language.identify(frame(rows, "doc_id long, text string, lang string")).collect()
+    right = [r["lang_pred"] == f"l{r['doc_id'] % 70}" for r in out if r["held_out"]]
+    assert len({r["lang_pred"] for r in out}) == 70 and np.mean(right) > 0.9
+    empty = language.identify(frame(rows[:3], "doc_id long, text string, lang string").where("false"))
+    assert empty.count() == 0
+
+
+def test_labels_of_absent_documents_and_an_id_with_most_rows(spark, frame, toxic_documents):
+    rows, labels = toxic_documents
+    absent = [(k, 1) for k in range(10_000, 40_000)]
+    many = [(1, f"the thing {k}") for k in range(1500)]
+    marks = spark.createDataFrame([*labels, *absent], "doc_id long, toxic int")
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.classify(frame([*rows, *many]), marks).collect()}
+    truth = dict(labels)
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([out[k] == truth[k] for k in held]) > 0.95
