@@ -9,7 +9,8 @@ from panelyst.sources.sinks import materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("m"))
+    """The smallest neighbour of each node; written, so that Spark can split the edges of a hub where they meet it."""
+    return materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@
    MATCHES + 1 of each: only this prefix is posted, the rest is skipped over and looked at when collisions are
    counted. A class whose rarest values are its own posts nothing, so texts that share a passage only do not
    meet. The smallest class of a posting list is its hub, and all classes that share a hub meet.
-3. Where a hub has many classes they meet in blocks of bounded size, each pair of blocks once. Collisions are
-   counted there; a block passes on, for each class with a match, the smallest class it hangs together with.
-   What hangs together is a cluster, and every link lies inside one.
-4. Classes of a cluster meet again with their full sets, in blocks as before. Matching pairs are confirmed
+3. Each class meets its hub first; those that match it hang together and need not meet each other. Only the others
+   meet all of the hub, in blocks of bounded size, each pair of blocks once. Collisions are counted there; a block
+   passes on, for each class with a match, the smallest class it hangs together with. What hangs together is a
+   cluster, and every link lies inside one.
+4. Classes of a cluster meet again with their full sets, the smallest first, then in blocks as before. Matching pairs are confirmed
    exactly unless the block already holds them together; confirmed links are passed on. Their components are
    the groups of near-duplicates.
 
@@ -164,17 +165,36 @@ def _members(classes: DataFrame) -> DataFrame:
     return posted.join(hubs, "key").select("hub", "cid").distinct()
 
 
-def _meet(members: DataFrame, key: str, payload: DataFrame, column: str, judge: Callable, block: int) -> DataFrame:
-    """Edges that ``judge`` finds among the members (key, cid) of each key, who meet in pairs of blocks.
+def _meet(
+    members: DataFrame, key: str, payload: DataFrame, column: str, alike: Callable, judge: Callable, block: int
+) -> DataFrame:
+    """Edges among the members (key, cid) of each key, the smallest of which is its head.
 
-    ``payload`` (cid, column) is what a member brings along.
+    Every member meets the head first, and ``alike`` tells which are linked to it. Those hang together and need not
+    meet each other: only the others meet all, in pairs of blocks, where ``judge`` finds edges. ``payload``
+    (cid, column) is what a member brings along.
     """
-    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    heads = payload.select(F.col("cid").alias(key), F.col(column).alias("head"))
+    facing = members.where(F.col("cid") != F.col(key)).join(payload, "cid").join(heads, key).select(key, "cid", column, "head")
+
+    def face(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = pa.array(alike(batch.column(column), batch.column("head")), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("cid"), linked], [key, "cid", "linked"])
+
+    faced = materialise(facing.mapInArrow(face, f"{key} long, cid long, linked boolean"), "faced")
+    sizes = faced.groupBy(key).agg(
+        F.ceil(F.count_if(~F.col("linked")) / block).cast("int").alias("open"),
+        F.ceil(F.count_if("linked") / block).cast("int").alias("closed"),
+    )
+    sizes = materialise(sizes.where("open > 0"), "sizes")
+    number = F.xxhash64("cid")
+    own = F.when(F.col("linked"), F.col("open") + F.pmod(number, F.col("closed"))).otherwise(F.pmod(number, F.col("open"))).cast("int")
+    others = F.when(F.col("linked"), F.col("open")).otherwise(F.col("open") + F.col("closed"))
     dealt = (
-        members.join(sizes, key)
+        faced.join(sizes, key)
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
         .select(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid")
     )
     keys = [key, "lo", "hi"]
@@ -187,11 +207,38 @@ def _meet(members: DataFrame, key: str, payload: DataFrame, column: str, judge:
                 yield judge(group["cid"].to_numpy(), group[column].combine_chunks(), side, one_block)
 
     met = dealt.join(payload, "cid").repartition(*keys).sortWithinPartitions(*keys, "cid")
-    return met.select(*keys, "own", "cid", column).mapInArrow(run, "a long, b long")
+    found = met.select(*keys, "own", "cid", column).mapInArrow(run, "a long, b long")
+    return faced.where("linked").select(F.col("cid").alias("a"), F.col(key).alias("b")).unionByName(found)
+
+
+def _rows_of(sig: pa.Array) -> np.ndarray:
+    return sig.flatten().to_numpy().reshape(len(sig), COORDINATES)
+
+
+def _alike_signatures(own: pa.Array, head: pa.Array) -> np.ndarray:
+    return (_rows_of(own) == _rows_of(head)).sum(1) >= MATCHES
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """If 100 times the common elements of two sorted sets are ``percent`` times the united or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _alike_sets(percent: int) -> Callable:
+    def alike(own: pa.Array, head: pa.Array) -> list[bool]:
+        pairs = zip(own, head, strict=True)
+        return [_linked(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent) for pair in pairs]
+
+    return alike
 
 
 def _by_signature(ids: np.ndarray, sig: pa.Array, side: np.ndarray, one_block: bool) -> pa.RecordBatch:
-    i, j, _ = matches(sig.flatten().to_numpy().reshape(len(ids), COORDINATES), side, one_block)
+    i, j, _ = matches(_rows_of(sig), side, one_block)
     union = Union(len(ids))
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         union.join(x, y)
@@ -204,13 +251,7 @@ def _by_sets(percent: int) -> Callable:
         union = Union(len(ids))
         i, j, _ = matches(signatures(sets), side, one_block)
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = sets[x], sets[y]
-            if len(a) > len(b):
-                a, b = b, a
-            if 100 * len(a) < percent * len(b) or union.root(x) == union.root(y):
-                continue
-            common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            if 100 * common >= percent * (len(a) + len(b) - common):
+            if union.root(x) != union.root(y) and _linked(sets[x], sets[y], percent):
                 union.join(x, y)
         return _edges(ids, union)
 
@@ -260,7 +301,7 @@ def near_duplicates(
         "classes",
     )
     members = materialise(_members(classes), "members")
-    clusters = components(_meet(members, "hub", classes.select("cid", "sig"), "sig", _by_signature, blocks[0]))
+    clusters = components(_meet(members, "hub", classes.select("cid", "sig"), "sig", _alike_signatures, _by_signature, blocks[0]))
     clustered = clusters.select(F.col("a").alias("cid"), F.col("b").alias("cluster")).unionByName(
         clusters.select(F.col("b").alias("cid"), F.col("b").alias("cluster")).distinct()
     )
@@ -269,7 +310,7 @@ def near_duplicates(
         wanted, (F.col("r.text_hash") == F.col("w.text_hash")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
     )
     sets = materialise(_sets(texts.select("w.cid", "r.text")), "sets")
-    links = components(_meet(clustered, "cluster", sets, "packed", _by_sets(percent), blocks[1]))
+    links = components(_meet(clustered, "cluster", sets, "packed", _alike_sets(percent), _by_sets(percent), blocks[1]))
     root = F.coalesce(F.col("b"), F.col("cid"))
     rooted = classes.join(links.withColumnRenamed("a", "cid"), "cid", "left").select("fingerprint", "least", root.alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

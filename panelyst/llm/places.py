@@ -1,7 +1,8 @@
 """Rows known by their file and place in it, so that what is found about them need not move their texts.
 
 A scan of Parquet files tells the file and the place of every row. Findings about rows are written to the
-shared folder, one folder for each file of the scan; a task that scans a file again reads what belongs to it.
+shared folder, one folder for each file of the scan and range of its rows; a task that scans a file again reads
+what belongs to the rows at hand. So neither writing nor reading takes a whole file into one task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from panelyst.sources.sinks import shared_folder
 
+#: Rows of a file whose findings are written, and read again, together.
+RANGE = 1 << 16
+
 
 def file_system(path: str):
     """The file system of a path or URI and the path in it."""
@@ -41,18 +45,19 @@ def located(docs: DataFrame, columns: Sequence[Column], scan: bool) -> DataFrame
 
 
 def by_file(rows: DataFrame, name: str) -> str:
-    """Write rows into one folder for each ``file``, in the order of their ``row``; returns the folder."""
+    """Write rows into one folder for each ``file`` and range of rows, in the order of their ``row``; returns the folder."""
     path = f"{shared_folder(rows.sparkSession)}/{name}"
-    rows.repartition("file").sortWithinPartitions("file", "row").write.partitionBy("file").parquet(path)
+    ranged = rows.withColumn("range", F.floor(F.col("row") / RANGE)).repartition("file", "range")
+    ranged.sortWithinPartitions("file", "range", "row").write.partitionBy("file", "range").parquet(path)
     return path
 
 
-def read_file(path: str, file: int, columns: list[str]) -> dict[str, np.ndarray]:
-    """What ``by_file`` has written for a file, ordered by row; empty where it has nothing."""
+def read_range(path: str, file: int, number: int, columns: list[str]) -> dict[str, np.ndarray]:
+    """What ``by_file`` has written for a range of a file, ordered by row; empty where it has nothing."""
     from pyarrow import fs
 
     system, inner = file_system(path)
-    parts = system.get_file_info(fs.FileSelector(f"{inner}/file={file}", allow_not_found=True))
+    parts = system.get_file_info(fs.FileSelector(f"{inner}/file={file}/range={number}", allow_not_found=True))
     tables = []
     for part in parts:
         if part.path.endswith(".parquet"):
@@ -67,18 +72,20 @@ def read_file(path: str, file: int, columns: list[str]) -> dict[str, np.ndarray]
 
 def scan_with(texts: DataFrame, path: str, columns: list[str], each: Callable, schema) -> DataFrame:
     """``each(batch, rows of the side table, where those of each text begin and end)`` over all batches of a scan."""
+    span = RANGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, side = None, {}
+        held: dict[tuple[int, int], dict[str, np.ndarray]] = {}
         for batch in batches:
-            files = batch.column("file").to_numpy()
-            cuts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1), len(files)]
+            place = np.stack([batch.column("file").to_numpy(), batch.column("row").to_numpy() // span])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1), len(batch)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if held != int(files[a]):
-                    held = int(files[a])
-                    side = read_file(path, held, columns)
+                at = (int(place[0, a]), int(place[1, a]))
+                if at not in held:
+                    held = {at: read_range(path, *at, columns)}
+                side = held[at]
                 part = batch.slice(a, b - a)
                 rows = part.column("row").to_numpy()
                 own = side.get("row", np.empty(0, np.int64))

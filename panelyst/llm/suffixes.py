@@ -190,7 +190,8 @@ def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, wo
     """
     unit = 8 if words else 1
     found = _find_runs(texts, length, gram, words)
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # keys that repeat are written before they are joined: so Spark can split the rows of a very common one
+    shared = materialise(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared")
     first = materialise(found.join(shared, "gram"), "runs")
     kinds = materialise(
         first.groupBy("gram", "whole").agg(
@@ -202,7 +203,7 @@ def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, wo
     same = first.join(kinds.where("n > 1").select("gram", "whole"), ["gram", "whole"])
     spans = same.select("file", "row", start.alias("start"), end.alias("end"))
 
-    several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
+    several = materialise(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "several")
     open_runs = kinds.join(several, "gram").select("gram", "one.*").withColumn("id", F.monotonically_increasing_id())
     side = by_file(open_runs, "open")
     context = materialise(_contexts(texts, side, length, words), "contexts")
@@ -214,7 +215,7 @@ def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, wo
         "wholes",
     )
     noted = cells.join(wholes.where("n > 1").select("core", "whole"), ["core", "whole"]).select("id", "a", "b")
-    left = wholes.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
+    left = materialise(wholes.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), "left")
     open_cells = wholes.join(left, "core").select("one.id", "one.a", "one.b")
     windows = materialise(
         open_cells.join(context, "id")
@@ -222,7 +223,7 @@ def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, wo
         .select("id", "a", _two(F.col("gram"), F.col("a"), _part(F.col("hi") - F.col("a"), F.lit(length), unit)).alias("window")),
         "windows",
     )
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+    twice = materialise(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"), "twice")
     noted = noted.unionByName(windows.join(twice, "window").select("id", "a", F.col("a").alias("b")))
     more = noted.join(places, "id").select(
         "file", "row", (F.col("x") - F.col("b")).alias("start"), (F.col("x") - F.col("a") + length).alias("end")
