@@ -188,7 +188,7 @@ def duplicate_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, wo
     ``texts`` is what ``located`` returns with a column ``text``. Ranges may overlap or repeat; together they
     cover every byte of every repeated window.
     """
-    unit = 8 if words else 1
+    unit, gram = 8 if words else 1, min(gram, length)
     found = _find_runs(texts, length, gram, words)
     # keys that repeat are written before they are joined: so Spark can split the rows of a very common one
     shared = materialise(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared")

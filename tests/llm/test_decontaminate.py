@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from panelyst.llm import decontaminate
 from panelyst.sources.sinks import materialise
 from test_minhash import shingle_set
@@ -45,9 +48,30 @@ def test_agrees_with_brute_force(spark, frame):
     assert run(spark, frame, docs, items) == brute(docs, items)
 
 
-def test_agrees_without_a_copy_of_the_hashes(spark, frame, monkeypatch):
+def taken(places, bits):
+    out = np.zeros(bits, np.uint8)
+    out[[r["place"] for r in places.select("place").collect()]] = 1
+    return out
+
+
+def test_partitions_fix_the_sketches(spark, frame):
+    """All items of a partition have sketches of one length, or all of their shingles; the maps hold their places."""
+    _, items = planted()
+    stored = materialise(decontaminate.item_sketches(frame(list(enumerate(items)), "item_id long, text string")), "items")
+    for r in stored.groupBy("item", "partition", "n_item_shingles").agg(F.count_if("in_sketch").alias("k")).collect():
+        most = 2 ** r["partition"] - 1
+        assert most // 2 < r["n_item_shingles"] <= most
+        assert r["k"] == min(most - -(-75 * most // 100) + 1, r["n_item_shingles"])
+    made = decontaminate._bit_map(stored, decontaminate.BITS)
+    assert (np.unpackbits(made, bitorder="little") == taken(stored, decontaminate.BITS)).all()
+
+
+def test_agrees_with_small_bit_maps(spark, frame, monkeypatch):
+    """Maps in which nearly every place is taken pass on more rows and find the same."""
     docs, items = planted()
-    monkeypatch.setattr(decontaminate, "PROBE_LIMIT", 3)
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 6)
+    monkeypatch.setattr(decontaminate, "BUCKET", 1 << 6)
+    monkeypatch.setattr(decontaminate, "_bit_map", lambda places, bits: np.packbits(taken(places, bits), bitorder="little"))
     assert run(spark, frame, docs, items) == brute(docs, items)
 
 

@@ -9,7 +9,7 @@ from panelyst.llm import minhash, places, suffixes
 
 
 def test_side_tables_by_ranges_of_rows(spark, frame, monkeypatch):
-    rows = [(k, f"{k} " + "shared passage of some length " * (k % 3)) for k in range(200)]
+    rows = [(k, f"{k} " + "shared passage of some length " * (k % 3)) for k in range(200)]  # strings shorter than those that windows are filed under
     want = sorted(map(tuple, suffixes.remove_repeats(frame(rows, partitions=1), 40).collect()))
     monkeypatch.setattr(places, "RANGE", 7)
     assert sorted(map(tuple, suffixes.remove_repeats(frame(rows, partitions=1), 40).collect())) == want
