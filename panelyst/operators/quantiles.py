@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from panelyst.sources.sinks import materialise
 
-#: A range with more distinct values than this is cut, into so many pieces.
+#: A range with more distinct values than this is cut, into so many pieces (a power of two).
 SMALL, PIECES = 1 << 16, 64
 
 
@@ -109,9 +109,13 @@ def _narrowed(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> D
     of = [*keys, "_range"]
     shares = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
     splitters = rows.groupBy(*of).agg(F.percentile_approx("_v", shares, 16 * PIECES).alias("_cuts"))
-    above = [(F.col("_v") > F.element_at("_cuts", i)).cast("int") for i in range(1, PIECES)]
-    cut = _matched(rows, splitters, of, ["_cuts"]).withColumn("_piece", reduce(lambda a, b: a + b, above)).drop("_cuts")
-    cut = materialise(cut, "pieces")
+    cut = _matched(rows, splitters, of, ["_cuts"]).withColumn("_piece", F.lit(0))
+    step = PIECES // 2
+    while step:  # the number of cuts below the value, by binary search
+        ahead = F.col("_piece") + step
+        cut = cut.withColumn("_piece", F.when(F.col("_v") > F.element_at("_cuts", ahead), ahead).otherwise(F.col("_piece")))
+        step //= 2
+    cut = materialise(cut.drop("_cuts"), "pieces")
     in_range = W.partitionBy(*of)
     counted = cut.groupBy(*of, "_piece").agg(F.sum("_n").alias("_w"), F.max("_before").alias("_before"), F.max("total").alias("total"))
     start = F.col("_before") + F.sum("_w").over(in_range.orderBy("_piece")) - F.col("_w")
