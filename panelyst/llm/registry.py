@@ -95,7 +95,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages"), shared_folder(spark))
+    return warc.round_trip(_table(spark, sf_dir, "pages"), shared_folder(spark), scan=True)
 
 
 OP9_SQL = """

@@ -17,11 +17,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyst.llm.places import file_system
+from panelyst.llm.places import by_file, file_system, located, scan_with
+from panelyst.sources.sinks import materialise
 
 BLOCK = 1 << 20
 INDEX = "archive string, offset long, length long, record_id string, record_type string"
@@ -30,28 +33,49 @@ PAGES = (
 )
 
 
-def decide(pages: DataFrame, least: int = 100, id_col: str = "page_id") -> DataFrame:
-    """Adds payload_bytes, payload_digest, first_id: which pages repeat the payload of an earlier one.
+def _payload() -> dict[str, Column]:
+    return {
+        "payload_bytes": F.octet_length("html").cast("long"),
+        "payload_digest": F.sha2(F.col("html").cast("binary"), 256),
+    }
 
-    Of equal payloads of at least ``least`` bytes the smallest id is the first; others have first_id set. The
-    digests are counted first, so a payload that a third of all pages share is one row of the join.
+
+def repeats(pages: DataFrame, least: int = 100) -> DataFrame:
+    """(file, row, first_id) of the ``pages`` (page_id, html, file, row) that repeat the payload of another.
+
+    Of equal payloads of at least ``least`` bytes the smallest id is the first. Only ids, digests and places are
+    shuffled, and they are written before they are joined, so that Spark can split a payload that very many pages share.
     """
-    sized = pages.withColumns(
-        {
-            "payload_bytes": F.octet_length("html").cast("long"),
-            "payload_digest": F.sha2(F.col("html").cast("binary"), 256),
-        }
-    )
+    sized = pages.withColumns(_payload()).where(F.col("payload_bytes") >= least)
+    sized = materialise(sized.select("page_id", "payload_digest", "file", "row"), "digests")
     firsts = (
-        sized.where(F.col("payload_bytes") >= least)
-        .groupBy("payload_digest")
-        .agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n"))
+        sized.groupBy("payload_digest")
+        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") > 1) & F.col("first_id").isNotNull())
         .drop("n")
     )
-    return sized.join(firsts, "payload_digest", "left").withColumn(
-        "first_id", F.when(F.col(id_col).eqNullSafe(F.col("first_id")), None).otherwise(F.col("first_id"))
-    )
+    found = sized.join(materialise(firsts, "firsts"), "payload_digest")
+    return found.where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("file", "row", "first_id")
+
+
+def decide(pages: DataFrame, least: int = 100) -> DataFrame:
+    """``pages`` (page_id, url, html, file, row) with payload_bytes, payload_digest and first_id, NULL but for repeats.
+
+    What repeats is found by digest and brought to the pages by their places, as these are scanned again: no
+    payload is shuffled.
+    """
+    path = by_file(repeats(pages, least), "repeats")
+
+    def each(part: pa.RecordBatch, side: dict[str, np.ndarray], begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = end > begin
+        first = np.zeros(len(part), np.int64)
+        if own.any():
+            first[own] = side["first_id"][begin[own]]
+        columns = [part.column(c) for c in ("page_id", "url", "html")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(first, mask=~own)], ["page_id", "url", "html", "first_id"])
+
+    schema = "page_id long, url string, html string, first_id long"
+    return scan_with(pages, path, ["row", "first_id"], each, schema).withColumns(_payload())
 
 
 def _record(html: Column) -> Column:
@@ -225,19 +249,23 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
     return read_index(spark, target).mapInPandas(run, PAGES)
 
 
-def round_trip(pages: DataFrame, folder: str, id_col: str = "page_id") -> DataFrame:
+def round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", scan: bool = False) -> DataFrame:
     """Write pages to archives under ``folder``, normalise those, and read them back: one row for each page.
 
+    ``scan`` says that ``pages`` is a table just read from Parquet files, with nothing done to it; those files are
+    then scanned twice, where else a copy of the pages is.
+
     A NULL html is an empty payload and a NULL url has no header; a page without an id gets an empty record id
     and can be a revisit, never the first. Rows that repeat with their id are all responses of that id. Other
     columns are not looked at. An empty table gives an empty result.
     """
     spark = pages.sparkSession
-    rows = pages.select(
+    columns = [
         F.col(id_col).cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    )
+    ]
+    rows = located(pages, columns, scan)
     write_monolithic(decide(rows), f"{folder}/monolithic")
     n_files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(f"{folder}/monolithic").count()
     if not n_files:

@@ -51,6 +51,26 @@ def test_round_trip(spark, frame):
     assert urls[9] is None and urls[3] == "http://b/ X: y"
 
 
+def test_a_payload_that_most_pages_share_is_one_response(spark, frame):
+    rows = [(i, f"http://{i}/", LONG if i % 3 else f"{i}" * 60) for i in range(400, 0, -1)]
+    folder = shared_folder(spark)
+    pages = frame(rows, SCHEMA, partitions=5)
+    pages.write.parquet(f"{folder}/pages")
+    for out in (
+        warc.round_trip(pages, f"{folder}/copied"),
+        warc.round_trip(spark.read.parquet(f"{folder}/pages"), f"{folder}/scanned", scan=True),
+    ):
+        assert sorted((tuple(r) for r in out.drop("url").collect()), key=str) == want(rows)
+        assert out.where("record_type = 'revisit'").agg({"refers_to": "max"}).first()[0] == 1
+
+
+def test_only_places_and_digests_are_shuffled(spark, frame):
+    rows = warc.located(frame(ROWS, SCHEMA), [warc.F.col("page_id"), warc.F.col("html")], scan=False)
+    found = warc.repeats(rows)
+    assert found.columns == ["file", "row", "first_id"]
+    assert "html" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_each_record_is_a_member_that_the_index_finds(spark, frame):
     folder = shared_folder(spark)
     warc.round_trip(frame(ROWS, SCHEMA), folder).count()
